@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chunked_bpe, exact_dedup, packing, url_filter
+from . import chunked_bpe, exact_dedup, packing, simhash, url_filter
 
 #: A bounded rule list (host, path, verdict), fixed by the query's contract.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "allow"), ("org", "/es/", "block")]
@@ -34,7 +34,11 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_bpe_round_trip, op5_url_filter, op7_exact_dedup)}
+def op9_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_bpe_round_trip, op5_url_filter, op7_exact_dedup, op9_simhash_near_dedup)}
 
 ORACLE_SQL = {
     "op5_url_filter": r"""
