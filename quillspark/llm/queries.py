@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chunked_bpe, exact_dedup, packing, simhash, url_filter
+from . import chunked_bpe, exact_dedup, packing, simhash, substring_dedup, url_filter
 
 #: A bounded rule list (host, path, verdict), fixed by the query's contract.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "allow"), ("org", "/es/", "block")]
@@ -22,6 +22,10 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(), room=2048, separator=0)
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), size=35)
+
+
 def op3_bpe_round_trip(spark, sf_dir):
     return chunked_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -38,7 +42,7 @@ def op9_simhash_near_dedup(spark, sf_dir):
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_bpe_round_trip, op5_url_filter, op7_exact_dedup, op9_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_bpe_round_trip, op5_url_filter, op7_exact_dedup, op9_simhash_near_dedup)}
 
 ORACLE_SQL = {
     "op5_url_filter": r"""

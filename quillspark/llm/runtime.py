@@ -51,10 +51,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """base ** 0 .. n - 1 modulo 2 ** 64."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(n, base, np.uint64)
+        out[:1] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n]
 
 
 class Spans:
