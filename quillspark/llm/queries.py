@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import chunked_bpe, exact_dedup, packing, simhash, substring_dedup, url_filter
+from . import chunked_bpe, exact_dedup, packing, simhash, substring_dedup, toxicity, url_filter
 
 #: A bounded rule list (host, path, verdict), fixed by the query's contract.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "allow"), ("org", "/es/", "block")]
@@ -30,6 +31,17 @@ def op3_bpe_round_trip(spark, sf_dir):
     return chunked_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def toxicity_chain(spark, docs, sf_dir):
+    """The categories of ``labels``, in order: junk (quality 0), then toxic."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
+    return toxicity.train(docs, labels, ["junk", "toxic"])
+
+
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity_chain(spark, docs, sf_dir), "toxic")
+
+
 def op5_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"), url_filter.rules_table(spark, URL_RULES))
 
@@ -42,7 +54,7 @@ def op9_simhash_near_dedup(spark, sf_dir):
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_bpe_round_trip, op5_url_filter, op7_exact_dedup, op9_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_bpe_round_trip, op4_toxicity, op5_url_filter, op7_exact_dedup, op9_simhash_near_dedup)}
 
 ORACLE_SQL = {
     "op5_url_filter": r"""

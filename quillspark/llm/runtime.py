@@ -97,12 +97,15 @@ class Words:
         #: First word of each text, and the number of all words.
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
-    def names(self, which: int = 0, lower: bool = False) -> np.ndarray:
+    def spans(self, which: int = 0, lower: bool = False) -> Spans:
         table = BYTE_NAMES[which]
         if lower:
             table = table.copy()
             table[65:91] = table[97:123]
-        return Spans(table[self.data], BYTE_BASE[which]).names(self.start, self.end)
+        return Spans(table[self.data], BYTE_BASE[which])
+
+    def names(self, which: int = 0) -> np.ndarray:
+        return self.spans(which).names(self.start, self.end)
 
 
 def text_batches(columns, most: int = 2_000_000):
