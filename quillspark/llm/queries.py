@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chunked_bpe, exact_dedup, packing, simhash, substring_dedup, toxicity, url_filter
+from . import chunked_bpe, exact_dedup, packing, simhash, substring_dedup, topk, toxicity, url_filter
 
 #: A bounded rule list (host, path, verdict), fixed by the query's contract.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "allow"), ("org", "/es/", "block")]
@@ -50,11 +50,16 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_exact_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op9_simhash_near_dedup(spark, sf_dir):
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_bpe_round_trip, op4_toxicity, op5_url_filter, op7_exact_dedup, op9_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_bpe_round_trip, op4_toxicity, op5_url_filter, op7_exact_dedup, op8_exact_top_k, op9_simhash_near_dedup)}
 
 ORACLE_SQL = {
     "op5_url_filter": r"""
@@ -70,6 +75,15 @@ SELECT p.page_id, p.host, p.path,
        (SELECT arg_max(h || pre, length(h || pre)) FROM rules WHERE (p.host = h OR p.host LIKE '%.' || h) AND starts_with(p.path, pre)) AS rule,
        coalesce((SELECT arg_max(says, length(h || pre)) FROM rules WHERE (p.host = h OR p.host LIKE '%.' || h) AND starts_with(p.path, pre)), 'allow') AS verdict
 FROM p""",
+    "op8_exact_top_k": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5""",
     "op7_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
