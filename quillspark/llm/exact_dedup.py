@@ -32,4 +32,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_hash = groups.groupBy("digest", "text_sha256").agg(alone.alias("keep_id"), F.first("group_size").alias("group_size"))
     slim = hashed.select("doc_id", "digest", F.sha2("body", 256).alias("text_sha256"))
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
-    return slim.join(by_hash, ["digest", "text_sha256"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    # Both sides are dealt anew for the join, by a key of its own, which lets a hot hash be split on the documents' side.
+    key = F.concat("digest", "text_sha256").alias("key")
+    slim, by_hash = slim.select("doc_id", key, "text_sha256"), by_hash.select(key, "keep_id", "group_size")
+    return slim.join(by_hash, "key").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")

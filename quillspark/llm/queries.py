@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chunked_bpe, exact_dedup, packing, simhash, substring_dedup, topk, toxicity, url_filter
+from . import chat_format, chunked_bpe, exact_dedup, packing, simhash, substring_dedup, topk, toxicity, url_filter
 
 #: A bounded rule list (host, path, verdict), fixed by the query's contract.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "allow"), ("org", "/es/", "block")]
@@ -59,7 +59,11 @@ def op9_simhash_near_dedup(spark, sf_dir):
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_bpe_round_trip, op4_toxicity, op5_url_filter, op7_exact_dedup, op8_exact_top_k, op9_simhash_near_dedup)}
+def op10_chat_format(spark, sf_dir):
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_bpe_round_trip, op4_toxicity, op5_url_filter, op7_exact_dedup, op8_exact_top_k, op9_simhash_near_dedup, op10_chat_format)}
 
 ORACLE_SQL = {
     "op5_url_filter": r"""
