@@ -92,7 +92,7 @@ def _dealt(part: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
     """Arrays cut into one row of bytes for each part."""
     order = np.argsort(part, kind="stable")
     parts, at = np.unique(part[order], return_index=True)
-    cut = [np.split(c[order], at[1:]) for c in columns]
+    cut = [np.split(c[order], at[1:]) if len(part) else [] for c in columns]
     return pd.DataFrame({"part": parts.astype(np.int32)} | {f"c{i}": [x.tobytes() for x in c] for i, c in enumerate(cut)})
 
 
