@@ -12,10 +12,8 @@ from .runtime import written
 
 #: Vectors of one index shard, and queries that meet it in one task.
 SHARD, QUERY_BLOCK = 4096, 512
-#: Shares of a query's largest impact: after the postings above each, the index asks whether it may stop.
-LEVELS = (0.45, 0.3, 0.2, 0.12, 0.06)
-#: Rescoring starts when at most this many vectors may still belong to the answer.
-FEW = 256
+#: A query's scoring stops when it is proved that at most this many vectors of the shard can be among its best.
+FEW = 64
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -26,56 +24,50 @@ def quantised(vector: Column, scale: int = 256) -> Column:
 
 
 class Index:
-    """Postings of a shard: for each dimension, the vectors by component, so that each end holds the largest impacts."""
+    """Postings of a shard by quantised impact: segment p holds the (vector, dimension) pairs whose component has bit p.
+
+    A segment's impact is 2 ** p, with the component's sign, so segments fall in impact by halves. What all segments
+    below p can still add to a query's score is at most the query's length times that of the vector's remaining bits.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(vectors, self.order, axis=0)
-
-    def segment(self, d: int, weight: int, above: float, below: float) -> tuple[np.ndarray, np.ndarray]:
-        """Vectors whose impact weight * component on ``d`` is in [above, below), and the impacts."""
-        col = self.sorted[:, d]
-        if weight > 0:
-            a, b = np.searchsorted(col, [np.ceil(above / weight), np.ceil(below / weight)], "left")
-        else:
-            a, b = np.searchsorted(col, [np.floor(below / weight), np.floor(above / weight)], "right")
-        return self.order[a:b, d], weight * col[a:b]
-
-    def top(self, query: np.ndarray, k: int, own) -> list[tuple[int, int]]:
-        """The k best (score, id), ties to smaller ids, but for the id ``own``."""
-        n = len(self.ids)
-        dims = np.flatnonzero(query)
-        live = self.ids != own
-        peak = np.zeros(len(query))
-        if n and len(dims):
-            peak[dims] = np.maximum(query[dims] * self.sorted[0, dims], query[dims] * self.sorted[-1, dims])
-        done, seen, met = np.zeros(n), np.zeros(n), np.flatnonzero(live)
-        last = np.inf
-        for share in LEVELS if n > FEW and peak.max(initial=0) > 0 else ():
-            level = max(1.0, share * peak.max())
-            if level >= last:
-                continue
-            for d in dims[peak[dims] >= level]:
-                at, impact = self.segment(d, int(query[d]), level, last)
-                done[at] += impact
-                seen[at] += 1
-            last = level
-            # A dimension not met yet gives less than the level and at most its peak; one that was met (its peak is no less
-            # than the level) gives nothing more.
-            most = done + np.minimum(peak, level)[dims].sum() - seen * level
-            # Surely reached: exact scores of the k that look best.
-            best = np.argpartition(np.where(live, most, -np.inf), -min(k + 1, n))[-min(k + 1, n) :]
-            best = best[live[best]]
-            if len(best) >= k:
-                floor = np.sort(self.vectors[best] @ query)[-k]
-                met = np.flatnonzero(live & (most >= floor))
-                if len(met) <= FEW:
-                    break
-        # Every possible member is scored exactly, those that tie with the k-th included.
-        scores, ids = self.vectors[met] @ query, self.ids[met]
-        order = np.lexsort((ids, -scores))[:k]
-        return [(int(scores[i]), int(ids[i])) for i in order]
+        self.sizes, self.signs = np.abs(vectors), np.sign(vectors)
+        self.first = int(self.sizes.max(initial=0)).bit_length() - 1
+
+    def segment(self, p: int) -> tuple[np.ndarray, np.ndarray]:
+        """The postings of impact 2 ** p as signs, vectors by dimensions, and the length of each vector's lower bits."""
+        postings = (((self.sizes >> p) & 1) * self.signs).astype(np.float64)
+        return postings, np.sqrt(np.square((self.sizes & ((1 << p) - 1)).astype(np.float64)).sum(axis=1))
+
+    def _exact(self, at: np.ndarray, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        scores, ids = self.vectors[at] @ query, self.ids[at]
+        return [(int(scores[i]), int(ids[i])) for i in np.lexsort((ids, -scores))[:k]]
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """The k best (score, id) of each query, ties to smaller ids, but for the query's own id."""
+        out: list[list[tuple[int, int]]] = [[] for _ in queries]
+        other = self.ids[None, :] != own[:, None]
+        if len(self.ids) <= max(FEW, k + 1) or self.first < 0:
+            return [self._exact(np.flatnonzero(o), q, k) for o, q in zip(other, queries, strict=True)]
+        live, weight = np.arange(len(queries)), queries.astype(np.float64)
+        length = np.sqrt(np.square(weight).sum(axis=1)) * (1 + 1e-12)
+        scores = np.zeros((len(queries), len(self.ids)))
+        for p in range(self.first, -1, -1):
+            postings, rest = self.segment(p)
+            scores += float(1 << p) * (weight[live] @ postings.T)
+            slack = length[live, None] * rest[None, :]
+            sure = np.where(other[live], scores - slack, -np.inf)
+            # k vectors surely reach this; who can't, isn't among the best. Equal scores stay, for ties.
+            floor = np.partition(sure, -k, axis=1)[:, -k]
+            may = other[live] & (scores + slack >= floor[:, None])
+            ended = (may.sum(axis=1) <= FEW) if p else np.ones(len(live), bool)
+            for i in np.flatnonzero(ended):
+                out[live[i]] = self._exact(np.flatnonzero(may[i]), queries[live[i]], k)
+            live, scores = live[~ended], scores[~ended]
+            if not len(live):
+                break
+        return out
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -88,13 +80,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
 
     Vectors are dealt into shards and queries into blocks, and each pair of both meets in one task, that holds one shard
     and one block whatever the input. There the index works score at a time: posting segments by falling impact, until
-    bounds prove which vectors can still be among the best; those are scored exactly. Each task gives k rows a query.
+    bounds prove that few vectors can still be among the best; those are scored exactly. Each task gives k rows a query.
+    As every query meets every shard, work grows with queries times vectors.
     """
 
     def clean(df: DataFrame) -> DataFrame:
         q = quantised(F.col(vector_col), scale)
         df = df.select(F.col(id_col).cast("long").alias("id"), q.alias("v")).where("id is not null and v is not null")
-        big = F.exists("v", lambda x: F.abs(x) >= 1 << 24)
+        big = F.exists("v", lambda x: F.abs(x) >= 1 << 20)
         df = df.withColumn("v", F.when(big, F.raise_error(F.lit("a component is too large"))).otherwise(F.col("v").cast("array<int>")))
         return df.groupBy("id").agg(F.max("v").alias("v")).withColumn("dim", F.size("v"))
 
@@ -113,8 +106,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
             if not len(there):
                 continue
             index = Index(there["id"].to_numpy(), np.array(there["v"].tolist(), np.int64).reshape(len(there), dim))
-            for key, vector in zip(own["id"], own["v"], strict=True):
-                out += [(key, i, s) for s, i in index.top(np.array(vector, np.int64), k, key)]
+            asked = np.array(own["v"].tolist(), np.int64).reshape(len(own), dim)
+            for key, best in zip(own["id"], index.top(asked, own["id"].to_numpy(), k), strict=True):
+                out += [(key, i, s) for s, i in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score long")
