@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .runtime import Words, mix, text_batches
 
 #: Labelled documents that training takes at most, and bytes of text: those of the smallest hashed ids.
-TRAIN_ROWS, TRAIN_BYTES = 4_000, 16_000_000
+TRAIN_ROWS, TRAIN_BYTES = 4_000, 8_000_000
 #: Features that a category's model may weigh: words, and word beginnings of so many bytes, which catch other endings.
 FEATURES, BEGINNINGS = 160, (4, 6)
 #: Documents that a feature must be in.
@@ -98,11 +98,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     texts = [r["_text"].encode("utf-8", "surrogatepass") for r in picked]
     chain: list[Link] = []
     earlier = np.zeros((len(texts), 0))
-    names, doc = _words(texts) if texts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    parts = [_words(texts[k : k + 200]) for k in range(0, len(texts), 200)]
+    names = np.concatenate([n for n, _ in parts]) if parts else np.zeros(0, np.uint64)
+    doc = np.concatenate([d + 200 * k for k, (_, d) in enumerate(parts)]) if parts else np.zeros(0, np.int64)
+    del parts
+    # One row a (word, document) pair, by sorting in place: the driver's memory is small.
+    order = np.lexsort((doc, names))
+    names, doc = names[order], doc[order]
+    new = np.flatnonzero(np.concatenate(([True], (names[1:] != names[:-1]) | (doc[1:] != doc[:-1]))))[: len(names)]
+    counts = np.diff(np.append(new, len(names)))
+    names, doc = names[new], doc[new]
     vocabulary, word = np.unique(names, return_inverse=True)
-    del names
-    cell, counts = np.unique(word * len(texts) + doc, return_counts=True)
-    word, doc = np.divmod(cell, max(1, len(texts)))
+    del names, order, new
     everyone = np.ones(len(texts), bool)
 
     def features(chosen):
