@@ -1,6 +1,357 @@
-"""The library's registered queries and their SQL."""
+"""The library's registered queries over the driver's tables, each with independent SQL for DuckDB where SQL can say it."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import contact as C
+from ..functions import dates as D
+from ..functions import text as T
+from ..operators import education, form, jobs, layout, lists, segment, skills, upsert
+from ..streaming import landing
+from . import record
+
+
+def _t(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
+
+
+@_query(rf"""
+WITH every AS (
+  SELECT doc_id, 1 AS src, unnest(regexp_extract_all(text, '(?i)(?:e[\s\-]?mail(?:\s*id)?|mail(?:\s*id)?|gmail(?:\s*id)?|outlook(?:\s*id)?|yahoo(?:\s*id)?)\s*[:\-–]?\s*({EMAIL})', 1)) AS e,
+         unnest(range(1, 1 + len(regexp_extract_all(text, '(?i)(?:e[\s\-]?mail(?:\s*id)?|mail(?:\s*id)?|gmail(?:\s*id)?|outlook(?:\s*id)?|yahoo(?:\s*id)?)\s*[:\-–]?\s*({EMAIL})', 1)))) AS n FROM documents
+  UNION ALL
+  SELECT doc_id, 4, unnest(regexp_extract_all(regexp_replace(text, '\s*\n\s*', ' ', 'g'), '{EMAIL}')),
+         unnest(range(1, 1 + len(regexp_extract_all(regexp_replace(text, '\s*\n\s*', ' ', 'g'), '{EMAIL}')))) FROM documents),
+one AS (SELECT doc_id, lower(e) AS email, min(src * 100000 + n) AS pos FROM every GROUP BY doc_id, lower(e)),
+scored AS (
+  SELECT *, split_part(email, '@', 1) AS local, CASE WHEN length(email) - length(replace(email, '@', '')) = 1 THEN
+    round(0.4 + CASE WHEN length(split_part(email, '@', 1)) >= 6 THEN 0.2 ELSE -0.3 END
+    + CASE WHEN regexp_matches(split_part(email, '@', 2), '(?i)\.(com|in|net|org|io|co\.in|edu|gov|me|info)$') THEN 0.2 ELSE 0 END
+    + CASE WHEN contains(email, '..') THEN 0 ELSE 0.1 END + 0.1, 2) ELSE 0 END::DOUBLE AS score FROM one),
+kept AS (SELECT *, max(score) OVER (PARTITION BY doc_id) AS best FROM scored QUALIFY score >= 0.6 OR best < 0.6),
+first AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY doc_id, local ORDER BY score DESC, pos) = 1)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank, email, score FROM first""")
+def email_candidates_ranked(spark, sf):
+    """Ranked e-mail addresses of each document."""
+    rows = _t(spark, sf, "documents").where(F.col("text").contains("@")).select("doc_id", F.posexplode(C.best_emails(C.email_candidates("text"))).alias("pos", "email"))
+    return rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("rank"), "email", C.score_email("email").alias("score"))
+
+
+@_query(r"""
+WITH f AS (SELECT doc_id, [trim(x) for x in regexp_extract_all(text, '((?:\+?91[\s\-]?)?(?:\(?\d{3,5}\)?[\s\-]?)?\d{3,5}[\s\-]?\d{4,5})', 1)] AS p FROM documents),
+g AS (SELECT doc_id, [x for x in p if length(regexp_replace(x, '\D', '', 'g')) >= 10] AS p FROM f),
+u AS (SELECT doc_id, p[i] AS phone, i FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM g)),
+d AS (SELECT doc_id, phone, min(i) AS pos FROM u GROUP BY doc_id, phone)
+SELECT doc_id, phone, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank FROM d""")
+def phone_hints(spark, sf):
+    """Distinct phone-like strings of ten digits or more, in order."""
+    rows = _t(spark, sf, "documents").select("doc_id", F.posexplode(C.contact_hints("text")["phones"]).alias("pos", "phone"))
+    return rows.select("doc_id", "phone", (F.col("pos") + 1).cast("long").alias("rank"))
+
+
+@_query(r"""
+WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '[\x{0900}-\x{097F}]')) AS d, len(regexp_extract_all(text, '[\x{0B80}-\x{0BFF}]')) AS t FROM documents),
+s AS (SELECT doc_id, CASE WHEN d > 50 THEN 'devanagari' WHEN t > 50 THEN 'tamil' ELSE 'latin' END AS script FROM n)
+SELECT script, CASE script WHEN 'devanagari' THEN 'eng+hin' WHEN 'tamil' THEN 'eng+tam' ELSE 'eng' END AS ocr, count(*) AS n FROM s GROUP BY ALL""")
+def script_profile(spark, sf):
+    """Documents by script and recognition language."""
+    rows = _t(spark, sf, "documents").select(T.detect_script("text").alias("script"))
+    return rows.withColumn("ocr", T.ocr_language("script")).groupBy("script", "ocr").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(r"""
+WITH l AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS line FROM documents)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (line = '') AS n_blank, count(*) FILTER (regexp_matches(line, '^[•\-*✓➔→◦·▪▸◆●]')) AS n_bullets,
+       count(*) FILTER (regexp_matches(line, '^[=\-_*#~]{5,}$')) AS n_separators, sum(length(line))::BIGINT AS n_chars FROM l GROUP BY doc_id""")
+def line_noise_stats(spark, sf):
+    """Lines of each document by kind."""
+    rows = segment.explode_lines(_t(spark, sf, "documents")).select("doc_id", T.strip(F.col("line")).alias("line"))
+    x = F.col("line")
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(x == "").alias("n_blank"), F.count_if(T.is_bullet(x)).alias("n_bullets"), F.count_if(T.is_separator(x)).alias("n_separators"), F.sum(F.length(x)).alias("n_chars"))
+
+
+@_query(r"""
+WITH l AS (SELECT doc_id, i, regexp_replace(regexp_replace(parts[i], '^\s*(?:\d+\.\s+|[•\-*✓➔→◦·▪▸◆●]+\s*)', ''), '^\s+|\s+$', '', 'g') AS line
+           FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(replace(text, chr(9), ' '), chr(10)) AS parts FROM documents))),
+j AS (SELECT doc_id, regexp_replace(string_agg(line, ' ' ORDER BY i), ' {2,}', ' ', 'g') AS t FROM l WHERE line <> '' GROUP BY doc_id),
+s AS (SELECT doc_id, [regexp_replace(x, '^\s+|\s+$', '', 'g') for x in string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) if length(regexp_replace(x, '^\s+|\s+$', '', 'g')) >= 15] AS s FROM j)
+SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(s, chr(10))) AS digest FROM s WHERE len(s) > 0""")
+def sentence_split(spark, sf):
+    """Number and digest of each document's sentences."""
+    rows = _t(spark, sf, "documents").select("doc_id", T.sentences("text").alias("s")).where("s is not null")
+    return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "\n")).alias("digest"))
+
+
+_KIND = """CASE WHEN regexp_matches(lower({0}), 'java|python|sql|html|css|javascript|excel|tools|proficiency|rating|skill|programming|framework|web technolog|database|vb\\.net|asp\\.net|react|angular|backend|frontend|cloud|devops|server|language') THEN 'skills'
+ WHEN regexp_matches(lower({0}), 'b\\.tech|b\\.e\\.|mba|degree|university|college|cgpa|percentage|graduation|school|board') THEN 'education'
+ WHEN regexp_matches(lower({0}), 'company|employer|designation|from|to|duration|worked|period|responsibilities') THEN 'experience' ELSE 'generic' END"""
+
+
+@_query(f"SELECT doc_id, {_KIND.format('text')} AS kind FROM documents")
+def table_type_guess(spark, sf):
+    """Each document's text classified as if it were a table."""
+    return _t(spark, sf, "documents").select("doc_id", lists.table_kind(F.col("text")).alias("kind"))
+
+
+@_query("""SELECT n.n_regionkey AS region, 'experience' AS type, count(*) AS n_rows, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation n GROUP BY n_regionkey""")
+def structured_tables(spark, sf):
+    """A marked table for each region, parsed back into rows."""
+    rows = _t(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat_ws(" | ", x["n_name"], x["n_nationkey"].cast("string"))), "\n").alias("body"))
+    text = F.concat(F.lit("before\nTABLE_START\nCompany | Key\n"), F.col("body"), F.lit("\nTABLE_END\nafter"))
+    tables = rows.select(F.col("n_regionkey").alias("region"), F.explode(lists.structured_tables(text)).alias("t"))
+    return tables.select("region", F.col("t.type").alias("type"), F.size("t.data").cast("long").alias("n_rows"), F.array_join(F.transform("t.data", lambda m: m["Company"]), ",").alias("names"))
+
+
+_CATEGORY = """CASE WHEN regexp_matches({0}, 'python|java|javascript|typescript|c\\+\\+|c#|golang|go|rust|ruby|php|scala|kotlin|swift|perl|matlab') THEN 'Programming Languages'
+ WHEN regexp_matches({0}, 'react|angular|vue|html|css|redux|webpack|bootstrap|jquery') THEN 'Frontend' WHEN regexp_matches({0}, 'node|express|django|flask|spring|fastapi|laravel|\\.net|microservices') THEN 'Backend'
+ WHEN regexp_matches({0}, 'sql|postgres|mongodb|oracle|redis|cassandra|dynamodb|database') THEN 'Databases' WHEN regexp_matches({0}, 'aws|azure|gcp|cloud|lambda|s3|ec2') THEN 'Cloud'
+ WHEN regexp_matches({0}, 'docker|kubernetes|jenkins|terraform|ansible|ci/cd|devops|linux|git') THEN 'DevOps' WHEN regexp_matches({0}, 'pandas|numpy|spark|hadoop|kafka|etl|tableau|power bi|excel|analytics|machine learning|deep learning|nlp') THEN 'Data & Analytics'
+ WHEN regexp_matches({0}, 'selenium|junit|testing|pytest|cypress|qa') THEN 'Testing' WHEN regexp_matches({0}, 'agile|scrum|jira|kanban|project management') THEN 'Project Management'
+ WHEN regexp_matches({0}, 'communication|leadership|teamwork|problem solving|time management') THEN 'Soft Skills' WHEN regexp_matches({0}, 'english|hindi|tamil|french|german|spanish') THEN 'Languages (Spoken)' ELSE 'Miscellaneous' END"""
+
+
+@_query(f"""
+WITH s AS (SELECT p_partkey, p_name, p_name || ' ' || p_type || ' ' || ['go','rust','vue','sql','git','qa','excel','english','cloud',''][1 + p_partkey % 10] AS skill FROM part)
+SELECT p_partkey, skill, {_CATEGORY.format('lower(skill)')} AS category,
+       array_to_string(list_sort(list_distinct([t for t in regexp_extract_all(lower(skill), '[a-z0-9]+') if length(t) > 1 AND t NOT IN ('and','or','the','of','in','for','to','with','using','based','driven','oriented')])), ' ') AS tokens FROM s""")
+def skill_tokens_categorised(spark, sf):
+    """Part names as skills: category and token set."""
+    words = F.array(*map(F.lit, ("go", "rust", "vue", "sql", "git", "qa", "excel", "english", "cloud", "")))
+    skill = F.concat_ws(" ", "p_name", "p_type", F.get(words, (F.col("p_partkey") % 10).cast("int")))
+    rows = _t(spark, sf, "part").select("p_partkey", skill.alias("skill"))
+    return rows.select("p_partkey", "skill", skills.category(F.col("skill")).alias("category"), F.array_join(skills.tokens(F.col("skill")), " ").alias("tokens"))
+
+
+@_query("""
+WITH r AS (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE p_name END AS s FROM part),
+c AS (SELECT p_brand, min(p_partkey) AS pos, arg_min(upper(s[1]) || s[2:], p_partkey) AS skill, lower(s) AS low FROM r GROUP BY p_brand, lower(s)),
+g AS (SELECT p_brand, pos, skill, list_sort(list_distinct(string_split(low, ' '))) AS t FROM c),
+b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY p_brand, t ORDER BY length(skill) DESC, pos) = 1)
+SELECT p_brand, pos, skill FROM b WHERE NOT (len(t) = 1 AND EXISTS (SELECT 1 FROM b o WHERE o.p_brand = b.p_brand AND len(o.t) > 1 AND list_contains(o.t, b.t[1])))""")
+def skill_dedupe(spark, sf):
+    """Part names of each brand, without repeats and absorbed single words."""
+    name = F.when(F.col("p_partkey") % 3 == 0, F.split_part("p_name", F.lit(" "), F.lit(1))).otherwise(F.col("p_name"))
+    rows = _t(spark, sf, "part").select("p_brand", F.col("p_partkey").alias("pos"), F.concat(F.upper(F.left(name, F.lit(1))), F.substring(name, 2, 100)).alias("skill"))
+    return skills.dedupe_rows(rows, "p_brand")
+
+
+@_query(r"""
+WITH t AS (SELECT p_partkey, p_name, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '\b\w{3,}\b')) AS w FROM part)
+SELECT a.p_partkey AS a_key, b.p_partkey AS b_key, len(list_intersect(a.w, b.w))::DOUBLE / greatest(len(a.w), len(b.w)) AS similarity
+FROM t a JOIN t b ON b.p_partkey = a.p_partkey + 1""")
+def org_similarity_pairs(spark, sf):
+    """Token overlap of neighbouring parts' names."""
+    rows = _t(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    a, b = rows.toDF("a_key", "a"), rows.toDF("b_key", "b")
+    return a.join(b, F.col("b_key") == F.col("a_key") + 1).select("a_key", "b_key", skills.token_similarity("a", "b").alias("similarity"))
+
+
+def _order_spans(spark, sf):
+    """(key, s, e) months from an order to its last shipment, by customer."""
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    shipped = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last"))
+    rows = _t(spark, sf, "orders").join(shipped, F.col("o_orderkey") == F.col("l_orderkey"))
+    return rows.select(F.col("o_custkey").alias("key"), month(F.col("o_orderdate")).alias("s"), month(F.col("last")).alias("e")).where("e > s")
+
+
+_SPANS = """WITH sh AS (SELECT l_orderkey, max(l_shipdate) AS last FROM lineitem GROUP BY 1),
+i AS (SELECT o_custkey AS key, year(o_orderdate) * 12 + month(o_orderdate) AS s, year(last) * 12 + month(last) AS e FROM orders JOIN sh ON o_orderkey = l_orderkey WHERE year(last) * 12 + month(last) > year(o_orderdate) * 12 + month(o_orderdate)),
+f AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM i),
+g AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS n FROM f),
+u AS (SELECT key, n, min(s) AS s, max(e) AS e FROM g GROUP BY key, n)"""
+
+
+@_query(_SPANS + " SELECT key, s::BIGINT AS s, e::BIGINT AS e FROM u")
+def interval_union(spark, sf):
+    """Each customer's merged months of open orders."""
+    return D.merge_intervals(_order_spans(spark, sf)).select("key", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
+
+
+@_query(_SPANS + " SELECT key, count(*) AS islands, sum(e - s)::BIGINT AS months, round_even(sum(e - s) / 12.0, 1)::DOUBLE AS years FROM u GROUP BY key")
+def interval_union_per_customer(spark, sf):
+    """Islands, months and years (half-even) of each customer."""
+    rows = D.merge_intervals(_order_spans(spark, sf)).groupBy("key").agg(F.count(F.lit(1)).alias("islands"), F.sum(F.col("e") - F.col("s")).cast("long").alias("months"))
+    return rows.withColumn("years", D.years_of("months"))
+
+
+@_query(_SPANS + " SELECT key, round_even(sum(e - s) / 12.0, 1)::DOUBLE AS years FROM u GROUP BY key")
+def total_experience(spark, sf):
+    """The same years, read from texts of "Jan 1997 - Mar 1997" lines."""
+    name = lambda m: F.element_at(F.array(*map(F.lit, ("Jan", "Feb", "March", "April", "May", "June", "Jul", "Aug", "Sept", "October", "Nov", "Dec"))), ((m - 1) % 12 + 1).cast("int"))
+    year = lambda m: F.floor((m - 1) / 12).cast("string")
+    line = F.concat(name(F.col("s")), F.lit(" "), year(F.col("s")), F.lit(" - "), name(F.col("e")), F.lit(" "), year(F.col("e")))
+    texts = _order_spans(spark, sf).groupBy("key").agg(F.array_join(F.collect_list(line), "\n").alias("text"))
+    return texts.select("key", D.total_experience("text", as_of=F.lit("2024-01-01").cast("date")).alias("years"))
+
+
+@_query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 1) THEN strftime(CASE WHEN o_orderkey % 4 = 1 THEN o_orderdate ELSE date_trunc('month', o_orderdate) END, '%Y-%m-%d') END AS date,
+  o_orderkey % 4 = 3 AS is_current, CASE WHEN o_orderkey % 4 = 1 THEN day(o_orderdate)::INTEGER END AS day, CASE WHEN o_orderkey % 4 IN (0, 1) THEN month(o_orderdate)::INTEGER END AS month,
+  CASE WHEN o_orderkey % 4 < 3 THEN year(o_orderdate)::INTEGER END AS year FROM orders""")
+def partial_dates(spark, sf):
+    """Order dates written as month and year, d/m/y, year, or Present, and parsed."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    raw = F.when(k == 0, F.date_format(d, "MMMM yyyy")).when(k == 1, F.date_format(d, "d/M/yyyy")).when(k == 2, F.date_format(d, "yyyy")).otherwise(" Present ")
+    return _t(spark, sf, "orders").select("o_orderkey", D.parse_date(raw).alias("x")).select("o_orderkey", "x.*")
+
+
+@_query("SELECT p_partkey, CASE WHEN p_size <= 60 THEN greatest(p_size, 2)::DOUBLE END AS years FROM part")
+def mentioned_years(spark, sf):
+    """The most years that a sentence mentions."""
+    text = F.concat(F.lit("2+ yrs of testing, "), F.col("p_size"), F.lit(" years of experience, 99 years of history"))
+    return _t(spark, sf, "part").select("p_partkey", D.mentioned_years(text).alias("years"))
+
+
+@_query("""
+SELECT p_partkey, (p_size % 11)::DOUBLE AS score, 'CGPA' AS unit FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, p_size::DOUBLE, CASE WHEN p_size <= 10 THEN 'CGPA' ELSE 'Percentage' END FROM part WHERE p_partkey % 2 = 1""")
+def grades(spark, sf):
+    """Grades from ``n/10`` and ``Marks n``."""
+    line = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("scored "), F.col("p_size") % 11, F.lit(" / 10"))).otherwise(F.concat(F.lit("Marks "), F.col("p_size")))
+    return _t(spark, sf, "part").select("p_partkey", education.grade(line).alias("g")).select("p_partkey", "g.score", "g.unit")
+
+
+@_query("""
+WITH w AS (SELECT user_id, floor((value % 600) / 5)::BIGINT AS b FROM events WHERE user_id % 3 = 0),
+g AS (SELECT u.user_id, c.b FROM (SELECT DISTINCT user_id FROM w) u CROSS JOIN range(24, 97) c(b)),
+e AS (SELECT g.user_id, g.b, g.b - row_number() OVER (PARTITION BY g.user_id ORDER BY g.b) AS run FROM g LEFT JOIN (SELECT DISTINCT * FROM w) w USING (user_id, b) WHERE w.b IS NULL),
+r AS (SELECT user_id, min(b) AS a, least(max(b) + 1, 96) AS z FROM e GROUP BY user_id, run)
+SELECT user_id AS doc_id, ((a + z) / 2.0 * 5)::DOUBLE AS mid, ((z - a) * 5)::BIGINT AS width FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY z - a DESC, a) = 1 AND width >= 30""")
+def activity_gap_islands(spark, sf):
+    """The widest empty stretch of each third user's values, by the column detector."""
+    words = _t(spark, sf, "events").where("user_id % 3 = 0").select(F.col("user_id").alias("doc_id"), (F.col("value") % 600).alias("x0"), F.lit(600.0).alias("page_width"))
+    return layout.desert(words).select("doc_id", F.col("mid").cast("double").alias("mid"), F.col("width").cast("long").alias("width"))
+
+
+@_query("""
+WITH g AS (SELECT user_id AS doc_id, epoch_us(ts) AS x0, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) - epoch_us(ts) AS gap FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY gap DESC, x0 DESC) AS rank FROM g WHERE gap IS NOT NULL)
+SELECT doc_id, rank::BIGINT AS rank, gap, (x0 + gap / 2.0)::DOUBLE AS mid FROM r WHERE rank <= 3""")
+def top_gaps(spark, sf):
+    """Each user's three longest pauses, in microseconds."""
+    words = _t(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("x0"))
+    return layout.top_gaps(words, 3).select("doc_id", F.col("rank").cast("long").alias("rank"), "gap", F.col("mid").cast("double").alias("mid"))
+
+
+_HEADING = {"user": "Work Experience:", "assistant": "SKILLS", "system": "🔹 Education"}
+
+
+@_query(r"""
+WITH l AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'experience' WHEN 'assistant' THEN 'skills' ELSE 'education' END AS section, p, i FROM
+  (SELECT conv_id, turn, role, parts[i] AS p, i FROM (SELECT conv_id, turn, role, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM conversations)))
+SELECT conv_id, section, md5(regexp_replace(string_agg(p, chr(10) ORDER BY turn, i), '^\s+|\s+$', '', 'g')) AS digest, count(*) AS n FROM l WHERE regexp_replace(p, '\s', '', 'g') <> '' GROUP BY conv_id, section""")
+def section_forward_fill(spark, sf):
+    """Conversations as texts whose headings are roles, cut into sections."""
+    heading = F.lit(None).cast("string")
+    for role, name in _HEADING.items():
+        heading = F.when(F.col("role") == role, name).otherwise(heading)
+    turn = F.struct("turn", F.concat_ws("\n", heading, "text").alias("x"))
+    docs = _t(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["x"]), "\n").alias("text"))
+    return segment.segment(docs).select(F.col("doc_id").alias("conv_id"), "section", F.md5("text").alias("digest"), F.size(T.lines("text")).cast("long").alias("n"))
+
+
+@_query(r"""
+WITH l AS (SELECT doc_id, i, regexp_replace(parts[i], '^\s+|\s+$', '', 'g') AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))),
+k AS (SELECT doc_id, i, regexp_matches(line, '^[•\-*✓➔→◦·▪▸◆●]') AS bullet, regexp_replace(regexp_replace(line, '^[\s•\-*✓➔→◦·▪▸◆●]+', ''), '^\s+|\s+$', '', 'g') AS x FROM l WHERE line <> '' AND NOT regexp_matches(line, '^[=\-_*#~]{5,}\s*$')),
+g AS (SELECT *, sum(CASE WHEN bullet THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS item FROM k WHERE x <> ''),
+t AS (SELECT doc_id, item, string_agg(x, ' ' ORDER BY i) AS x FROM g GROUP BY doc_id, item)
+SELECT doc_id, count(*) AS items, md5(string_agg(x, chr(10) ORDER BY item)) AS digest FROM t GROUP BY doc_id""")
+def running_group_list(spark, sf):
+    """Items of each document read as a bulleted list."""
+    rows = _t(spark, sf, "documents").select("doc_id", T.line_list("text").alias("x")).where(F.size("x") > 0)
+    return rows.select("doc_id", F.size("x").cast("long").alias("items"), F.md5(F.array_join("x", "\n")).alias("digest"))
+
+
+@_query("""
+WITH m AS (SELECT c_name AS email, c_acctbal AS balance, 'old' AS state FROM customer WHERE c_custkey % 2 = 0),
+i AS (SELECT c_name AS email, c_acctbal + k AS balance, 'new' || k AS state, c_custkey * 10 + k AS ord FROM customer, (VALUES (1), (2)) v(k) WHERE c_custkey % 3 = 0),
+n AS (SELECT email, balance, state FROM i QUALIFY row_number() OVER (PARTITION BY email ORDER BY ord DESC) = 1)
+SELECT * FROM m WHERE email NOT IN (SELECT email FROM n) UNION ALL SELECT * FROM n""")
+def master_upsert(spark, sf):
+    """Customers of even keys, with two changes each to every third: the last wins."""
+    c = _t(spark, sf, "customer")
+    master = c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("email"), F.col("c_acctbal").alias("balance"), F.lit("old").alias("state"))
+    changes = c.where("c_custkey % 3 = 0").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
+    incoming = changes.select(F.col("c_name").alias("email"), (F.col("c_acctbal") + F.col("k")).alias("balance"), F.concat(F.lit("new"), "k").alias("state"), (F.col("c_custkey") * 10 + F.col("k")).alias("ord"))
+    return upsert.upsert(master, incoming, "email", "ord")
+
+
+@_query("""
+WITH s AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM s)
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 3600000000 AS end_us, count(*) AS n, arg_max(value, (ts, event_id)) AS value FROM g GROUP BY user_id, g.n""")
+def last_write_wins_session(spark, sf):
+    """The last value of each user's run of events without an hour's pause."""
+    rows = landing.last_writes(_t(spark, sf, "events"), gap="1 hour")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return rows.select("user_id", micros("start").alias("start_us"), micros("end").alias("end_us"), "n", "value")
+
+
+@_query(r"""
+SELECT c_custkey, NULLIF(regexp_replace('INR ' || round(c_acctbal)::BIGINT || '/-', '[^0-9]', '', 'g')::BIGINT, 0) AS salary,
+       c_custkey % 7 < 6 AS good_notice, CASE WHEN c_acctbal >= 1024 THEN 'KB' ELSE 'B' END AS unit FROM customer""")
+def form_checks(spark, sf):
+    """Salary, notice and size checks of the form over customers."""
+    notice = F.get(F.array(*map(F.lit, (*form.NOTICE, "Next year"))), (F.col("c_custkey") % 7).cast("int"))
+    raw = F.concat(F.lit("INR "), F.round("c_acctbal").cast("long").cast("string"), F.lit("/-"))
+    size = form.file_size(F.floor("c_acctbal"))
+    return _t(spark, sf, "customer").select("c_custkey", form.salary(raw).alias("salary"), form.valid_notice(notice).alias("good_notice"), F.regexp_extract(size, "([KM]?B)$", 1).alias("unit"))
+
+
+@_query(r"SELECT page_id, contains(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), 'example.com') AS good FROM pages")
+def valid_urls(spark, sf):
+    """Whether each page is of one domain."""
+    return _t(spark, sf, "pages").select("page_id", form.valid_url(F.col("url"), "example.com").alias("good"))
+
+
+@_query(r"""
+SELECT doc_id, md5(regexp_replace(regexp_replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), ''), chr(9), ' '), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM documents""")
+def normalised_text(spark, sf):
+    """Digest of each normalised text."""
+    return _t(spark, sf, "documents").select("doc_id", F.md5(T.normalize("text")).alias("digest"))
+
+
+@_query()
+def cleaned_documents(spark, sf):
+    """Each document cleaned and formatted."""
+    return segment.format_documents(_t(spark, sf, "documents").select("doc_id", "text"))
+
+
+CV = (1, "JANE MARIA DOE\nEmail: jane.doe@gmail.com\nMobile: +91 98765 43210\nSUMMARY\nResults-driven Senior Software Engineer with 8+ years of experience in data platforms.\nSKILLS\nPython, Java, Java EE, Spring Boot | MongoDB\nEXPERIENCE\nSenior Developer\nAcme Solutions Pvt Ltd\nJan 2018 - Mar 2020\n• Built pipelines\nData Analyst - Beta Systems 2015 - 2017\nEDUCATION\nB.Tech in Computer Science\nAnna University, Chennai\n2008 - 2012\nPROJECTS\nProject 1: Alpha\nClient: Big Bank\nTechnologies: Spark, Kafka\nLANGUAGES\nEnglish - Fluent")
+
+
+@_query("SELECT 1::BIGINT AS doc_id, 'JANE MARIA DOE' AS full_name, 'jane.doe@gmail.com' AS email, 2.2::DOUBLE AS years, 'Senior Software Engineer' AS position, 'Java EE,MongoDB,Python,Spring Boot' AS skills, 'B.Tech' AS degree, 'Alpha' AS project")
+def cv_record_end_to_end(spark, sf):
+    """The candidate record of one inline CV, flattened."""
+    docs = spark.createDataFrame([CV], "doc_id long, text string")
+    r = record.candidate_records(docs, as_of=F.lit("2024-06-15").cast("date"))
+    get = lambda c, k: F.get(F.col(f"record.{c}"), F.lit(0))[k]
+    return r.select(
+        "doc_id", F.col("record.candidate_name.full_name").alias("full_name"), F.get("record.email", F.lit(0)).alias("email"), F.col("record.total_years_experience").alias("years"),
+        F.col("record.current_position.current_position").alias("position"), F.array_join(F.transform("record.skills", lambda s: s["name"]), ",").alias("skills"), get("education", "degree").alias("degree"), get("projects", "project_title").alias("project"),
+    )
+
+
+@_query()
+def candidate_records(spark, sf):
+    """Every document read as a CV: the whole record as JSON."""
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    return record.to_json(record.candidate_records(docs, as_of=F.lit("2024-06-15").cast("date")))
