@@ -18,7 +18,7 @@ ROUNDS, RUNS = 5, (0,)
 #: Words named from a symbol's start on; an anchor is valid in a window that holds them and all that shaped the symbol.
 PHRASE = 12
 #: Bytes of text that one task compares with the names others have found.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 8_000_000
 
 
 def _runs(name: np.ndarray, begin: np.ndarray, low: np.ndarray, high: np.ndarray):
