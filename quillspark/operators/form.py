@@ -10,7 +10,7 @@ NOTICE = ("Immediately", "Within 15 Days", "Within 30 Days", "Within 45 Days", "
 
 def distinct_names(names: Column) -> Column:
     """Trimmed names without empty ones; of names that differ in case, the first."""
-    clean = F.filter(F.transform(names, F.trim), lambda x: x != "")
+    clean = F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != "")
     return F.filter(clean, lambda x, i: ~F.exists(F.slice(clean, F.lit(1), i), lambda o: F.lower(o) == F.lower(x)))
 
 

@@ -133,8 +133,8 @@ def row_aware_text(words: DataFrame, borders: DataFrame) -> DataFrame:
     cut = (F.col("l").rlike(P.DATE_PARTIAL) | F.col("l").rlike(P.DATE_COMPACT)) & F.coalesce(F.lead("l").over(order).rlike(P.DATE_END), F.lit(False))
     rows = rows.withColumns({"pos": F.row_number().over(order), "cut": cut, "nl": F.lead("l").over(order), "nr": F.lead("r").over(order)})
     # An end that was taken by the row before it can't take the next: an end is never a cut range itself.
-    taken = F.coalesce(F.lag("cut").over(order), F.lit(False))
-    rows = rows.withColumn("taken", taken).where(~(F.col("taken") & ((F.lag("r").over(order) == "") | (F.col("r") == "") | (F.col("r") == F.lag("r").over(order)))))
+    rows = rows.withColumns({"taken": F.coalesce(F.lag("cut").over(order), F.lit(False)), "pr": F.lag("r").over(order)})
+    rows = rows.where(~(F.col("taken") & ((F.col("pr") == "") | (F.col("r") == "") | (F.col("r") == F.col("pr")))))
     date = T.strip(T.sub(F.concat_ws(" ", T.sub(F.col("l"), r"\s+$"), F.col("nl")), r"([-–])([A-Za-z])", "$1 $2"))
     l = T.sub(F.when(F.col("taken"), "").when(F.col("cut"), date).otherwise(F.col("l")), " {2,}", " ")
     r = T.sub(F.when(F.col("cut") & (F.col("r") == ""), F.col("nr")).otherwise(F.col("r")), " {2,}", " ")

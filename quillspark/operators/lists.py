@@ -92,7 +92,7 @@ def structured_tables(text) -> Column:
 
 def is_layout_artifact(cells: Column) -> Column:
     """Of an array of rows of cells: empty, with a cell over 300 characters, or of one short column."""
-    filled = F.filter(F.transform(F.filter(F.flatten(F.transform(cells, lambda r: F.coalesce(r, F.array()))), lambda c: c.isNotNull() & (c != "")), F.trim), lambda c: c.isNotNull())
+    filled = F.filter(F.transform(F.filter(F.flatten(F.transform(cells, lambda r: F.coalesce(r, F.array()))), lambda c: c.isNotNull() & (c != "")), lambda c: F.trim(c)), lambda c: c.isNotNull())
     narrow = F.array_max(F.transform(cells, lambda r: F.coalesce(F.size(r), F.lit(0)))) <= 1
     return F.coalesce(F.size(cells) == 0, F.lit(True)) | (F.size(filled) == 0) | F.exists(filled, lambda c: F.length(c) > 300) | (narrow & ((F.size(cells) <= 3) | F.forall(filled, lambda c: F.length(c) <= 80)))
 

@@ -76,9 +76,11 @@ def format_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumns({"prev": F.last(filled, ignorenulls=True).over(before), "next": F.first(filled, ignorenulls=True).over(after), "in_section": F.coalesce(F.max(F.col("kind") == "header").over(before), F.lit(False))})
     bare = (F.col("kind") == "header") & (F.coalesce(F.col("next.kind"), F.lit("header")) == "header")
     lost = (F.col("kind") == "blank") & (F.coalesce(F.col("prev.kind"), F.lit("header")) == "header")
-    rows = rows.where(~bare & ~lost)
+    closes = F.coalesce(F.col("prev.kind") == "body", F.lit(False))
+    rows = rows.withColumns({"bare": bare, "closes": closes}).where(~(bare & ~closes) & ~lost)
     shown = F.when((F.col("kind") == "body") & F.col("in_section"), F.concat(F.lit("  "), F.col("line"))).otherwise(F.col("line"))
-    gap = F.when((F.col("kind") == "header") & (F.col("prev.kind") == "body"), F.array(F.lit(""), shown)).otherwise(F.array(shown))
+    # A heading that follows a body leaves a blank line before it, even if it goes itself.
+    gap = F.when(F.col("bare"), F.array(F.lit(""))).when((F.col("kind") == "header") & F.col("closes"), F.array(F.lit(""), shown)).otherwise(F.array(shown))
     out = rows.select("doc_id", "pos", F.posexplode(gap).alias("sub", "line"))
     return out.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "sub")) - 1).alias("pos"), "line")
 

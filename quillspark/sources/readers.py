@@ -24,7 +24,9 @@ R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """``path, name, ext, length, content, reason`` of a folder's files but for temporary ones; ``reason`` is null for good ones."""
+    """``path, name, ext, length, content, reason`` of a folder's files but for temporary ones; ``reason`` is null for good ones.
+
+    Spark's own scan passes over files of no bytes, so those come with no row rather than a reason."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
@@ -94,7 +96,7 @@ def rtf_to_text(content: bytes) -> str:
         if m is None:
             at += 1
             continue
-        at = m.end()
+        at = m.end() - 1 if m["sign"] else m.end()  # only the backslash goes: a brace behind it still opens or closes
         if m["open"]:
             depth += 1
             if m["group"]:

@@ -31,6 +31,7 @@ def candidates(docs: DataFrame, lookups: Lookups = DEFAULT, as_of=None) -> DataF
 
 def last_writes(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = "1 second", late: str = "1 minute") -> DataFrame:
     """``key, start, end, n, value``: the last value of each run of events with no pause of ``gap``; batch or stream."""
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    rows = rows.withWatermark(ts, late) if events.isStreaming else rows
     grouped = rows.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max_by("value", F.struct(ts, "event_id")).alias("value"))
     return grouped.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "value")
