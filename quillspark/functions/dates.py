@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import _col, strip
+from .text import _col, let, strip
 
 DATE_FIELD = "struct<date:string,is_current:boolean,day:int,month:int,year:int>"
 
@@ -28,34 +28,36 @@ def _iso(year: Column, month: Column, day: Column) -> Column:
 
 def parse_date(raw) -> Column:
     """A partial date: a current term; month and year; a year; day, month and year; else all null."""
-    x = strip(_col(raw))
-    low = F.lower(x)
-    word, year = F.regexp_extract(x, r"^([A-Za-z]{3,9}\.?),?\s+(\d{4})$", 1), F.regexp_extract(x, r"(\d{4})$", 1)
-    month, y = _month_number(word), F.try_to_number(year, F.lit("9999")).cast("int")
-    day_of, month_of, year_of = (F.regexp_extract(x, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})", k) for k in (1, 2, 3))
-    full = _iso(*(c.try_cast("int") for c in (year_of, month_of, day_of)))
-    swapped = _iso(*(c.try_cast("int") for c in (year_of, day_of, month_of)))
-    whole = F.coalesce(full, swapped)
-    return (
-        F.when(low.isin(*P.CURRENT_TERMS) | low.contains("present"), _field(None, True, None, None, None))
-        .when((word != "") & month.isNotNull(), _field(_iso(y, month, F.lit(1)), False, None, month, y))
-        .when(x.rlike(r"^\d{4}$"), _field(None, False, None, None, x.try_cast("int")))
-        .when(whole.isNotNull(), _field(whole, False, F.when(full.isNotNull(), F.dayofmonth(full)), F.month(whole), F.year(whole)))
-        .when(x.isNotNull(), _field(None, False, None, None, None))
-    )
+    number = lambda x, pattern, k: F.regexp_extract(x, pattern, k).try_cast("int")
+    words, digits = r"^([A-Za-z]{3,9}\.?),?\s+(\d{4})$", r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})"
+
+    def read(x: Column) -> Column:
+        return F.struct(F.lower(x).alias("low"), _month_number(F.regexp_extract(x, words, 1)).alias("month"), number(x, words, 2).alias("year"), number(x, r"^(\d{4})$", 1).alias("only"), number(x, digits, 1).alias("d"), number(x, digits, 2).alias("m"), number(x, digits, 3).alias("y"))
+
+    def dated(p: Column) -> Column:
+        return F.struct(_iso(p["y"], p["m"], p["d"]).alias("full"), _iso(p["y"], p["d"], p["m"]).alias("swapped"))
+
+    def field(p: Column) -> Column:
+        by_day = lambda q: F.when(q["full"].isNotNull(), _field(q["full"], False, F.dayofmonth(q["full"]), F.month(q["full"]), F.year(q["full"]))).when(q["swapped"].isNotNull(), _field(q["swapped"], False, None, F.month(q["swapped"]), F.year(q["swapped"])))
+        return (
+            F.when(p["low"].isin(*P.CURRENT_TERMS) | p["low"].contains("present"), _field(None, True, None, None, None))
+            .when(p["month"].isNotNull(), _field(_iso(p["year"], p["month"], F.lit(1)), False, None, p["month"], p["year"]))
+            .when(p["only"].isNotNull(), _field(None, False, None, None, p["only"]))
+            .when(p["low"].isNotNull(), F.coalesce(let(dated(p), by_day), _field(None, False, None, None, None)))
+        )
+
+    return let(strip(_col(raw)), lambda x: let(read(x), field))
 
 
 def date_range(line) -> Column:
     """(raw, start, end) of the first range on a line by three patterns in order; parts may be empty; null without one."""
     x = _col(line)
-    raw = F.regexp_extract(x, f"(?i)({P.ANY_RANGE[4:]})", 1)
-    of = lambda text, pattern, *at: [F.regexp_extract(text, pattern, k) for k in at]
-    made = lambda a, b, c: F.struct(a.alias("raw"), b.alias("start"), c.alias("end"))
     whole = lambda pattern: F.regexp_extract(x, f"(?i)({pattern[4:]})", 1)
-    return (
-        F.when(raw != "", made(raw, *of(raw, P.DATE_RANGE, 1, 2)))
-        .when(x.rlike(P.NUMERIC_RANGE), made(whole(P.NUMERIC_RANGE), *of(x, P.NUMERIC_RANGE, 1, 2)))
-        .when(x.rlike(P.YEAR_RANGE), made(whole(P.YEAR_RANGE), *of(x, P.YEAR_RANGE, 1, 2)))
+    made = lambda raw, text, pattern: F.struct(raw.alias("raw"), F.regexp_extract(text, pattern, 1).alias("start"), F.regexp_extract(text, pattern, 2).alias("end"))
+    return F.coalesce(
+        let(whole(P.ANY_RANGE), lambda raw: F.when(raw != "", made(raw, raw, P.DATE_RANGE))),
+        F.when(x.rlike(P.NUMERIC_RANGE), made(whole(P.NUMERIC_RANGE), x, P.NUMERIC_RANGE)),
+        F.when(x.rlike(P.YEAR_RANGE), made(whole(P.YEAR_RANGE), x, P.YEAR_RANGE)),
     )
 
 
@@ -97,10 +99,10 @@ def total_experience(text, summary=None, as_of: Column | None = None) -> Column:
     pairs = lambda pattern: F.arrays_zip(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(x, F.lit(pattern), F.lit(2)).alias("b"))
 
     def index(raw: Column, day_first: bool) -> Column:
-        d, m, y = (F.regexp_extract(raw, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", k).try_cast("int") for k in (1, 2, 3))
-        numeric = y * 12 + (F.when(m <= 12, m).otherwise(d) if day_first else F.when(d <= 12, d).otherwise(m))
-        p = parse_date(raw)
-        return F.coalesce(numeric, p["year"] * 12 + F.coalesce(p["month"], F.month(today)))
+        part = lambda k: F.regexp_extract(raw, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$", k).try_cast("int")
+        first, second = ("m", "d") if day_first else ("d", "m")
+        numeric = let(F.struct(part(1).alias("d"), part(2).alias("m"), part(3).alias("y")), lambda q: q["y"] * 12 + F.when(q[first] <= 12, q[first]).otherwise(q[second]))
+        return F.coalesce(numeric, let(parse_date(raw), lambda p: p["year"] * 12 + F.coalesce(p["month"], F.month(today))))
 
     def spans(pattern: str, day_first: bool) -> Column:
         made = F.transform(pairs(pattern), lambda p: F.struct(index(p["a"], day_first).cast("int").alias("s"), F.when(F.lower(strip(p["b"])).isin(*P.CURRENT_TERMS), now).otherwise(F.coalesce(index(p["b"], False), now)).cast("int").alias("e")))
@@ -108,9 +110,9 @@ def total_experience(text, summary=None, as_of: Column | None = None) -> Column:
 
     years = F.transform(pairs(P.YEAR_RANGE), lambda p: F.struct((p["a"].cast("int") * 12 + 1).alias("s"), (F.when(F.lower(p["b"]).isin(*P.CURRENT_TERMS), F.year(today)).otherwise(p["b"].try_cast("int")) * 12 + 12).alias("e")))
     found = F.concat(spans(P.DATE_RANGE, False), spans(P.NUMERIC_RANGE, True))
-    months = merged_months(F.when(F.size(found) > 0, found).otherwise(F.filter(years, lambda i: i["e"] > i["s"])))
+    months = let(found, lambda f: merged_months(F.when(F.size(f) > 0, f).otherwise(F.filter(years, lambda i: i["e"] > i["s"]))))
     said = mentioned_years(F.concat_ws("\n", x, _col(summary)) if summary is not None else x)
-    return F.when(months > 0, years_of(months)).otherwise(F.coalesce(said, F.lit(0.0)))
+    return let(months, lambda m: F.when(m > 0, years_of(m)).otherwise(F.coalesce(said, F.lit(0.0))))
 
 
 def merge_intervals(df: DataFrame, key: str = "key", s: str = "s", e: str = "e") -> DataFrame:

@@ -16,9 +16,18 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+#: White space, Unicode's included.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(x: Column) -> Column:
-    """Without white space at both ends, Unicode's included."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends."""
+    return F.trim(x, F.lit(WHITE))
+
+
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it: lambdas share no subexpressions."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def sub(x: Column, pattern: str, to: str = "") -> Column:
@@ -225,12 +234,15 @@ def fix_ocr_spacing(text) -> Column:
 
 
 def fix_merged_headers(text) -> Column:
+    """Headers whose words ran together, and misspelt ones. One pattern first tells whether any of them is there."""
+    glued = [w.replace(" ", "") for w in P.MERGED_HEADERS]
+    some = _col(text).rlike(rf"\b(?:(?i:{'|'.join(glued)})\b|{'|'.join(f'(?:{p})' for p, _ in P.OTHER_HEADERS)})")
     out = _col(text)
-    for words in P.MERGED_HEADERS:
-        out = sub(out, rf"(?i)\b{words.replace(' ', '')}\b", words)
+    for word, words in zip(glued, P.MERGED_HEADERS, strict=True):
+        out = sub(out, rf"(?i)\b{word}\b", words)
     for pattern, words in P.OTHER_HEADERS:
         out = sub(out, pattern, words)
-    return out
+    return F.when(some, out).otherwise(_col(text))
 
 
 def strip_stray_section_tokens(text) -> Column:
@@ -267,16 +279,13 @@ def sentences(text, least: int = 15) -> Column:
     rows = F.transform(raw_lines(sub(F.replace(_col(text), F.lit("\t"), F.lit(" ")), "\r")), lambda x: strip(sub(x, P.SUMMARY_LEAD)))
     joined = F.array_join(F.filter(rows, lambda x: x != ""), " ")
     parts = F.split(sub(joined, " {2,}", " "), r"(?<=[.!?])\s+")
-    kept = F.filter(F.transform(parts, strip), lambda x: F.length(x) >= least)
-    return F.when(F.size(kept) > 0, kept)
+    return let(F.filter(F.transform(parts, strip), lambda x: F.length(x) >= least), lambda kept: F.when(F.size(kept) > 0, kept))
 
 
 def line_list(text) -> Column:
     """Items of a bulleted list: a bullet opens one, other lines go on with it."""
-    rows = F.filter(F.transform(lines(text), strip_emoji), lambda x: ~is_separator(x) & (clean_bullet(x) != ""))
-
-    def step(done: Column, x: Column) -> Column:
-        more = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat_ws(" ", F.element_at(done, -1), clean_bullet(x))))
-        return F.when(is_bullet(x) | (F.size(done) == 0), F.concat(done, F.array(clean_bullet(x)))).otherwise(more)
-
-    return F.aggregate(rows, F.array().cast("array<string>"), step)
+    kept = F.filter(F.transform(lines(text), strip_emoji), lambda x: ~is_separator(x))
+    rows = F.filter(F.transform(kept, lambda x: F.struct(is_bullet(x).alias("opens"), clean_bullet(x).alias("x"))), lambda r: r["x"] != "")
+    # Items are joined by a mark that no line holds, then cut there: one pass, however many there are.
+    marked = F.transform(rows, lambda r, i: F.concat(F.when(i == 0, "").when(r["opens"], "\n").otherwise(" "), r["x"]))
+    return let(F.array_join(marked, ""), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "\n", -1)))

@@ -88,20 +88,25 @@ def summary_position(text) -> Column:
     edge = lambda x: T.sub(T.strip(x), r"^[.,;:\-]+|[.,;:\-]+$")
     good = lambda t: (t != "") & ~t.rlike(P.POSITION_DUTY) & F.length(t).between(3, 80)
 
-    def of(line: Column) -> Column:
-        first = edge(F.regexp_extract(line, P.POSITION_WITH_YEARS, 1))
-        rank, base = T.strip(F.regexp_extract(line, P.POSITION_PIPE, 1)), edge(F.regexp_extract(line, P.POSITION_PIPE, 2))
-        second = T.strip(F.concat_ws(" ", rank, base))
-        return (
-            F.when(line.rlike(P.POSITION_SECTION), None)
-            .when(good(first), _result(first, F.regexp_extract(line, P.POSITION_WITH_YEARS, 2), "summary", line))
-            .when(good(second) & (base != ""), _result(second, F.regexp_extract(line, P.POSITION_PIPE, 3), "summary", line))
-        )
-
-    block = F.array_join(rows, " ")
-    loose = clean_title(edge(F.regexp_extract(block, P.POSITION_LOOSE, 1)))
-    fallback = F.when(good(loose), _result(loose, F.regexp_extract(block, P.POSITION_LOOSE, 2), "summary", block))
-    return F.coalesce(F.get(F.filter(F.transform(rows, of), lambda r: r.isNotNull()), F.lit(0)), fallback)
+    def whole(line: Column) -> Column:
+        return T.let(edge(F.regexp_extract(line, P.POSITION_WITH_YEARS, 1)), lambda t: F.when(good(t), _result(t, F.regexp_extract(line, P.POSITION_WITH_YEARS, 2), "summary", line)))
+
+    def piped(line: Column) -> Column:
+        base = edge(F.regexp_extract(line, P.POSITION_PIPE, 2))
+        title = F.when(base != "", T.strip(F.concat_ws(" ", T.strip(F.regexp_extract(line, P.POSITION_PIPE, 1)), base))).otherwise("")
+        return T.let(title, lambda t: F.when(good(t), _result(t, F.regexp_extract(line, P.POSITION_PIPE, 3), "summary", line)))
+
+    def loose(block: Column) -> Column:
+        return T.let(clean_title(edge(F.regexp_extract(block, P.POSITION_LOOSE, 1))), lambda t: F.when(good(t), _result(t, F.regexp_extract(block, P.POSITION_LOOSE, 2), "summary", block)))
+
+    # All three patterns end in a number of years; where there is none, they aren't tried.
+    dated = lambda x: x.rlike(P.YEARS_MENTIONED)
+
+    def found(lines: Column) -> Column:
+        each = F.transform(F.filter(lines, lambda x: dated(x) & ~x.rlike(P.POSITION_SECTION)), lambda x: F.coalesce(whole(x), piped(x)))
+        return F.coalesce(F.get(F.filter(each, lambda r: r.isNotNull()), F.lit(0)), T.let(F.array_join(lines, " "), lambda block: F.when(dated(block), loose(block))))
+
+    return T.let(rows, found)
 
 
 def is_current(job: Column) -> Column:

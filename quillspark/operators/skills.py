@@ -12,11 +12,14 @@ from ..functions.lookups import DEFAULT, NO_CATEGORY, SPOKEN, Lookups
 
 def clean_token(raw: Column) -> Column:
     """A skill without a leading connective and outer punctuation; empty if it is no skill."""
-    x = T.sub(T.strip(T.sub(raw, P.SKILL_LEAD)), r"^[.,;:()\-]+|[.,;:()\-]+$")
-    bad = (F.length(x) < 2) | (F.size(F.split(T.strip(x), r"\s+")) > 4) | F.lower(x).isin(*P.SKILL_JUNK) | x.rlike(r"[.%~]$")
-    for pattern in (P.SKILL_DATE, P.SKILL_COMPANY, P.SKILL_VERB, P.SKILL_METRIC, P.SKILL_TITLE):
-        bad = bad | x.rlike(pattern)
-    return F.when(bad, "").otherwise(x)
+
+    def kept(x: Column) -> Column:
+        bad = (F.length(x) < 2) | (F.size(F.split(T.strip(x), r"\s+")) > 4) | F.lower(x).isin(*P.SKILL_JUNK) | x.rlike(r"[.%~]$")
+        for pattern in (P.SKILL_DATE, P.SKILL_COMPANY, P.SKILL_VERB, P.SKILL_METRIC, P.SKILL_TITLE):
+            bad = bad | x.rlike(pattern)
+        return F.when(bad, "").otherwise(x)
+
+    return T.let(T.sub(T.strip(T.sub(raw, P.SKILL_LEAD)), r"^[.,;:()\-]+|[.,;:()\-]+$"), kept)
 
 
 def split_skills(text) -> Column:
