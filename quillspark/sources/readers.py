@@ -74,9 +74,13 @@ def file_kind(content: Column) -> Column:
     return F.when(head == "504B0304", zip_kind(content)).when(head.startswith("7B5C"), "rtf").when(head == "D0CF11E0", "ole2").otherwise("unknown")
 
 
+#: The bytes that Windows-1252 gives signs of its own.
+_C1 = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+
+
 def plain_text(content: Column) -> Column:
     """UTF-8 (a mark at its start dropped) or, where it isn't, Windows-1252."""
-    return F.when(F.is_valid_utf8(content.cast("string")), F.regexp_replace(content.cast("string"), "^\ufeff", "")).otherwise(F.decode(content, "windows-1252"))
+    return F.when(F.is_valid_utf8(content.cast("string")), F.regexp_replace(content.cast("string"), "^\ufeff", "")).otherwise(F.translate(F.decode(content, "iso-8859-1"), _C1, _C1.encode("latin-1").decode("cp1252")))
 
 
 # --- RTF ---------------------------------------------------------------------------------------------------------

@@ -106,7 +106,7 @@ def docx():
     para = lambda t, props="", bold=False: f"<w:p>{props}<w:r>{'<w:rPr><w:b/></w:rPr>' if bold else ''}<w:t>{t}</w:t></w:r></w:p>"
     cell = lambda t: f"<w:tc>{para(t)}</w:tc>"
     borders = '<w:tblPr><w:tblBorders><w:top w:val="single"/></w:tblBorders></w:tblPr>'
-    blob = "<w:p><w:r><w:rPr><w:b/></w:rPr><w:t>Technical Skills</w:t></w:r><w:r><w:t>" + "word " * 50 + "</w:t></w:r></w:p>"
+    blob = "<w:p><w:r><w:rPr><w:b/></w:rPr><w:t>Technical Skills</w:t></w:r><w:r><w:t> " + "word " * 50 + "</w:t></w:r></w:p>"
     body = para("My Part", '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>') + para("plain text") + para("SKILLS", bold=True) + blob
     body += f"<w:tbl>{borders}<w:tr>{cell('A')}{cell('B')}{cell('A')}</w:tr></w:tbl><w:tbl><w:tr>{cell('C')}{cell('D')}</w:tr></w:tbl>"
     body += '<w:p><w:hyperlink r:id="r1"><w:r><w:t>site</w:t></w:r></w:hyperlink></w:p>'
