@@ -230,14 +230,14 @@ def grades(spark, sf):
 
 
 @_query("""
-WITH w AS (SELECT user_id, floor((value % 600) / 5)::BIGINT AS b FROM events WHERE user_id % 3 = 0),
+WITH w AS (SELECT user_id, floor((value % 600) / 5)::BIGINT AS b FROM events),
 g AS (SELECT u.user_id, c.b FROM (SELECT DISTINCT user_id FROM w) u CROSS JOIN range(24, 97) c(b)),
 e AS (SELECT g.user_id, g.b, g.b - row_number() OVER (PARTITION BY g.user_id ORDER BY g.b) AS run FROM g LEFT JOIN (SELECT DISTINCT * FROM w) w USING (user_id, b) WHERE w.b IS NULL),
 r AS (SELECT user_id, min(b) AS a, least(max(b) + 1, 96) AS z FROM e GROUP BY user_id, run)
 SELECT user_id AS doc_id, ((a + z) / 2.0 * 5)::DOUBLE AS mid, ((z - a) * 5)::BIGINT AS width FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY z - a DESC, a) = 1 AND width >= 30""")
 def activity_gap_islands(spark, sf):
-    """The widest empty stretch of each third user's values, by the column detector."""
-    words = _t(spark, sf, "events").where("user_id % 3 = 0").select(F.col("user_id").alias("doc_id"), (F.col("value") % 600).alias("x0"), F.lit(600.0).alias("page_width"))
+    """The widest empty stretch of each user's values, by the column detector."""
+    words = _t(spark, sf, "events").select(F.col("user_id").alias("doc_id"), (F.col("value") % 600).alias("x0"), F.lit(600.0).alias("page_width"))
     return layout.desert(words).select("doc_id", F.col("mid").cast("double").alias("mid"), F.col("width").cast("long").alias("width"))
 
 
@@ -281,17 +281,18 @@ def running_group_list(spark, sf):
 
 
 @_query("""
-WITH m AS (SELECT c_name AS email, c_acctbal AS balance, 'old' AS state FROM customer WHERE c_custkey % 2 = 0),
-i AS (SELECT c_name AS email, c_acctbal + k AS balance, 'new' || k AS state, c_custkey * 10 + k AS ord FROM customer, (VALUES (1), (2)) v(k) WHERE c_custkey % 3 = 0),
+WITH i AS (SELECT c_name AS email, o_totalprice AS balance, o_orderstatus AS state, o_orderkey AS ord FROM orders JOIN customer ON o_custkey = c_custkey
+           UNION ALL SELECT s_name, s_acctbal, 'new', s_suppkey FROM supplier),
 n AS (SELECT email, balance, state FROM i QUALIFY row_number() OVER (PARTITION BY email ORDER BY ord DESC) = 1)
-SELECT * FROM m WHERE email NOT IN (SELECT email FROM n) UNION ALL SELECT * FROM n""")
+SELECT c_name AS email, c_acctbal AS balance, c_mktsegment AS state FROM customer WHERE c_name NOT IN (SELECT email FROM n) UNION ALL SELECT * FROM n""")
 def master_upsert(spark, sf):
-    """Customers of even keys, with two changes each to every third: the last wins."""
-    c = _t(spark, sf, "customer")
-    master = c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("email"), F.col("c_acctbal").alias("balance"), F.lit("old").alias("state"))
-    changes = c.where("c_custkey % 3 = 0").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2))))
-    incoming = changes.select(F.col("c_name").alias("email"), (F.col("c_acctbal") + F.col("k")).alias("balance"), F.concat(F.lit("new"), "k").alias("state"), (F.col("c_custkey") * 10 + F.col("k")).alias("ord"))
-    return upsert.upsert(master, incoming, "email", "ord")
+    """Customers, with each of their orders as a change (the last wins) and suppliers as new keys."""
+    c, s = _t(spark, sf, "customer"), _t(spark, sf, "supplier")
+    master = c.select(F.col("c_name").alias("email"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("state"))
+    changes = _t(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    changes = changes.select(F.col("c_name").alias("email"), F.col("o_totalprice").alias("balance"), F.col("o_orderstatus").alias("state"), F.col("o_orderkey").alias("ord"))
+    new = s.select(F.col("s_name").alias("email"), F.col("s_acctbal").alias("balance"), F.lit("new").alias("state"), F.col("s_suppkey").alias("ord"))
+    return upsert.upsert(master, changes.unionByName(new), "email", "ord")
 
 
 @_query("""
