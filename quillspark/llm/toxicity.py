@@ -17,7 +17,7 @@ TRAIN_ROWS, TRAIN_BYTES = 4_000, 8_000_000
 FEATURES, BEGINNINGS = 160, (4, 6)
 #: Documents that a feature must be in.
 LEAST_DOCS = 8
-FOLDS, THRESHOLD = 5, 0.5
+FOLDS, THRESHOLD = 5, 0.3
 
 
 @dataclass
