@@ -56,7 +56,7 @@ def section_map(sections: DataFrame) -> DataFrame:
 
 
 # --- Formatting --------------------------------------------------------------------------------------------------
-def format_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marker: str = "@@H@@") -> DataFrame:
+def format_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marker: str = "%%H%%") -> DataFrame:
     """``doc_id, pos, line`` of cleaned texts: headings in capitals at the margin, bodies indented behind the first one,
     page numbers, doubled headings and headings without a body gone. A line that starts with ``marker`` is a heading."""
     text = T.normalize(T.strip_stray_section_tokens(T.fix_merged_headers(T.fix_ocr_spacing(text_col))))

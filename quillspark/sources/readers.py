@@ -212,7 +212,7 @@ def split_inline_sections(text: Column) -> Column:
     return F.filter(both, lambda x: x["text"] != "")
 
 
-def docx_lines(blocks: DataFrame, marker: str = "@@H@@") -> DataFrame:
+def docx_lines(blocks: DataFrame, marker: str = "%%H%%") -> DataFrame:
     """``doc_id, text`` of blocks: headings (by style, font, bold or words) marked, long mixed paragraphs cut at section
     names, glued section names given their own line."""
     text, size, bold = T.strip(F.col("text")), F.col("font_size"), F.coalesce("is_bold", F.lit(False))

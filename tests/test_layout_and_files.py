@@ -136,7 +136,7 @@ def test_file_scan_kinds_and_text(spark, tmp_path):
     rows = blocks.orderBy("pos").collect()
     assert [(r.kind, r.text[:16]) for r in rows] == [("header", "Jane Doe"), ("paragraph", "My Part"), ("paragraph", "plain text"), ("paragraph", "SKILLS"), ("paragraph", "Technical Skills"), ("table", "TABLE_START\nA | "), ("table", "C  D"), ("paragraph", "site")]
     text = readers.docx_lines(blocks).first().text.split("\n")
-    assert text[:5] == ["Jane Doe", "@@H@@My Part", "plain text", "@@H@@SKILLS", "@@H@@Technical Skills"] and "A | B" in text
+    assert text[:5] == ["Jane Doe", "%%H%%My Part", "plain text", "%%H%%SKILLS", "%%H%%Technical Skills"] and "A | B" in text
     assert [tuple(r)[1:] for r in readers.docx_links(files.where("name = 'a.docx'")).collect()] == [("http://x.org", "site")]
     broken = files.where("name = 'c.doc'")
     assert readers.read_docx(broken).count() == 0
@@ -232,3 +232,19 @@ def test_plans_scan_only_what_they_need(spark, tiny, name):
     plan = registry.QUERIES[name](spark, tiny)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
     assert "p_retailprice" not in plan and "c_nationkey" not in plan and "o_orderpriority" not in plan
+
+
+def test_a_folder_becomes_records(spark, tmp_path):
+    from quillspark.plans import batch
+
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    for name, data in {"a.docx": docx(), "b.doc": RTF, "c.doc": b"\xd0\xcf\x11\xe0x", "d.txt": b"x", "e.docx": b"PK\x03\x04 broken"}.items():
+        (source / name).write_bytes(data)
+    batch.main(str(source), str(target))
+    name = F.element_at(F.split("path", "/"), -1)
+    assert {tuple(r) for r in spark.read.parquet(str(target / "rejects")).select(name, "reason").collect()} == {("c.doc", "unsupported"), ("d.txt", "extension"), ("e.docx", "unsupported")}
+    texts = {r.doc_id.split("/")[-1]: r.text for r in spark.read.parquet(str(target / "texts")).collect()}
+    assert set(texts) == {"a.docx", "b.doc"} and "\nMY PART\n  plain text" in texts["a.docx"] and "LINKS / URLS DETECTED\n  site: http://x.org" in texts["a.docx"]
+    status = spark.read.json(str(target / "status")).first()
+    assert (status.ok, status.errors) == (2, 3) and spark.read.json(str(target / "records")).count() == 2
