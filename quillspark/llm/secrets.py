@@ -21,10 +21,14 @@ DICTIONARY = "about|access|address|admin|after|application|before|build|class|cl
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur"
 
 _KEYED = rf"\b(?i:(?:[a-z0-9]{{1,20}}[_-])?(?:{KEYS}))[\"']?[ \t]{{0,3}}[:=]{{1,2}}[ \t]{{0,3}}[\"']?"
-_RUN = r"(?<![A-Za-z0-9+/_=~-])(?=[A-Za-z+/_=~-]{0,64}[0-9])[A-Za-z0-9+/_=~-]{16,}+"
-_PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{0,8000}+"
-#: What is looked at: assigned values of 6 characters or more, PEM keys, and other runs of 16 or more with a digit.
-CANDIDATE = rf"{_KEYED}[^\s\"'<>,;]{{6,200}}+|{_PEM}|{_RUN}"
+_RUN = r"(?<![A-Za-z0-9+/_=~-])(?=[A-Za-z+/_=~-]*+[0-9])[A-Za-z0-9+/_=~-]{16,}+"
+#: A PEM key up to its END line, headers included; without one before the next BEGIN, its headers and lines of base64.
+_ENDED = r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+_ENDLESS = r"(?:\s*+(?:[A-Z][A-Za-z-]{2,20}: [^\r\n]*+|[A-Za-z0-9+/]{24,}+={0,2}+))*+(?:\r?\n[ \t]*+[A-Za-z0-9+/]{1,23}+={0,2}+(?!\S))?+"
+_PEM = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:{_ENDED}|{_ENDLESS})"
+#: What is looked at: assigned values of 6 characters or more, PEM keys, and other runs of 16 or more with a digit. All
+#: are taken whole, however long: possessive loops neither go back nor nest, so the time stays linear.
+CANDIDATE = rf"{_KEYED}(?:{_PEM}|[^\s\"'<>,;]{{6,}}+)|{_PEM}|{_RUN}"
 
 FEATURES = ("length", "digits", "upper", "letter_digit", "case_change", "distinct", "hex", "dictionary", "pairs", "keyed", "placeholder", "digest", "known", "path", "only_digits")
 TREES, DEPTH, LEAST = 15, 6, 4

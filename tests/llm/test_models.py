@@ -1,6 +1,9 @@
 """The trained operators on held-out rows, and the pipeline's stages."""
 
+import hashlib
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +103,28 @@ def test_secrets_are_found_and_marked(spark, forest):
     assert sorted((r.doc_id or 0, r.n, r.preview) for r in got.collect()) == want
 
 
+def test_long_secrets_are_taken_whole(spark, forest):
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    lines = lambda n: "\n".join(some(64) for _ in range(n))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    long, jwt, run = some(300), f"eyJ{some(40)}.eyJ{some(180)}.{some(50)}", "x" * 70 + some(300)
+    pem = f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{lines(150)}\n{end}"
+    cut = f"{begin}\n{lines(3)}\n{some(20)}="
+    values = {1: [long], 2: [jwt], 3: [pem], 4: [pem], 5: [cut], 6: [run], 7: [cut, pem]}
+    rows = [(1, f"a token={long} b"), (2, f'auth: "{jwt}" b'), (3, f"a {pem} b"), (4, f'private_key = "{pem}" b'), (5, f"a {cut}\nand more words - here"), (6, f"a {run} b"), (7, f"{cut}\n{pem}")]
+    assert len(pem) > 8000 and len(jwt) > 270
+    got = sorted((r.doc_id, r.n, r.length, r.value_sha256) for r in secrets.scan_secrets(docs(spark, rows), forest).where("secret").collect())
+    assert got == [(i, n, len(v), hashlib.sha256(v.encode()).hexdigest()) for i, vs in values.items() for n, v in enumerate(vs)]
+    texts = {r.doc_id: r.text for r in secrets.redact_secrets(docs(spark, rows), forest).collect()}
+    want = ["a token=<SECRET> b", 'auth: "<SECRET>" b', "a <SECRET> b", 'private_key = "<SECRET>" b', "a <SECRET>\nand more words - here", "a <SECRET> b", "<SECRET>\n<SECRET>"]
+    assert [texts[i] for i in range(1, 8)] == want
+    # Endless keys and long values neither overflow the stack nor take squared time.
+    heavy = [(1, f"{begin} a-b " * 200), (2, f"{begin}\n" + "-a" * 100_000), (3, "token=" + "ab" * 100_000), (4, f"{begin}\n{lines(3_000)}\n{end}")]
+    matched = docs(spark, heavy).select(F.regexp_count("text", F.lit(secrets.CANDIDATE))).collect()
+    assert [r[0] for r in matched] == [200, 1, 1, 1]
+
+
 def test_scan_is_native(spark, forest):
     plan = secrets.scan_secrets(docs(spark, SECRET_ROWS), forest)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
