@@ -20,7 +20,10 @@ PATHS = "test|fixture|example|docs?|lock|vendor"
 DICTIONARY = "about|access|address|admin|after|application|before|build|class|client|config|content|data|default|document|error|example|file|first|from|function|group|index|information|license|list|manager|message|model|module|name|number|object|order|other|package|page|password|path|project|public|query|release|report|request|response|result|search|secret|server|service|session|source|state|string|system|table|test|text|that|there|this|time|title|token|update|user|value|version|which|window|with|world"
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur"
 
-_KEYED = rf"\b(?i:(?:[a-z0-9]{{1,20}}[_-])?(?:{KEYS}))[\"']?[ \t]{{0,3}}[:=]{{1,2}}[ \t]{{0,3}}[\"']?"
+#: A name of any number of parts with one of ``KEYS`` in it, which ends where a word does, also a camelCase one
+#: (dbPassword, passwordHash, but not author), and the sign behind it. A cheap look ahead for that sign comes first.
+_NAME, _SIGN = "[A-Za-z0-9_.-]", r"[\"']?[ \t]{0,3}[:=]"
+_KEYED = rf"(?<!{_NAME})(?={_NAME}++{_SIGN})(?:{_NAME}*?(?i:(?:{KEYS})(?:key|hash|value|s)?)(?:(?<=[a-z])(?![a-z])|(?<=[A-Z])(?![A-Za-z]))){_NAME}*+{_SIGN}[:=]?[ \t]{{0,3}}[\"']?"
 _RUN = r"(?<![A-Za-z0-9+/_=~-])(?=[A-Za-z+/_=~-]*+[0-9])[A-Za-z0-9+/_=~-]{16,}+"
 #: A PEM key up to its END line, headers included; without one before the next BEGIN, its headers and lines of base64.
 _ENDED = r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
@@ -82,8 +85,17 @@ def labelled_findings(n: int = 1500, seed: int = 11) -> list[Finding]:
     any_of = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     alnum, hexes, words = string.ascii_letters + string.digits, "0123456789abcdef", DICTIONARY.split("|")
     keys = ["token", "secret", "password", "api_key", "access_key", "db_password", "auth", "client_secret", "pwd"]
+    keys += ["MYSQL_ROOT_PASSWORD", "dbPassword", "secret_key", "aws_secret_access_key", "password_hash", "authTokenValue", "spring.datasource.password"]
     glue = ["=", ": ", ' = "', '="', ": '"]
     paths = ["src", "web", "mail", "config", "notes", "test", "docs", "fixtures"]
+
+    def chosen():
+        """A password as people choose them: a word-like start with a capital inside, a digit and often a sign."""
+        word = list("".join(rng.choice(PAIRS.split("|")) for _ in range(rng.randint(2, 4))))
+        at = rng.randrange(len(word))
+        word[at] = word[at].upper()
+        return "".join(word) + any_of(string.digits, rng.randint(1, 3)) + any_of(string.ascii_lowercase, rng.randint(0, 1)) + any_of("!#$%^&*", rng.randint(0, 2))
+
     out = []
     for _ in range(n):
         left, path = " ".join(rng.choice(words) for _ in range(rng.randint(0, 5))) + " ", rng.choice(paths)
@@ -96,6 +108,7 @@ def labelled_findings(n: int = 1500, seed: int = 11) -> list[Finding]:
             lambda: rng.choice(keys) + rng.choice(glue) + any_of(alnum, rng.randint(10, 48)),
             lambda: rng.choice(keys) + rng.choice(glue) + any_of(alnum + "!#$%^&*", rng.randint(8, 20)),
             lambda: any_of(alnum + "+/", rng.choice([40, 44, 64])),
+            lambda: rng.choice(keys) + rng.choice(glue) + chosen(),
         ]
         false = [
             lambda: any_of(string.digits, rng.randint(16, 20)),

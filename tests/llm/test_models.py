@@ -125,6 +125,22 @@ def test_long_secrets_are_taken_whole(spark, forest):
     assert [r[0] for r in matched] == [200, 1, 1, 1]
 
 
+NAMES = ["MYSQL_ROOT_PASSWORD: ", "dbPassword: ", "secret_key = '", "aws_secret_access_key = ", "password_hash=", "--db-password=", "passwordHash: ", "spring.datasource.password=", "a_b_c_d_token_value: ", "APIToken: ", "password: "]
+
+
+def test_names_of_many_parts_open_candidates(spark, forest):
+    rows = [(i, f"x {name}hunTer2x!") for i, name in enumerate(NAMES)]
+    got = secrets.scan_secrets(docs(spark, rows), forest).collect()
+    assert sorted((r.doc_id, r.length, r.value_sha256) for r in got) == [(i, 9, hashlib.sha256(b"hunTer2x!").hexdigest()) for i in range(len(NAMES))]
+    assert all(r.secret for r in got), [(NAMES[r.doc_id], r.p_secret) for r in got]
+    texts = {r.doc_id: r.text for r in secrets.redact_secrets(docs(spark, rows), forest).collect()}
+    assert [texts[i] for i in range(len(NAMES))] == [f"x {name}<SECRET>" for name in NAMES]
+    plain = ["author: Johnson", "tokenizer = AutoTokenizer", "secretary: Miller", "password fields are long"]
+    assert secrets.scan_secrets(docs(spark, list(enumerate(plain))), forest).count() == 0
+    tame = ["auth_type = default_value", "secret_name: placeholder", "passwordField: os.environ.value"]
+    assert secrets.scan_secrets(docs(spark, list(enumerate(tame))), forest).where("secret").count() == 0
+
+
 def test_scan_is_native(spark, forest):
     plan = secrets.scan_secrets(docs(spark, SECRET_ROWS), forest)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
