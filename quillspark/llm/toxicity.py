@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .runtime import Words, mix, text_batches
 
@@ -29,6 +30,8 @@ class Link:
     weights: np.ndarray
     earlier: np.ndarray
     bias: float
+    #: Whether labels of both kinds made it; a constant tells no documents apart, so its verdict keeps them.
+    fitted: bool = True
 
 
 def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 25) -> tuple[np.ndarray, float]:
@@ -80,21 +83,23 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     """The chain for ``categories`` (0/1 columns of ``labels``), in that order.
 
     Trains on the driver on at most ``TRAIN_ROWS`` labelled documents and ``TRAIN_BYTES`` of text: those whose ids hash
-    lowest, so the choice doesn't depend on the order of rows. Labels with a null, and ids with contradicting labels, are
-    left out. A later model sees out-of-fold probabilities of the earlier ones, so it learns how far to trust them. A
+    lowest, so the choice doesn't depend on the order of rows; a text that doesn't fit any more is passed over, by its
+    length, before it is fetched. Labels with a null, and ids with contradicting labels, are left out. A later model sees out-of-fold probabilities of the earlier ones, so it learns how far to trust them. A
     category with one value only, or with no labels at all, gets the (smoothed) share of ones as a constant.
     """
     known = labels.groupBy(id_col).agg(*[F.max(c).alias(c) for c in categories], *[F.min(c).alias(f"_{c}") for c in categories])
     known = known.where(" and ".join(f"{c} = _{c}" for c in categories)).select(id_col, *categories)
-    known = known.orderBy(F.xxhash64(id_col), id_col).limit(TRAIN_ROWS)
-    rows = docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("_text")).join(known, id_col)
-    rows = rows.withColumn("_order", F.xxhash64(id_col)).groupBy(id_col, "_order").agg(F.max("_text").alias("_text"), *[F.first(c).alias(c) for c in categories])
-    picked, held = [], 0
-    for r in rows.orderBy("_order", id_col).toLocalIterator():
-        held += len(r["_text"])
-        if held > TRAIN_BYTES:
-            break
-        picked.append(r)
+    some = docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("_text"))
+    sizes = some.select(id_col, F.length("_text").alias("_size")).join(known, id_col).groupBy(id_col).agg(F.max("_size").alias("_size"))
+    sizes = sizes.where(F.col("_size") <= TRAIN_BYTES).orderBy(F.xxhash64(id_col), id_col).limit(TRAIN_ROWS)
+    fit, held = [], 0
+    for r in sizes.orderBy(F.xxhash64(id_col), id_col).collect():
+        if held + r["_size"] <= TRAIN_BYTES:
+            held += r["_size"]
+            fit.append((len(fit), r[id_col]))
+    chosen = docs.sparkSession.createDataFrame(fit, StructType([StructField("_order", LongType()), StructField(id_col, docs.schema[id_col].dataType)]))
+    rows = some.join(F.broadcast(chosen), id_col).groupBy(id_col, "_order").agg(F.max("_text").alias("_text"))
+    picked = sorted(rows.join(known, id_col).collect(), key=lambda r: r["_order"]) if fit else []
     texts = [r["_text"].encode("utf-8", "surrogatepass") for r in picked]
     chain: list[Link] = []
     earlier = np.zeros((len(texts), 0))
@@ -123,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
         y = np.array([r[c] for r in picked], float)
         if len(set(y.tolist())) < 2 or min(y.sum(), (1 - y).sum()) < FOLDS:
             share = (y.sum() + 0.5) / (len(y) + 1)
-            chain.append(Link(c, np.zeros(0, np.uint64), np.zeros(0), np.zeros(earlier.shape[1]), float(np.log(share / (1 - share)))))
+            chain.append(Link(c, np.zeros(0, np.uint64), np.zeros(0), np.zeros(earlier.shape[1]), float(np.log(share / (1 - share))), False))
             earlier = np.column_stack((earlier, np.full(len(y), share)))
             continue
         out = np.zeros(len(y))
@@ -172,9 +177,12 @@ def score(docs: DataFrame, chain: list[Link], category: str, threshold: float =
     """One row per document: ``doc_id, p_<category>`` for each category, and ``toxic``, the verdict on ``category``.
 
     Whole texts, no shuffle; the chain (``FEATURES`` words a category) travels with the task. Null and empty texts have
-    null probabilities and aren't toxic. Null and repeated ids stay; no documents give no rows; other columns are not read.
+    null probabilities and aren't toxic; nor is any text if there were no labels to fit ``category`` by. Null and repeated
+    ids stay; no documents give no rows; other columns are not read.
     """
     verdict = [x.category for x in chain].index(category)
+    if not chain[verdict].fitted:
+        threshold = float("inf")
     p = docs.select(F.col(id_col).alias("doc_id"), _judged(F.col(text_col), chain).alias("p"))
     each = [F.col("p")[k].alias(f"p_{x.category}") for k, x in enumerate(chain)]
     return p.select("doc_id", *each, F.coalesce(F.col("p")[verdict] >= threshold, F.lit(False)).alias("toxic"))
@@ -183,4 +191,6 @@ def score(docs: DataFrame, chain: list[Link], category: str, threshold: float =
 def keep_clean(docs: DataFrame, chain: list[Link], category: str, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The documents, all columns as they are, that ``score`` doesn't call toxic."""
     verdict = [x.category for x in chain].index(category)
+    if not chain[verdict].fitted:
+        return docs
     return docs.where(F.coalesce(_judged(F.col(text_col), chain)[verdict] < threshold, F.lit(True)))

@@ -55,6 +55,31 @@ def test_chain_without_labels_or_of_one_kind(spark):
         assert toxicity.score(docs(spark, made(8)), chain, "toxic").where("p_toxic > 0.5").count() == 0
 
 
+def test_chain_without_labels_keeps_documents(spark):
+    schema, rows = "doc_id long, junk int, toxic int", made(20)
+    none, elsewhere = spark.createDataFrame([], schema), spark.createDataFrame([(i, 0, i % 2) for i in range(900, 940)], schema)
+    few, one = spark.createDataFrame([(i, 0, i % 2) for i in range(8)], schema), spark.createDataFrame([(i, 0, 1) for i in range(20)], schema)
+    for labels in (none, elsewhere, few, one):
+        chain = toxicity.train(docs(spark, rows), labels, ["junk", "toxic"])
+        assert toxicity.score(docs(spark, rows), chain, "toxic").where("toxic").count() == 0
+        assert toxicity.keep_clean(docs(spark, rows), chain, "toxic").count() == len(rows)
+
+
+def test_huge_labelled_texts_are_passed_over(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 60_000)
+    rows = made(240)
+    first = [r.id for r in spark.range(240).orderBy(F.xxhash64("id")).limit(3).collect()]
+    # One text over the whole bound, one that leaves less than the next one needs.
+    big = {first[0]: 60_001, first[1]: 20_000, first[2]: 50_000}
+    rows = [(i, f"{t} {'long ' * 60_000}"[: big[i]] if i in big else t) for i, t in rows]
+    labels = spark.createDataFrame([(i, int(i % 4 == 3), int(i % 4 == 1)) for i, _ in rows], "doc_id long, junk int, toxic int")
+    chain = toxicity.train(docs(spark, rows), labels, ["junk", "toxic"])
+    held_out = made(200, 1000)
+    want = sorted(i for i, _ in held_out if i % 4 == 1)
+    assert sorted(r.doc_id for r in toxicity.score(docs(spark, held_out), chain, "toxic").where("toxic").collect()) == want
+    assert toxicity.keep_clean(docs(spark, held_out), chain, "toxic").count() == len(held_out) - len(want)
+
+
 def test_held_out_labels(spark):
     """Half of sf0.1's labels train; on the other half few clean documents are called toxic and most toxic ones are found."""
     sf = "/root/testdata/sf0.1"
