@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, packing, queries, secrets, simhash, toxicity
 from quillspark.llm.decisions import without
-from quillspark.llm.runtime import written
+from quillspark.llm.runtime import ascii_lower, written
 
 
 def toxic_out(spark, docs, sf_dir):
@@ -21,13 +21,14 @@ def toxic_out(spark, docs, sf_dir):
 def copies_out(spark, docs, sf_dir):
     """Of equal texts (A-Z lower-cased), the document with the largest id stays."""
     judged = exact_dedup.exact_dedup(docs, keep="max")
-    return without(docs, judged.where("not kept").select("doc_id"))
+    return without(docs, judged.where("not kept").select("doc_id", "text_sha256"), sign=F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
 
 
 def near_copies_out(spark, docs, sf_dir):
     """Of documents that SimHash links reach, the one with the smallest id stays."""
-    judged = simhash.near_dedup(docs)
-    return without(docs, judged.where("doc_id != component_id").select("doc_id"))
+    sign = F.md5(F.coalesce("text", F.lit("")))
+    judged = simhash.near_dedup(docs, sign=sign)
+    return without(docs, judged.where("doc_id != component_id").select("doc_id", "sign"), sign=sign)
 
 
 def secrets_out(spark, docs, sf_dir):

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", text_col: str = "text", sign: Column | None = None) -> DataFrame:
     """The documents, all columns as they are, whose ids aren't in ``dropped`` (one column); rows of one id and text once.
 
+    With ``sign``, an expression over ``docs`` that tells an id's texts apart, ``dropped`` has that sign as its second
+    column, and a decision is about the rows with both: of an id with two texts, each is judged by its own.
     Rows without an id can't be named by a decision: of those with one text, one stays.
     """
-    gone = dropped.toDF("_dropped_id").where("_dropped_id is not null").distinct()
-    kept = docs.join(gone, docs[id_col] == gone["_dropped_id"], "left_anti")
+    if sign is None:
+        gone = dropped.toDF("_dropped_id").where("_dropped_id is not null").distinct()
+        kept = docs.join(gone, docs[id_col] == gone["_dropped_id"], "left_anti")
+    else:
+        gone = dropped.toDF("_dropped_id", "_dropped_sign").where("_dropped_id is not null").distinct()
+        kept = docs.withColumn("_sign", sign)
+        kept = kept.join(gone, (kept[id_col] == gone["_dropped_id"]) & (kept["_sign"] == gone["_dropped_sign"]), "left_anti").drop("_sign")
     return kept.withColumn("_text_digest", F.md5(text_col)).dropDuplicates([id_col, "_text_digest"]).drop("_text_digest")

@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
@@ -39,8 +39,12 @@ def _vote(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (signed 64 bits) of each whole text, A-Z lower-cased: the vote of its shingles' XXH64, seed 42."""
+def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", sign: Column | None = None) -> DataFrame:
+    """``doc_id, fp`` (signed 64 bits) of each whole text, A-Z lower-cased: the vote of its shingles' XXH64, seed 42.
+
+    With ``sign``, an expression of strings over ``docs``, it comes third as ``sign``."""
+
+    signed = sign is not None
 
     def run(batches):
         from xxhash import xxh64_intdigest as xx
@@ -50,11 +54,11 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
             if hashes:
                 n = np.array(sizes, np.int64)
                 fps[n > 0] = _vote(np.array(hashes, np.uint64), n[n > 0])
-            return pd.DataFrame({"doc_id": pd.array(keys, "Int64"), "fp": fps.view(np.int64)})
+            return pd.DataFrame({"doc_id": pd.array(keys, "Int64"), "fp": fps.view(np.int64)} | ({"sign": signs} if signed else {}))
 
-        keys, hashes, sizes = [], [], []
+        keys, hashes, sizes, signs = [], [], [], []
         for pdf in batches:
-            for key, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
+            for key, text, own in zip(pdf["doc_id"].astype("Int64"), pdf["text"], pdf["sign" if signed else "text"], strict=True):
                 words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
                 joined = b" ".join(words)
                 before = len(hashes)
@@ -65,14 +69,17 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
                 elif words:
                     hashes.append(xx(joined, 42))
                 keys.append(key)
+                if signed:
+                    signs.append(own)
                 sizes.append(len(hashes) - before)
                 if len(hashes) >= 500_000:
                     yield flush()
-                    keys, hashes, sizes = [], [], []
+                    keys, hashes, sizes, signs = [], [], [], []
         if keys:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    more = [] if sign is None else [sign.alias("sign")]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more).mapInPandas(run, "doc_id long, fp long" + ", sign string" * len(more))
 
 
 def _value(fp: np.ndarray, j: int) -> np.ndarray:
@@ -192,8 +199,8 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     return met.unionByName(fps.select("fp").mapInPandas(spread, "part int, c0 binary, c1 binary").groupBy("part").applyInPandas(_points, "a long, b long"))
 
 
-def near_dedup(docs: DataFrame, shingle: int = 4, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, fingerprint, component_id``.
+def near_dedup(docs: DataFrame, shingle: int = 4, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", sign: Column | None = None) -> DataFrame:
+    """One row per document: ``doc_id, fingerprint, component_id`` and, if given, ``sign``, an expression over ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text; a text of fewer words than ``shingle`` is one shingle, one of none
     (null too) has fingerprint zero and links like any other. Fingerprints link at 4 or fewer differing bits;
@@ -203,10 +210,10 @@ def near_dedup(docs: DataFrame, shingle: int = 4, hot: int = HOT, id_col: str =
     components are written to the shared folder. Null ids have a row and never name a component that has another id;
     repeated rows stay; no documents give no rows; other columns are not read.
     """
-    own = written(fingerprints(docs, shingle, id_col, text_col), "simhash")
+    own = written(fingerprints(docs, shingle, id_col, text_col, sign), "simhash")
     nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash")
     labels = components(links(nodes, hot))
     nodes = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "low", F.coalesce("label", "fp").alias("label"))
     lowest = nodes.groupBy("label").agg(F.min("low").alias("component_id"))
     found = own.join(nodes.join(lowest, "label").select("fp", "component_id"), "fp")
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *([] if sign is None else ["sign"]))

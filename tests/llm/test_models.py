@@ -195,6 +195,17 @@ def test_pipeline_stages_take_effect(spark, tiny, monkeypatch):
     assert {r.doc_id for r in steps["best-fit packing"](spark, df, tiny).collect()} == set(out)
 
 
+def test_an_id_with_two_texts_is_judged_by_each(spark, tiny):
+    steps = dict(corpus_pipeline.STAGES)
+    near, other = " ".join(f"w{k}" for k in range(400)), " ".join(f"v{k}" for k in range(400))
+    df = docs(spark, [(5, "Text a"), (5, "text b"), (9, "text A"), (7, None)]).drop("p", "toxic", "_order")
+    got = steps["exact dedup"](spark, df, tiny)
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == [(5, "text b"), (7, ""), (9, "text A")] and got.columns == df.columns
+    df = docs(spark, [(3, near), (5, near + " end"), (5, other), (7, None)]).drop("p", "toxic", "_order")
+    got = steps["simhash near-dedup"](spark, df, tiny)
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == [(3, near), (5, other), (7, "")] and got.columns == df.columns
+
+
 def test_pipeline_over_the_smallest_table(spark, tiny):
     kept = corpus_pipeline.run(spark, tiny)
     everything = queries.table(spark, tiny, "documents")
