@@ -3,110 +3,293 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import shuffle_parts, text_batches
 from .tokens import Bpe, bpe
 
-#: A cut where the rolling hash of 8 bytes has these bits zero: chunks of 512 bytes on average.
-CUT_BITS = 9
-#: Bytes of text and ids that a worker's chunk table holds before the older half goes.
-TABLE_BYTES = 48_000_000
+#: A cut where the rolling hash of 8 bytes has these bits zero: chunks of 512 bytes on average, and no shorter than LEAST.
+CUT_BITS, LEAST = 9, 64
+#: Bytes of text that one task encodes.
+BLOCK_BYTES = 8_000_000
+#: Settled places that a join's window holds on either side to begin with; it doubles until encodings agree.
+AROUND = 2
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, np.uint32)
-_SOLID = np.zeros(256, bool)
-_SOLID[0x21:0x7F] = True
-_BLANK = np.zeros(256, bool)
-_BLANK[[0x20, 0x0A]] = True
+#: Places that part two pre-tokens whatever stands further away: what is no white space and white space; letters or
+#: numbers and other signs; signs but the apostrophe (of 's, 't, ...) and letters or numbers.
+#: The commonest of them is looked for first.
+_PLAIN = re.compile(rb"(?<=[!-~])(?=[ \n])")
+_SETTLED = regex.compile(
+    r"(?<=\P{White_Space})(?=\p{White_Space})|(?<=\p{L})(?=[^\p{White_Space}\p{L}])|(?<=\p{N})(?=[^\p{White_Space}\p{N}])|(?<=[^\p{White_Space}\p{L}\p{N}'])(?=[\p{L}\p{N}])"
+)
 
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Positions where the rolling hash of the 8 bytes before them says to cut."""
-    if len(data) < 16:
-        return np.zeros(0, np.int64)
-    gear, n = _GEAR[data], len(data) - 7
+def chunks(data: bytes) -> list[bytes]:
+    """Cuts where the rolling hash of the 8 bytes before says so, moved to the next whole character."""
+    raw = np.frombuffer(data, np.uint8)
+    if len(raw) < 2 * LEAST:
+        return [data] if data else []
+    gear, n = _GEAR[raw], len(raw) - 7
     rolled = gear[7:].copy()
     for back in range(1, 8):
         rolled += gear[7 - back : 7 - back + n] << np.uint32(back)
-    return np.flatnonzero((rolled >> np.uint32(32 - CUT_BITS)) == 0) + 8
+    hit = (rolled >> np.uint32(32 - CUT_BITS)) == 0
+    hit[1:] &= ~hit[:-1]  # a run of one sign isn't cut at each place
+    out, done = [], 0
+    for at in (np.flatnonzero(hit) + 8).tolist():
+        if at - done >= LEAST:
+            while at < len(data) and data[at] & 0xC0 == 0x80:
+                at += 1
+            out.append(data[done:at])
+            done = at
+    return out + [data[done:]] * (done < len(data))
+
+
+def units(data: bytes) -> list[bytes]:
+    """Chunks, of which those without a settled place inside are put together with the next, and a last one with the one before it."""
+    out: list[list[bytes]] = []
+    full = True
+    for c in chunks(data):
+        if full:
+            out.append([])
+        out[-1].append(c)
+        full = _PLAIN.search(c) is not None or _SETTLED.search(c.decode("utf-8", "surrogatepass")) is not None or (len(out[-1]) > 1 and _seam(out[-1][-2], c))
+    if not full and len(out) > 1:
+        last = out.pop()
+        out[-1] += last
+    return [b"".join(x) for x in out]
+
+
+def _seam(a: bytes, b: bytes) -> bool:
+    """Whether a place between two chunks is settled."""
+    ends = a[-8:].decode("utf-8", "ignore")[-1:] + b[:8].decode("utf-8", "ignore")[:1]
+    return _SETTLED.search(ends) is not None
+
+
+@dataclass
+class Encoded:
+    """A unit encoded by itself: its bytes, ids, and where each id's text ends."""
+
+    data: bytes
+    ids: np.ndarray
+    ends: np.ndarray
+
+    def before(self, at: int) -> int:
+        """How many ids stand before a place, or -1 if the place is inside one."""
+        k = int(np.searchsorted(self.ends, at, "left")) + 1 if at else 0
+        return k if not at or (k <= len(self.ends) and self.ends[k - 1] == at) else -1
+
+
+def _places(data: bytes, from_end: bool, n: int) -> list[int]:
+    """The ``n`` settled places nearest to one end of a unit, nearest first; others may be passed over while plain ones do."""
+    reach = 24 * n
+    at = max(0, len(data) - reach) if from_end else 0
+    found = [m.start() for m in _PLAIN.finditer(data, at, len(data) if from_end else reach)]
+    if len(found) >= n:
+        return found[-n:][::-1] if from_end else found[:n]
+    while True:
+        at = max(0, len(data) - reach) if from_end else min(len(data), reach)
+        while 0 < at < len(data) and data[at] & 0xC0 == 0x80:
+            at += -1 if from_end else 1
+        text = (data[at:] if from_end else data[:at]).decode("utf-8", "surrogatepass")
+        found = [m.start() for m in _SETTLED.finditer(text)]
+        if len(found) >= n or reach >= len(data):
+            break
+        reach *= 4
+    found = found[-n:][::-1] if from_end else found[:n]
+    if not text.isascii():
+        found = [len(text[:p].encode("utf-8", "surrogatepass")) for p in found]
+    return [p + at if from_end else p for p in found]
 
 
-def segments(data: bytes) -> Iterator[bytes]:
-    """Chunk bodies and the repaired joins between them, in order.
+def joined(left: Encoded, right: Encoded, coder: Bpe, around: int = AROUND) -> tuple[int, np.ndarray, int] | None:
+    """(ids of ``left`` that stay, ids between, ids of ``right`` that go): a window around the join, encoded again.
 
-    A join holds what stands around a cut, from the last settled place before it to the first after it. A place is
-    settled if both encodings must agree on it: between a printable ASCII character and a space or line feed, as no
-    pre-token holds a blank behind another character, and what stands before it doesn't look beyond. A join grows until it
-    finds one, over whole chunks if need be.
+    The window goes from some settled place before the join to some behind it, and counts if its ids agree with those of
+    both units from its ends to the settled places next to the join. Until they do, it is doubled, up to both units; null
+    if even those don't agree.
     """
-    raw = np.frombuffer(data, np.uint8)
-    at = cuts(raw)
-    if not len(at):
-        yield data
-        return
-    settled = np.flatnonzero(_SOLID[raw[:-1]] & _BLANK[raw[1:]]) + 1
-    settled = np.concatenate(([0], settled, [len(raw)]))
-    left = settled[np.searchsorted(settled, at, "right") - 1]
-    right = settled[np.searchsorted(settled, at, "left")]
-    done = 0
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        if b <= done:
-            continue
-        a = max(a, done)
-        if a > done:
-            yield data[done:a]
-        if b > a:
-            yield data[a:b]
-        done = b
-    if done < len(data):
-        yield data[done:]
-
-
-class ChunkTable:
-    """Encodes each distinct segment once while it is remembered; the size is bounded, results never depend on it."""
-
-    def __init__(self, coder: Bpe, most: int = TABLE_BYTES):
-        self.coder, self.most, self.new, self.old, self.held = coder, most // 2, {}, {}, 0
-
-    def ids(self, segment: bytes) -> np.ndarray:
-        if (got := self.new.get(segment)) is not None:
-            return got
-        got = self.old.get(segment)
-        if got is None:
-            got = self.coder.fast.encode_to_numpy(segment.decode("utf-8", "surrogatepass"), disallowed_special=())
-        if self.held > self.most:
-            self.new, self.old, self.held = {}, self.new, 0
-        self.new[segment] = got
-        self.held += len(segment) + 4 * len(got) + 250
-        return got
+    while True:
+        a, b = _places(left.data, True, around), _places(right.data, False, around)
+        text = left.data[a[-1] :] + right.data[: b[-1]]
+        ids = coder.encode_part(text.decode("utf-8", "surrogatepass"))
+        ends = np.cumsum(coder.lengths[ids])
+        got = Encoded(text, ids, ends)
+        i, j, k, m = left.before(a[-1]), left.before(a[0]), right.before(b[0]), right.before(b[-1])
+        p, q = got.before(a[0] - a[-1]), got.before(len(left.data) - a[-1] + b[0])
+        if min(i, j, k, m, p, q) >= 0 and np.array_equal(ids[:p], left.ids[i:j]) and np.array_equal(ids[q:], right.ids[k:m]):
+            return j, ids[p:q], k
+        if len(a) < around and len(b) < around:
+            return None
+        around *= 2
+
+
+class Encoder:
+    """Whole texts from the ids of their units; ``known`` holds those that were encoded before, by digest."""
+
+    def __init__(self, coder: Bpe, known: dict[bytes, np.ndarray] | None = None):
+        self.coder, self.known, self.reused = coder, known or {}, 0
+
+    def unit(self, data: bytes) -> Encoded:
+        ids = self.known.get(digest(data)) if self.known else None
+        if ids is None:
+            ids = self.coder.encode_part(data.decode("utf-8", "surrogatepass"))
+        else:
+            self.reused += len(data)
+        return Encoded(data, ids, np.cumsum(self.coder.lengths[ids]))
+
+    def part(self, text: str) -> np.ndarray:
+        found = [self.unit(x) for x in units(text.encode("utf-8", "surrogatepass"))]
+        out, start = [], 0
+        for left, right in zip(found, found[1:]):
+            if (repaired := joined(left, right, self.coder)) is None:
+                return self.coder.encode_part(text)
+            stay, between, gone = repaired
+            out += [left.ids[start:stay], between]
+            start = gone
+        return np.concatenate([*out, found[-1].ids[start:]]) if out else found[0].ids
 
     def encode(self, text: str) -> np.ndarray:
-        if not text or self.coder.odd(text):
+        if not text or not self.coder.plain:
             return self.coder.encode(text)
-        parts = [self.ids(x) for x in segments(text.encode("utf-8", "surrogatepass"))]
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+        ids = [self.part(x) if isinstance(x, str) else np.array([x], np.uint32) for x in self.coder.parts(text)]
+        return ids[0] if len(ids) == 1 else np.concatenate(ids)
+
+
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _units_of(coder: Bpe, texts: list[bytes]):
+    for text in texts:
+        for x in coder.parts(text.decode("utf-8", "surrogatepass")) if coder.plain else ():
+            if isinstance(x, str):
+                yield from units(x.encode("utf-8", "surrogatepass"))
+
+
+def _joined(rows: pd.DataFrame, column: str) -> bytes:
+    return b"".join(x for x in rows[column] if x is not None)
+
+
+def _digests(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "V16")
+
+
+def _dealt(keys: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """(part, places in ``keys``) by the first bytes of the digests."""
+    part = keys.view(np.uint8).reshape(-1, 16)[:, :4].copy().view("<u4").ravel() % np.uint32(parts)
+    order = np.argsort(part, kind="stable")
+    found, at = np.unique(part[order], return_index=True)
+    return list(zip(found.tolist(), np.split(order, at[1:]), strict=True)) if len(order) else []
+
+
+def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each block, the digests of its units that stand in other places too, and those of them it is to encode."""
+    every = _digests(_joined(pdf, "digests"))
+    block = np.repeat(pdf["block"].to_numpy(), [len(x) // 16 for x in pdf["digests"]])
+    twice = np.frombuffer(_joined(pdf, "twice"), bool)
+    names, at, n = np.unique(every, return_inverse=True, return_counts=True)
+    many = (n + np.bincount(at, weights=twice, minlength=len(names))) > 1
+    # One of the blocks that hold a unit encodes it: which one, the digest says.
+    order = np.lexsort((block, at))
+    first = np.searchsorted(at[order], np.arange(len(names)))
+    turn = names.view(np.uint8).reshape(-1, 16)[:, 4:8].copy().view("<u4").ravel() % n
+    own = np.zeros(len(every), bool)
+    own[order[first + turn]] = True
+    keep = np.flatnonzero(many[at])
+    keep = keep[np.argsort(block[keep], kind="stable")]
+    found, cut = np.unique(block[keep], return_index=True)
+    parts = np.split(keep, cut[1:]) if len(keep) else []
+    return pd.DataFrame({"block": found, "digests": [every[x].tobytes() for x in parts], "own": [own[x].tobytes() for x in parts]})
+
+
+def _handed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """To each block, the ids of the shared units that it asked for; rows of made ids have no block."""
+    made, asked = pdf[pdf["ids"].notna()], pdf[pdf["ids"].isna()]
+    table: dict[bytes, bytes] = {}
+    for digests, sizes, ids in zip(made["digests"], made["sizes"], made["ids"], strict=True):
+        ends = 4 * np.cumsum(np.frombuffer(sizes, np.int64))
+        for k, (start, end) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+            table[digests[16 * k : 16 * k + 16]] = ids[start:end]
+    out = []
+    for block, digests in zip(asked["block"], asked["digests"], strict=True):
+        got = [table[digests[k : k + 16]] for k in range(0, len(digests), 16)]
+        out.append((block, digests, np.array([len(x) // 4 for x in got], np.int64).tobytes(), b"".join(got)))
+    return pd.DataFrame(out, columns=["block", "digests", "sizes", "ids"])
+
+
+def _encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, schema: str, give) -> DataFrame:
+    """``give(encoder, ids, texts)`` for the texts of each block, where shared units are known."""
+    # Ids travel as strings: pandas would turn whole numbers among nulls into floats.
+    text = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    n_bytes = text.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    blocks = max(shuffle_parts(docs.sparkSession), n_bytes // BLOCK_BYTES + 1)
+    # Repeats of one row in several splits go to several blocks.
+    by_block = text.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int")).groupBy("block")
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        coder, block = bpe(tokenizer), pdf["block"].iloc[0]
+        keys = [digest(x) for _, texts in text_batches((pdf["doc_id"], pdf["text"])) for x in _units_of(coder, texts)]
+        names, n = np.unique(_digests(b"".join(keys)), return_counts=True)
+        rows = [(p, block, names[at].tobytes(), (n[at] > 1).tobytes()) for p, at in _dealt(names, blocks)]
+        return pd.DataFrame(rows, columns=["part", "block", "digests", "twice"])
+
+    def once(pdf: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        coder, rows = bpe(tokenizer), []
+        every = _digests(_joined(shared, "digests"))
+        own = set(every[np.frombuffer(_joined(shared, "own"), bool)].tolist())
+        ids: dict[bytes, np.ndarray] = {}
+        for _, texts in text_batches((pdf["doc_id"], pdf["text"])) if own else ():
+            for x in _units_of(coder, texts):
+                if (key := digest(x)) in own and key not in ids:
+                    ids[key] = coder.encode_part(x.decode("utf-8", "surrogatepass")).astype("<u4")
+        for part, at in _dealt(every, blocks):
+            rows.append((part, shared["block"].iloc[0], every[at].tobytes(), None, None))
+            if mine := [x for x in every[at].tolist() if x in ids]:
+                rows.append((part, None, b"".join(mine), np.array([len(ids[x]) for x in mine], np.int64).tobytes(), b"".join(ids[x].tobytes() for x in mine)))
+        return pd.DataFrame(rows, columns=["part", "block", "digests", "sizes", "ids"]).astype({"block": "Int32"})
+
+    def finish(pdf: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        known: dict[bytes, np.ndarray] = {}
+        for digests, sizes, ids in zip(table["digests"], table["sizes"], table["ids"], strict=True):
+            cut = np.split(np.frombuffer(ids, "<u4"), np.cumsum(np.frombuffer(sizes, np.int64))[:-1])
+            known |= {digests[16 * k : 16 * k + 16]: x for k, x in enumerate(cut)}
+        encoder = Encoder(bpe(tokenizer), known)
+        return give(encoder, pdf["doc_id"], pdf["text"])
+
+    seen = by_block.applyInPandas(find, "part int, block int, digests binary, twice binary")
+    shared = seen.groupBy("part").applyInPandas(_shared, "block int, digests binary, own binary")
+    made = by_block.cogroup(shared.groupBy("block")).applyInPandas(once, "part int, block int, digests binary, sizes binary, ids binary")
+    table = made.groupBy("part").applyInPandas(_handed, "block int, digests binary, sizes binary, ids binary")
+    done = by_block.cogroup(table.groupBy("block")).applyInPandas(finish, f"doc_id string, {schema}")
+    return done.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids array<int>``: what the tokenizers library gives for each whole text, special tokens not added.
 
-    Rolling-hash chunks are encoded once in each worker for all documents that share them and joined again as
-    ``segments`` says. The chunk table stays with the worker: a table for all workers would need every text in a shuffle,
-    more than encoding costs. No shuffle, no group; a lost task repeats its own split.
+    Texts are dealt into blocks once. Each block cuts its texts into chunks by a rolling hash and sends the chunks' digests
+    to the task that has a range of digests, which finds those that stand in several places, in one block or many, and
+    picks the one block that encodes each. The ids of shared chunks go back to the blocks that hold them; chunks that stand
+    once are encoded where they are. Joins are repaired as ``joined`` says, so results never depend on where chunks were
+    cut. A passage that all documents share is one digest a block.
 
     Null text: empty, with no ids. Null and repeated ids stay as they are; no documents give no rows; other columns are
-    not read. A text that holds a special token's string goes through the library whole.
+    not read. Texts are cut at special tokens first. White space of any length is dealt with (``Bpe.encode_part``).
     """
 
-    def run(batches):
-        table = ChunkTable(bpe(tokenizer))
-        for pdf in batches:
-            yield pdf.assign(ids=[table.encode(t or "").astype(np.int32) for t in pdf.pop("text")])
+    def give(encoder: Encoder, ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": ids, "ids": [encoder.encode(t).astype(np.int32) for t in texts]})
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
+    return _encoded(docs, tokenizer, id_col, text_col, "ids array<int>", give)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -121,24 +304,19 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encodes and decodes in one pass and returns digests only.
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encodes as ``encode_documents`` does, decodes, and returns digests.
 
     Nulls, repeats and empty tables as in ``encode_documents``.
     """
 
-    def run(batches):
-        coder = bpe(tokenizer)
-        table = ChunkTable(coder)
-        names = [str(i) for i in range(coder.size)]
+    def give(encoder: Encoder, keys: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        coder = encoder.coder
+        names = np.array([str(i) for i in range(coder.size)], object)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for pdf in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for text in pdf.pop("text"):
-                ids = table.encode(text or "").tolist()
-                counts.append(len(ids))
-                ids_sha.append(sha(",".join(map(names.__getitem__, ids)).encode()))
-                text_sha.append(sha(coder.decode(ids).encode("utf-8")))
-            yield pdf.assign(n_tokens=counts, ids_sha256=ids_sha, decoded_sha256=text_sha)
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+        rows = []
+        for text in texts:
+            ids = encoder.encode(text)
+            rows.append((len(ids), sha(",".join(names[ids].tolist()).encode()), sha(coder.decode(ids.tolist()).encode("utf-8"))))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=keys.to_numpy())
+
+    return _encoded(docs, tokenizer, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", give)

@@ -1,17 +1,24 @@
 """The byte-level BPE of a tokenizers file: ids exactly as that library gives them, at the speed of tiktoken.
 
-Both libraries hold the same vocabulary. Where every vocabulary entry is what its own bytes encode to (tested), merging
-by rank and merging by listed pair agree on any text, so tiktoken does the work; texts that hold a special token's
-string go through the tokenizers library itself, which reads it as that token.
+Both libraries hold the same vocabulary. Where every vocabulary entry is what its own bytes encode to, merging by rank and
+merging by listed pair agree on any text. That and the file's other settings are checked as it is opened; a file of another
+kind is left to the tokenizers library whole.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
 
+#: Unicode white space, as ``\s`` means it.
+BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space runs of this many characters are cut by rule: the pattern's look ahead goes back through a run, on a stack.
+LONG_RUN = 4096
+_RUNS = re.compile(f"[{BLANKS}]{{{LONG_RUN},}}+")
+
 
 def _char_bytes() -> dict[str, int]:
     """The printable stand-in of each byte in a byte-level vocabulary, by its rule."""
@@ -32,24 +39,81 @@ class Bpe:
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = [x["content"] for x in spec["added_tokens"]]
+        added = spec.get("added_tokens") or []
+        self.special = {x["content"]: x["id"] for x in added}
+        self.size = self.library.get_vocab_size(with_added_tokens=True)
+        #: Whether the fast way gives the library's ids.
+        self.plain = self._is_plain(spec, added)
+        if not self.plain:
+            return
         chars = _char_bytes()
-        special = {x["id"] for x in spec["added_tokens"]}
-        ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if i not in special}
+        self._char_of = {b: c for c, b in chars.items()}
+        ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         self.fast = tiktoken.Encoding("byte-level", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.size = max([*ranks.values(), *special]) + 1
-        self.bytes_of = {i: b for b, i in ranks.items()} | {x["id"]: x["content"].encode() for x in spec["added_tokens"]}
+        self.size = max([*ranks.values(), *self.special.values()]) + 1
+        self.bytes_of = {i: b for b, i in ranks.items()} | {i: t.encode() for t, i in self.special.items()}
+        #: Bytes of each id's text.
+        self.lengths = np.zeros(self.size, np.int64)
+        for i, b in self.bytes_of.items():
+            self.lengths[i] = len(b)
+        self._parts = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+
+    def _is_plain(self, spec: dict, added: list[dict]) -> bool:
+        """Byte-level BPE with the usual pattern and nothing else that would change ids."""
+        model, before, decoder = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+        after = (spec.get("post_processor") or {}).get("type", "ByteLevel")
+        if (model.get("type"), before.get("type"), decoder.get("type"), after) != ("BPE", "ByteLevel", "ByteLevel", "ByteLevel") or spec.get("normalizer"):
+            return False
+        if before.get("add_prefix_space") or not before.get("use_regex", True):
+            return False
+        if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            return False
+        if any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip")):
+            return False
+        chars, special = _char_bytes(), {x["content"] for x in added}
+        own = {t: i for t, i in model["vocab"].items() if t not in special}
+        return set(chars) <= set(own) and all(set(t) <= set(chars) and [x.id for x in self.library.model.tokenize(t)] == [i] for t, i in own.items())
+
+    def parts(self, text: str) -> list[str | int]:
+        """The text cut at special tokens, which stand as their ids."""
+        if self._parts is None:
+            return [text] if text else []
+        out, at = [], 0
+        for m in self._parts.finditer(text):
+            out += [text[at : m.start()]] * (m.start() > at) + [self.special[m[0]]]
+            at = m.end()
+        return out + [text[at:]] * (at < len(text))
+
+    def encode_part(self, text: str) -> np.ndarray:
+        """Ids of a text in which nothing is a special token.
 
-    def odd(self, text: str) -> bool:
-        return any(s in text for s in self.special)
+        A long run of white space is one piece but for its last character, which may belong to what follows; at the
+        text's end the whole run is one piece. The library's model, which has no pattern, encodes such a piece.
+        """
+        if len(text) < 1000:
+            return np.array(self.fast.encode_ordinary(text), np.uint32)
+        if len(text) < LONG_RUN or not (runs := list(_RUNS.finditer(text))):
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        out, at = [], 0
+        for m in runs:
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            piece = "".join(map(self._char_of.__getitem__, text[m.start() : end].encode("utf-8")))
+            out += [self.fast.encode_to_numpy(text[at : m.start()], disallowed_special=())] * (m.start() > at)
+            out.append(np.array([t.id for t in self.library.model.tokenize(piece)], np.uint32))
+            at = end
+        out += [self.fast.encode_to_numpy(text[at:], disallowed_special=())] * (at < len(text))
+        return np.concatenate(out)
 
     def encode(self, text: str) -> np.ndarray:
-        if self.odd(text):
+        if not self.plain:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+        ids = [self.encode_part(x) if isinstance(x, str) else np.array([x], np.uint32) for x in self.parts(text)]
+        return ids[0] if len(ids) == 1 else np.concatenate([np.zeros(0, np.uint32), *ids])
 
     def decode(self, ids) -> str:
         """As decode(ids, skip_special_tokens=False)."""
+        if not self.plain:
+            return self.library.decode(list(ids), skip_special_tokens=False)
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 

@@ -1,6 +1,7 @@
 """The operators against brute force on small tables with nulls, empty and long texts, repeats, ties and clashing columns."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillspark.llm import chunked_bpe, components, exact_dedup, packing, simhash, substring_dedup, topk, url_filter
-from quillspark.llm.tokens import bpe
+from quillspark.llm.tokens import Bpe, bpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 #: Other columns are named as the operators' own temporary and result columns are.
@@ -72,15 +73,70 @@ def test_every_vocabulary_entry_encodes_to_itself():
 
 def test_chunks_share_and_joins_are_repaired():
     coder, rng = bpe(PATH), random.Random(2)
-    text = "".join(rng.choice(["the ", "a", "b ", " ", "\n", "é", "1", ".", "'s", "\u00a0", "日本"]) for _ in range(40_000))
-    table = chunked_bpe.ChunkTable(coder, most=10_000)
-    for t in (text, text[1000:], "x" * 20_000, "x " * 20_000):
-        assert b"".join(chunked_bpe.segments(t.encode())) == t.encode()
-        assert table.encode(t).tolist() == coder.library.encode(t, add_special_tokens=False).ids
-    own, other = set(chunked_bpe.segments(text.encode())), list(chunked_bpe.segments(("intro " + text).encode()))
+    text = "".join(rng.choice(["the ", "a", "b ", " ", "\n", "é", "1", ".", "'s", "'", "\u00a0", "日本", "\x1c"]) for _ in range(40_000))
+    encoder = chunked_bpe.Encoder(coder)
+    for t in (text, text[1000:], "x" * 20_000, "x " * 20_000, "日" * 20_000, "'re" * 5000, " \n" * 9000 + "x"):
+        assert b"".join(chunked_bpe.units(t.encode())) == t.encode()
+        assert encoder.encode(t).tolist() == coder.library.encode(t, add_special_tokens=False).ids
+    own, other = set(chunked_bpe.units(text.encode())), list(chunked_bpe.units(("intro " + text).encode()))
     assert sum(len(x) for x in other if x in own) > 0.9 * len(text)
 
 
+def test_joins_whose_units_disagree_are_widened():
+    """A unit that says otherwise near the join, as a wrong table would, is not taken over."""
+    coder = bpe(PATH)
+    left, right = chunked_bpe.Encoder(coder).unit(b"some words that go before the jo"), chunked_bpe.Encoder(coder).unit(b"in and some that come behind it")
+    stay, between, gone = chunked_bpe.joined(left, right, coder)
+    ids = [*left.ids[:stay], *between, *right.ids[gone:]]
+    assert ids == coder.library.encode("some words that go before the join and some that come behind it").ids
+    wrong = chunked_bpe.Encoded(left.data, left.ids[::-1].copy(), coder.lengths[left.ids[::-1]].cumsum())
+    assert chunked_bpe.joined(wrong, right, coder) is None
+
+
+def test_shared_units_are_encoded_once_for_all_blocks(spark, rows):
+    """Texts of several blocks take the units they share from one table, and give the library's ids."""
+    library, rng = Tokenizer.from_file(PATH), random.Random(8)
+    shared = " ".join(f"w{rng.randrange(500)}é" for _ in range(3000))
+    docs = [(i, f"start {i} {shared} end {i}") for i in range(12)] + [(None, shared), (2**60 + 1, shared[5:])] + rows
+    seen = spark.sparkContext.accumulator(0)
+
+    def give(encoder, keys, texts):
+        import pandas as pd
+
+        ids = [encoder.encode(t).astype("int32") for t in texts]
+        seen.add(encoder.reused)
+        return pd.DataFrame({"doc_id": keys, "ids": ids})
+
+    got = chunked_bpe._encoded(frame(spark, docs).repartition(6), PATH, "doc_id", "text", "ids array<int>", give).collect()
+    want = Counter((i, tuple(library.encode(t or "", add_special_tokens=False).ids)) for i, t in docs)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+    assert seen.value > 0.9 * 14 * len(shared)
+
+
+LONG = ["a" + " " * 2_000_000 + "x", "\n" * 1_500_000, " " * 1_000_000, "a" * 2_000_000 + " b", "a" + "\t " * 300_000 + "\u3000y<|endoftext|>" + " " * 5000 + "z"]
+
+
+def test_very_long_runs_are_the_librarys(spark):
+    library = Tokenizer.from_file(PATH)
+    docs = list(enumerate(LONG))
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in docs}
+    assert {r.doc_id: r.ids for r in chunked_bpe.encode_documents(frame(spark, docs), PATH).collect()} == want
+    packed = packing.pack_documents(frame(spark, docs), PATH).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in packed} == {i: len(x) + 1 for i, x in want.items()}
+
+
+def test_other_tokenizer_files_are_left_to_the_library(tmp_path):
+    """A file that isn't byte-level BPE of the known form must not be read as one."""
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | change))
+        coder, text = Bpe(str(path)), "Hello THERE, it's me"
+        assert not coder.plain and coder.encode(text).tolist() == Tokenizer.from_file(str(path)).encode(text).ids
+        assert chunked_bpe.Encoder(coder).encode(text).tolist() == coder.encode(text).tolist()
+
+
 @pytest.mark.parametrize("room, pass_on", [(2048, 20_000), (64, 5)])
 def test_packing_is_whole_gapless_and_tight(spark, rows, room, pass_on, monkeypatch):
     monkeypatch.setattr(packing, "FAN_IN", 2)
