@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import written
@@ -16,10 +16,12 @@ from .tokens import bpe
 
 #: Bins with no more room than this count as nearly full before the last round.
 SLACK = 8
-#: Nodes that meet in one task of the next round, and bins that each passes on at most: the emptiest; fuller ones go out as they are.
-FAN_IN, PASS_ON = 16, 20_000
-#: Items that a task packs at a time in the first round.
+#: Nodes of one round for each node of the next.
+FAN_IN = 16
+#: Pieces that a task packs at a time, in the first round and, about, in all others.
 LOCAL_ITEMS = 400_000
+#: Rounds that can't have fewer nodes end when one saves less than this share of bins.
+LEAST_GAIN = 0.005
 
 ITEM = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, node long, open boolean"
 
@@ -54,20 +56,30 @@ def _packed(items: pd.DataFrame, room: int, node: int, first_bin: int, last: boo
     shift = np.empty(len(to), np.int64)
     shift[order] = ahead
     fill = np.bincount(to, weights=sizes).astype(np.int64)
-    stays = np.zeros(len(fill), bool)
-    if not last:
-        emptiest = np.argsort(fill, kind="stable")[:PASS_ON]
-        stays[emptiest] = fill[emptiest] < room - SLACK
+    stays = (fill < room - SLACK) & (not last)
     at = np.searchsorted(groups["bin"].to_numpy(), items["bin"].to_numpy())
     return items.assign(bin=first_bin + to[at], offset=items["offset"].to_numpy() + shift[at], fill=fill[to[at]], node=node, open=stays[to[at]])
 
 
+def _parent(fills: dict[int, int], room: int, nodes: int, level: int) -> Column:
+    """The node of each bin: about as many pieces to each, in order of the smaller of fill and room."""
+    counts: dict[int, int] = defaultdict(int)
+    for fill, n in fills.items():
+        counts[min(fill, room - fill)] += n
+    share, at, start, width = max(1, -(-sum(counts.values()) // nodes)), 0, [0] * (room + 1), [1] * (room + 1)
+    for key in sorted(counts):
+        start[key], width[key] = at // share, (at + counts[key] - 1) // share - at // share + 1
+        at += counts[key]
+    key = F.least("fill", room - F.col("fill")).cast("int")
+    look = lambda values: F.get(F.array(*map(F.lit, values)), key)
+    return look(start) + F.pmod(F.xxhash64("bin", F.lit(level)), look(width))
+
+
 def _meet(room: int, level: int, last: bool):
     """What a node does with the underfull bins of the nodes below it."""
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         node = int(pdf["parent"].iloc[0])
-        pdf["doc_id"] = pdf["doc_id"].astype("Int64")
         return _packed(pdf.drop(columns="parent"), room, node, (level << 56) + (node << 32), last)
 
     return meet
@@ -86,10 +98,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, room: int = 2048, separator:
 
     A document is its ids and ``separator``; only one longer than ``room`` is cut. A sequence holds at most ``room`` ids
     and has no gaps. Each task tokenizes its split and packs it by best fit; bins with more than ``SLACK`` ids of room
-    then meet those of ``FAN_IN`` other nodes as items, round after round, until one node is left. No task ever holds
-    more than ``LOCAL_ITEMS`` pieces or ``FAN_IN * PASS_ON`` bins, whatever the input: a node that has more underfull bins
-    (documents of over half the room, say, which can't be paired) emits its fullest as they are. Texts never shuffle.
-    Each round is written to the shared folder.
+    then meet as items, round after round, at ``FAN_IN`` times fewer nodes, until one node is left. Bins are dealt to nodes
+    by how well they may fit: a bin's key is its fill or its room, whichever is less, so those that can fill each other
+    exactly have one key, and nodes take ranges of keys (a key with many bins is spread over several nodes). Where a node
+    would have over ``LOCAL_ITEMS`` pieces there are more nodes, so no task ever holds more than about that, whatever the
+    input. Before each round, bins that not even the emptiest of all could join are done. The rounds end with the one of a
+    single node, or when one at the fewest nodes allowed saves less than ``LEAST_GAIN`` of its bins; what is underfull then
+    goes out as it is. Texts never shuffle, and each round is written to the shared folder.
 
     Null text counts as empty: one separator. Null and repeated ids are packed like others. No documents, no rows.
     Other columns are not read.
@@ -121,12 +136,23 @@ def pack_documents(docs: DataFrame, tokenizer: str, room: int = 2048, separator:
     items = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(local, ITEM), "packing")
     done, level = [items.where("not open")], 0
     rest = items.where("open")
-    nodes = (rest.agg(F.max("node")).first()[0] or 0) + 1
+    nodes, bins, held = (rest.agg(F.max("node")).first()[0] or 0) + 1, 0, False
     while True:
-        nodes, level = -(-nodes // FAN_IN), level + 1
-        last = nodes == 1
-
-        met = rest.withColumn("parent", F.floor(F.col("node") / FAN_IN)).groupBy("parent").applyInPandas(_meet(room, level, last), ITEM)
+        # Pieces and bins by fill: no more rows than ``room``.
+        fills = rest.groupBy("fill").agg(F.count(F.lit(1)).alias("pieces"), F.count_if(F.col("offset") == 0).alias("bins")).collect()
+        most = room - min((r["fill"] for r in fills), default=0)
+        if any(r["fill"] > most for r in fills):
+            done.append(rest.where(F.col("fill") > most))
+            rest, fills = rest.where(F.col("fill") <= most), [r for r in fills if r["fill"] <= most]
+        was, bins = bins, sum(r["bins"] for r in fills)
+        if not fills or (held and bins > (1 - LEAST_GAIN) * was):
+            done.append(rest)
+            break
+        fewest = -(-sum(r["pieces"] for r in fills) // LOCAL_ITEMS)
+        nodes, level = max(-(-nodes // FAN_IN), fewest), level + 1
+        held, last = nodes == fewest, nodes == 1
+        parent = _parent({r["fill"]: r["pieces"] for r in fills}, room, nodes, level)
+        met = rest.withColumn("parent", parent).groupBy("parent").applyInPandas(_meet(room, level, last), ITEM)
         if last:
             done.append(met)
             break
