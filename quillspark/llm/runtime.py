@@ -64,7 +64,10 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Spans:
-    """64-bit names of spans of a uint64 sequence: equal spans get equal names wherever they stand."""
+    """64-bit names of spans of a uint64 sequence: equal spans get equal names wherever they stand.
+
+    Polynomials modulo 2 ** 64 are quick, but spans can be made that share a name, so names only choose what is compared.
+    """
 
     def __init__(self, values: np.ndarray, base: int):
         n = len(values) + 1
@@ -97,6 +100,13 @@ class Words:
         #: First word of each text, and the number of all words.
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
+    def joined(self) -> bytes:
+        """All words, each with one space behind it."""
+        space = IS_SPACE[self.data]
+        keep = ~space
+        keep[self.end] = True
+        return np.where(space, np.uint8(0x20), self.data)[keep].tobytes()
+
     def spans(self, which: int = 0, lower: bool = False) -> Spans:
         table = BYTE_NAMES[which]
         if lower:

@@ -1,4 +1,4 @@
-"""Substring dedup by recompression: long repeats share interior symbols, which reveal and verify them."""
+"""Substring dedup by recompression: long repeats share interior symbols, which reveal them; their words verify them."""
 
 from __future__ import annotations
 
@@ -15,8 +15,8 @@ from .runtime import WORD_BASE, Spans, Words, mix, shuffle_parts, text_batches
 #: Rounds of naming pairs; before the rounds in RUNS, runs are named too. More rounds make fewer and longer symbols, but
 #: more windows without a settled one, which are looked up by their own names.
 ROUNDS, RUNS = 5, (0,)
-#: Words named from a symbol's start on; an anchor is valid in a window that holds them and all that shaped the symbol.
-PHRASE = 12
+#: Neighbouring top symbols that a window is looked up by, at most.
+SYMBOLS = 3
 #: Bytes of text that one task compares with the names others have found.
 BLOCK_BYTES = 8_000_000
 
@@ -49,11 +49,11 @@ def _pairs(name: np.ndarray, begin: np.ndarray, low: np.ndarray, high: np.ndarra
     return new[keep], begin[keep], low[keep], high[keep]
 
 
-def anchors(words: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the top symbols over a sequence of word names, and the range [low, high) of words that settle each.
+def symbols(words: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the top symbols over a sequence of word names, and the range [low, high) of words that settle each.
 
     Names are hashes of what they stand for, so every task of every machine gives equal content the same name without
-    a table of names. Two equal substrings have the same anchors wherever low and high lie inside.
+    a table of names. Two equal substrings have the same symbols wherever low and high lie inside.
     """
     n = len(words)
     name, begin, low, high = words, np.arange(n), np.arange(n), np.arange(1, n + 1)
@@ -61,12 +61,11 @@ def anchors(words: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nda
         if k in RUNS:
             name, begin, low, high = _runs(name, begin, low, high)
         name, begin, low, high = _pairs(name, begin, low, high, salt=0x5851F42D4C957F2D * (k + 1) & (2**63 - 1))
-    # A start is settled by both symbols that it parts.
-    return begin[1:], np.minimum(low[1:], low[:-1]), np.maximum(high[1:], high[:-1])
+    return name, np.minimum(low, begin), np.maximum(high, np.append(begin[1:], n))
 
 
 class Windows:
-    """Windows of ``size`` words of some texts: their names, and the anchor each is looked up by."""
+    """Windows of ``size`` words of some texts: what each is looked up by, and its digest."""
 
     def __init__(self, texts: list[bytes], size: int):
         self.words, self.size = Words(texts), size
@@ -79,42 +78,45 @@ class Windows:
         seq = np.empty(n + k + 1, np.uint64)
         seq[at] = names
         seq[marks] = mix(np.arange(k + 1, dtype=np.uint64) + np.uint64(0xABCD << 40))
-        self.seq, self.at = seq, at
+        self.seq = seq
         run = self.words.first[1:] - self.words.first[:-1]
         starts = np.maximum(run - size + 1, 0)
         doc = np.repeat(np.arange(k), starts)
         #: Index (among words) of each window's first word.
         self.start = self.words.first[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(starts) - starts, starts)
         self.place = self.start + doc + 1  # in seq
-        self.spans = Spans(seq, WORD_BASE[0])
-
-    def names(self) -> np.ndarray:
-        return self.spans.names(self.place, self.place + self.size)
-
-    def second_names(self, chosen: np.ndarray) -> np.ndarray:
-        """Names that don't depend on those of ``names``."""
-        other = np.zeros(len(self.seq), np.uint64)
-        other[self.at] = mix(self.words.names(1) + np.uint64(1))
-        return Spans(other, WORD_BASE[1]).names(self.place[chosen], self.place[chosen] + self.size)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """The key each window is looked up by, and the place (in two ranges) of what the key names.
+        """The key each window is looked up by, and a number for what the key names.
 
-        The key is the phrase at the first anchor that is settled inside the window, or else the window's own name. Equal
-        windows have equal keys: what is settled inside them is the same.
+        The key is the name of the first ``SYMBOLS`` top symbols that are settled inside the window (fewer, if there are
+        fewer), or of all its words if there are none. Equal windows have equal keys: what is settled inside is the same.
         """
-        begin, low, high = anchors(self.seq)
-        reach = np.maximum(high, begin + PHRASE)
-        ok = (reach - self.size <= low) & (reach < len(self.seq))
-        begin, low, reach = begin[ok], low[ok], reach[ok]
-        key, place = self.names(), self.place + len(self.seq)
-        if len(begin):
-            # low and reach never fall from one anchor to the next, so the first with low >= start is the only one to ask.
-            at = np.minimum(np.searchsorted(low, self.place), len(low) - 1)
-            has = (low[at] >= self.place) & (reach[at] - self.size <= self.place)
-            key[has] = mix(self.spans.names(begin, begin + PHRASE) + np.uint64(1))[at[has]]
-            place[has] = begin[at[has]]
-        return key, place
+        name, low, high = symbols(self.seq)
+        # low and high never fall from one symbol to the next, so those settled in a window stand in a row.
+        first = np.searchsorted(low, self.place, "left")
+        count = np.clip(np.searchsorted(high, self.place + self.size, "right") - first, 0, SYMBOLS)
+        key = np.zeros(len(first), np.uint64)
+        for k in range(SYMBOLS):
+            more = count > k
+            key[more] = mix(key[more] * np.uint64(0x9E3779B97F4A7C15) + name[first[more] + k] + np.uint64(1))
+        bare = count == 0
+        at = self.place[bare]
+        key[bare] = mix(Spans(self.seq, WORD_BASE[0]).names(at, at + self.size)) if len(at) else key[bare]
+        return key, np.where(bare, self.place + (SYMBOLS + 1) * len(self.seq), first * (SYMBOLS + 1) + count)
+
+    def digests(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of the SHA-256 of the chosen windows' words, joined by one space, as two numbers."""
+        words = self.words
+        size = words.end - words.start
+        place = np.cumsum(size + 1) - size - 1  # of each word among all, joined by one space
+        data = words.joined()
+        first = place[self.start[chosen]]
+        last = place[self.start[chosen] + self.size - 1] + size[self.start[chosen] + self.size - 1]
+        sha = hashlib.sha256
+        raw = b"".join([sha(data[a:b]).digest()[:16] for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+        both = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
 
 
 def _counted(name: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -167,8 +169,13 @@ def _among(sorted_names: np.ndarray, name: np.ndarray) -> np.ndarray:
     return np.where(sorted_names[at] == name, at, -1)
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs of numbers as values of 16 bytes, which sort as the pairs do."""
+    return np.column_stack((a, b)).astype(">u8").view("V16").ravel()
+
+
 def _texts(pdf: pd.DataFrame):
-    return text_batches((pdf["doc_id"].astype("Int64"), pdf["text"]))
+    return text_batches((pdf["doc_id"], pdf["text"]))
 
 
 def dedup_substrings(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -178,25 +185,28 @@ def dedup_substrings(docs: DataFrame, size: int = 35, id_col: str = "doc_id", te
     whose word sequence also starts elsewhere, in the same document or another, as the input stands (so all copies go).
 
     Texts are dealt into blocks once. In each, rounds of recompression give runs and pairs of words names that are the
-    same wherever the content is; a window is looked up by the phrase at the first top symbol that lies settled in it
-    (by itself if it has none, so none is missed). Blocks send their distinct names as arrays to the task that has a
-    range of names, which returns to each block those of its names that came twice or more; a passage that every
-    document holds is one name a block. The windows behind such keys are then verified the same way under 128-bit
-    names of their full word sequence, and what came twice or more is removed. Three passes read one shuffle of the texts.
+    same wherever the content is; a window is looked up by the first top symbols that lie settled in it (by all its words
+    if there are none, so none is missed). Blocks send their distinct names as arrays to the task that has a range of
+    names, which returns to each block those of its names that came twice or more; a passage that every document holds is
+    one name a block. The windows behind such names are then verified the same way under 128 bits of the SHA-256 of their
+    words, and what came twice or more is removed: names, which texts could be made to share, only choose what is
+    compared. Three passes read one shuffle of the texts.
 
     Null text: no words. Texts under ``size`` words lose none. Null and repeated ids are documents of their own (a repeated
     row makes both its copies repeats). No documents, no rows. Other columns are not read.
     """
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Ids travel as strings: pandas would turn whole numbers among nulls into floats.
+    text = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_bytes = text.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     blocks = max(shuffle_parts(docs.sparkSession), n_bytes // BLOCK_BYTES + 1)
-    text = text.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    # Repeats of one row in several splits go to several blocks.
+    text = text.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int"))
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         kept = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
         for _, texts in _texts(pdf):
             key, place = Windows(texts, size).keys()
-            # One occurrence for each anchor or window that is named, however many windows ask for it.
+            # One occurrence for each row of symbols or window that is named, however many windows ask for it.
             _, once = np.unique(place, return_index=True)
             name, twice = _counted(key[once])
             kept[0].append(name)
@@ -212,27 +222,21 @@ def dedup_substrings(docs: DataFrame, size: int = 35, id_col: str = "doc_id", te
             windows = Windows(texts, size)
             at = np.flatnonzero(_among(known, windows.keys()[0]) >= 0)
             if len(at):
-                cols[0].append(windows.names()[at])
-                cols[1].append(windows.second_names(at))
+                for c, x in zip(cols, windows.digests(at), strict=True):
+                    c.append(x)
         return _dealt(pdf["block"].iloc[0] if len(pdf) else 0, blocks, _counted(*map(np.concatenate, cols)))
 
-    def remove(pdf: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
-        a, b = _read(names, "a"), _read(names, "b")
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        most = int(np.unique(a, return_counts=True)[1].max(initial=0))
+    def remove(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        names, keys = found[found["b"].notna()], found[found["b"].isna()]
+        repeats, known = np.sort(_pair(_read(names, "a"), _read(names, "b"))), np.sort(_read(keys, "a"))
         out = []
         for ids, texts in _texts(pdf):
             covered = None
-            if len(a):
+            if len(repeats):
                 windows = Windows(texts, size)
-                at = _among(a, windows.names())
-                maybe = np.flatnonzero(at >= 0)
+                maybe = np.flatnonzero(_among(known, windows.keys()[0]) >= 0)
                 if len(maybe):
-                    at, second, same = at[maybe], windows.second_names(maybe), np.zeros(len(maybe), bool)
-                    for k in range(most):
-                        to = np.minimum(at + k, len(a) - 1)
-                        same |= (a[to] == a[at]) & (b[to] == second)
+                    same = _among(repeats, _pair(*windows.digests(maybe))) >= 0
                     start, first = windows.start[maybe[same]], windows.words.first
                     steps = np.zeros(first[-1] + 1, np.int64)
                     steps[start] += 1
@@ -244,12 +248,14 @@ def dedup_substrings(docs: DataFrame, size: int = 35, id_col: str = "doc_id", te
                 n = int(gone.sum())
                 kept = b" ".join(compress(words, (~gone).tolist()) if n else words)
                 out.append((key, len(words), n, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "surrogatepass")] * with_text)))
-        return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text])
 
     by_block = text.groupBy("block")
     keys = by_block.applyInPandas(find, "part int, block int, a binary, twice binary")
     keys = keys.groupBy("part").applyInPandas(_repeated, "block int, a binary")
     names = by_block.cogroup(keys.groupBy("block")).applyInPandas(verify, "part int, block int, a binary, b binary, twice binary")
     names = names.groupBy("part").applyInPandas(_repeated, "block int, a binary, b binary")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return by_block.cogroup(names.groupBy("block")).applyInPandas(remove, schema)
+    found = keys.withColumn("b", F.lit(None).cast("binary")).unionByName(names)
+    schema = "doc_id string, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    done = by_block.cogroup(found.groupBy("block")).applyInPandas(remove, schema)
+    return done.withColumn("doc_id", F.col("doc_id").cast("long"))

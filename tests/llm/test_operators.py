@@ -203,17 +203,38 @@ def test_substring_dedup_is_brute_force(spark, rows, size):
     assert substring_dedup.dedup_substrings(frame(spark, [])).count() == 0
 
 
-def test_equal_substrings_share_interior_anchors():
+def test_equal_substrings_share_interior_symbols():
     rng = np.random.default_rng(1)
     inner = rng.integers(0, 6, 400).astype(np.uint64)
     found = []
     for n in (3, 50):
         seq = np.concatenate((rng.integers(10, 99, n).astype(np.uint64), inner, rng.integers(10, 99, n).astype(np.uint64)))
-        begin, low, high = substring_dedup.anchors(substring_dedup.mix(seq))
+        name, low, high = substring_dedup.symbols(substring_dedup.mix(seq))
         assert (np.diff(low) >= 0).all() and (np.diff(high) >= 0).all()
         ok = (low >= n) & (high <= n + 400)
-        found.append((begin[ok] - n).tolist())
-    assert found[0] == found[1] and len(found[0]) > 40
+        found.append((name[ok].tolist(), (low[ok] - n).tolist()))
+    assert found[0] == found[1] and len(found[0][0]) > 40
+
+
+@pytest.mark.parametrize("length", [1024, 4096])
+def test_words_made_to_share_names_are_told_apart(spark, length):
+    """A Thue-Morse word and its complement have one polynomial name under any base; nothing repeats, nothing goes."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(length))
+    other = word.translate(str.maketrans("ab", "ba"))
+    a, b = substring_dedup.Words([word.encode()]).names(), substring_dedup.Words([other.encode()]).names()
+    assert a[0] == b[0]
+    docs = [(1, " ".join([word] * 35)), (2, " ".join([other] * 35)), (3, " ".join([word] * 34 + [other])), (4, f"{word} " * 36), (None, "x")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(frame(spark, docs)).collect()}
+    assert got == {1: (35, 35), 2: (35, 0), 3: (35, 0), 4: (36, 36), None: (1, 0)}
+    assert {r.n_removed for r in substring_dedup.dedup_substrings(frame(spark, docs[:3])).collect()} == {0}
+
+
+def test_one_row_many_times_is_dealt_to_many_blocks(spark):
+    rng = random.Random(3)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(50))
+    df = frame(spark, [(1, text)] * 200 + [(2, text + " x"), (2**62 + 1, "short")]).repartition(8)
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.dedup_substrings(df).collect())
+    assert got == {(1, 50, 50): 200, (2, 51, 50): 1, (2**62 + 1, 1, 0): 1}
 
 
 @pytest.mark.parametrize("keep", ["min", "max"])
