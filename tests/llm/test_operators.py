@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -308,23 +309,41 @@ def test_components_of_long_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_topk_is_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD", 60)
-    monkeypatch.setattr(topk, "FEW", 10)
+def brute_top(rows, k=5):
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    clip, want, asked = lambda s: min(max(s, -(2**63)), 2**63 - 1), set(), {}
+    for q, v in ok:
+        if q % 50 == 0:
+            asked[q] = max(asked.get(q, v), v)
+    for q, v in asked.items():
+        best = sorted((-clip(sum(a * b for a, b in zip(v, w))), i) for i, w in ok if i != q and len(w) == len(v))[:k]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    return want
+
+
+@pytest.mark.parametrize("query_bytes", [16_000_000, 1500])
+def test_topk_is_brute_force(spark, monkeypatch, query_bytes):
+    for name, value in (("SHARD", 60), ("FEW", 10), ("QUERY_BYTES", query_bytes)):
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(3)
     vectors = [(i, rng.normal(0, 0.3, 16).tolist()) for i in range(300)] + [(300 + i, [0.5] * 16) for i in range(20)]
     vectors += [(400, None), (401, [0.1] * 15 + [None]), (402, [float("nan")] + [0.1] * 15), (403, [float("inf")] * 16), (450, [0.2] * 3), (500, [0.0] * 16), (None, [0.1] * 16)]
-    df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<double>, shard int, rank int")
-    ok = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    want = set()
-    for q, v in ok:
-        if q % 50 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q and len(w) == len(v))[:5]
-            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
-    assert set(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0")).collect())) == want
+    vectors += [(600, [0.7] * 16)] * 7 + [(7, [0.4] * 16), (650, []), (600, [0.1] * 16)]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<double>, dim int, rank int")
+    got = topk.top_k(df, df.where("vec_id % 50 = 0"))
+    assert set(map(tuple, got.collect())) == brute_top(vectors)
     assert topk.top_k(df.limit(0), df).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
 
 
+def test_topk_of_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "FEW", 4)
+    rng = np.random.default_rng(5)
+    vectors = [(i, rng.normal(0, 0.3, 4).tolist()) for i in range(200)] + [(201, [5000.0, 0.1, -0.1, 0.2]), (250, [4096.5] * 4), (202, [3e9, -2e9, 1.0, 0.5])]
+    vectors += [(300, [1e38, -1e38, 1.0, 0.0]), (203, [2.0**50 + 1, 2.0**50, 0.3, 0.1]), (350, [1e12, 1.0, -1e12, 0.25])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert set(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0")).collect())) == brute_top(vectors)
+
+
 @pytest.mark.parametrize("most", [100_000, 1])
 def test_url_filter_is_brute_force(spark, most, monkeypatch):
     monkeypatch.setattr(url_filter, "BROADCAST_RULES", most)
