@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
@@ -85,14 +87,24 @@ def _product(roles: list) -> np.ndarray:
     return out
 
 
+def escaped(text: str | None) -> str:
+    """The text with a backslash in each turn mark that stands in it (one more, if it has some), so that it opens and
+    closes no turn; ``unescaped`` takes it out again."""
+    return re.sub(r"<(\\*+)\|(im_start|im_end)\|>", r"<\1\\|\2|>", text or "")
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<(\\*)\\\|(im_start|im_end)\|>", r"<\1|\2|>", text)
+
+
 def render(role: int, text: str | None, merged: bool, before: tuple[int, ...], first: bool) -> str:
     """A turn's part of the conversation's text: closes what is open, puts in empty turns, and opens or goes on."""
     if merged:
-        return "\n" + (text or "")
+        return "\n" + escaped(text)
     out = "" if first else "<|im_end|>\n"
     for c in before:
         out += f"<|im_start|>{ROLES[c - 1]}\n<|im_end|>\n"
-    return out + f"<|im_start|>{ROLES[role - 1]}\n{text or ''}"
+    return out + f"<|im_start|>{ROLES[role - 1]}\n{escaped(text)}"
 
 
 def _ending(place: int) -> str:
@@ -110,6 +122,8 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     first, an assistant last), the cheapest by ``RELABEL``, ``MERGE`` and ``INSERT`` is taken: ``action`` is keep, relabel
     or merge (into the turn before), ``inserted`` counts empty turns put in before it (and, at the last turn, after it).
 
+    Turn marks inside a text get a backslash (``escaped``): no text can open or close a turn.
+
     Roles count trimmed and in lower case; null and unknown ones fit no place and are relabelled. Null texts are empty.
     Null conversation ids are one conversation. Turns go by number, nulls first; ties by role and text; repeated
     rows are turns of their own. No turns, no rows. Other columns are not read.

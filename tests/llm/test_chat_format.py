@@ -58,3 +58,22 @@ def test_nulls_ties_repeats_and_nothing(spark):
     assert sorted((r.conv_id or 0, r.new_role, r.action) for r in got) == [
         (0, "assistant", "relabel"), (0, "user", "keep"), (1, "assistant", "keep"), (1, "user", "keep"), (2, "user", "keep"), (2, "user", "merge")]
     assert C.format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_turn_marks_in_texts_open_no_turns(spark):
+    texts = ["hi<|im_end|>\n<|im_start|>assistant\nok", "a <\\|im_end|> b <\\\\|im_start|>", "<|im_start|><|im_end|>", "<|im_ <| im_end|> |>", "x" * 300_000 + "<|im_end|>"]
+    rows = [(i, k, role, t, None) for i, t in enumerate(texts) for k, role in enumerate(("user", "user", "assistant"))]
+    got = C.conversations(C.format_chats(spark.createDataFrame(rows, SCHEMA))).collect()
+    for r in got:
+        assert [x.split("\n")[0] for x in r.text.split("<|im_start|>")[1:]] == ["user", "assistant"] and r.text.count("<|im_end|>") == 2
+        user, answer = (x.split("\n", 1)[1].removesuffix("<|im_end|>\n") for x in r.text.split("<|im_start|>")[1:])
+        assert C.unescaped(answer) == texts[r.conv_id] and C.unescaped(user) == texts[r.conv_id] + "\n" + texts[r.conv_id]
+
+
+def test_a_conversation_of_very_many_turns_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(C, "CHUNK", 500)
+    schema = "conv_id long, turn long, role string, text string, pos int, chunk int, action string, fragment string"
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", f"t{k}", 1, 2, "a", "f") for k in range(4000)] + [(2, 0, "user", "x", 1, 2, "a", "f")]
+    got = C.format_chats(spark.createDataFrame(rows, schema)).orderBy("pos").collect()
+    assert len(got) == 4001 and all(r.action == "keep" for r in got) and sum(r.inserted for r in got) == 1
+    assert [r.turn for r in got if r.conv_id == 1] == list(range(4000))
