@@ -344,9 +344,9 @@ def test_topk_of_large_components(spark, monkeypatch):
     assert set(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0")).collect())) == brute_top(vectors)
 
 
-@pytest.mark.parametrize("most", [100_000, 1])
-def test_url_filter_is_brute_force(spark, most, monkeypatch):
-    monkeypatch.setattr(url_filter, "BROADCAST_RULES", most)
+@pytest.mark.parametrize("name, most", [("BROADCAST_RULES", 100_000), ("BROADCAST_RULES", 1), ("BROADCAST_BYTES", 20)])
+def test_url_filter_is_brute_force(spark, name, most, monkeypatch):
+    monkeypatch.setattr(url_filter, name, most)
     rules = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("a.b.org", "", "block"), ("org", "", "allow"), ("org", "", "block")]
     urls = ["http://x.example.com/en/71?q", "https://EXAMPLE.com/en/7", "http://com/en/", "http://xcom/en/", "http://a.b.org#f", "ftp://c.a.b.org/p", "http://org", "no scheme", "", None, "http://", "http:///en/", "http://e.net/de", "http://e.net/de/?x", "http://e.net?/de/", "a://b://c.com/en/x", "http://." + "z." * 3000 + "com/en/" + "y" * 9000, "http://é.com/en/\nq#", "http://com./en/"]
     pages = [(i, u, "h") for i, u in enumerate(urls)] + [(0, urls[0], "h"), (None, urls[0], "h")]
