@@ -6,7 +6,9 @@ import re
 import string
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quillspark.llm import decisions, queries, secrets, toxicity
@@ -206,8 +208,65 @@ def test_an_id_with_two_texts_is_judged_by_each(spark, tiny):
     assert sorted((r.doc_id, r.text or "") for r in got.collect()) == [(3, near), (5, other), (7, "")] and got.columns == df.columns
 
 
-def test_pipeline_over_the_smallest_table(spark, tiny):
-    kept = corpus_pipeline.run(spark, tiny)
-    everything = queries.table(spark, tiny, "documents")
-    ids = {r.doc_id for r in kept.select("doc_id").distinct().collect()}
-    assert ids < {r.doc_id for r in everything.select("doc_id").collect()} and len(ids) > 0.7 * everything.count()
+def test_clashing_names_and_nothing(spark, tiny, monkeypatch):
+    """Columns named as any stage's own come back as they were; empty tables stay empty, with their columns."""
+    forest_ = queries.secrets_forest(spark)
+    monkeypatch.setattr(queries, "secrets_forest", lambda spark: forest_)
+    own = "_before, text_before, _text_digest, text_digest, Dropped_ID, dropped_sign, _sign, sign, text_sha256, digest, body, kept, fp, label, node, p, toxic, junk, _order, _size".split(", ")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in own)
+    rows = [(1, "Same"), (2, "same"), (2, "same"), (3, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"'), (4, None), (5, ""), (None, "same"), (None, "other"), (6, "w " * 200_000)]
+    df = spark.createDataFrame([(i, t, "en", "src", 1, *(f"{c}-{i}" for c in own)) for i, t in rows], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, tiny)
+        assert df.columns == spark.createDataFrame([], schema).columns
+        assert stage(spark, spark.createDataFrame([], schema), tiny).count() == 0
+    got = {(r.doc_id, r.text): r for r in df.collect()}
+    assert sorted((i or 0, (t or "")[:20]) for i, t in got) == [(0, "other"), (2, "same"), (3, 'token = "<SECRET>"'), (5, ""), (6, "w w w w w w w w w w ")]
+    assert all(r[c] == f"{c}-{r.doc_id}" for r in got.values() for c in own)
+    assert corpus_pipeline.packed(spark, df, tiny).count() > 5
+
+
+def test_toxicity_stage(spark, tmp_path):
+    """The stage trains on the labels of its own folder; toxic documents go, and without labels none does."""
+    rows = made(240) + [(9000, "you grubnik fool"), (9001, "calm words"), (9002, None), (None, "you grubnik fool"), (9003, "calm " * 100_000)]
+    spark.createDataFrame([(i, int(i % 4 != 3), int(i % 4 == 1)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "a/labels.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "b/labels.parquet"))
+    kept = sorted(r.doc_id for r in corpus_pipeline.toxic_out(spark, docs(spark, rows), str(tmp_path / "a")).collect())
+    assert kept == sorted([*(i for i, _ in made(240) if i % 4 != 1), 9001, 9002, 9003])
+    assert corpus_pipeline.toxic_out(spark, docs(spark, rows), str(tmp_path / "b")).count() == len(rows)
+
+
+def brute_pipeline(spark, sf, rows):
+    """(id, text) rows after the filtering stages, by plain loops; the chain and the forest are the operators' own."""
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    all_docs = queries.table(spark, sf, "documents")
+    chain_ = queries.toxicity_chain(spark, all_docs, sf)
+    p = toxicity.probabilities(chain_, [(t or "").encode() for _, t in rows])[:, 1] if chain_[1].fitted else [0] * len(rows)
+    rows = [(i, t) for (i, t), x in zip(rows, p) if not t or x < toxicity.THRESHOLD]
+    last = {}
+    for i, t in rows:
+        last[lower(t)] = max(last.get(lower(t), i), i)
+    rows = [(i, t) for i, t in rows if last[lower(t)] == i]
+
+    def fingerprint(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+        hashes = [xxhash.xxh64_intdigest(" ".join(w[k : k + 4]).encode(), 42) for k in range(max(1, len(w) - 3))] if w else []
+        return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64)) if hashes else 0
+
+    fps = [fingerprint(t) for _, t in rows]
+    label = [i for i, _ in rows]
+    near = [[b for b in range(len(rows)) if (fps[a] ^ fps[b]).bit_count() <= 4] for a in range(len(rows))]
+    while (new := [min(label[b] for b in group) for group in near]) != label:
+        label = new
+    return {i: t for (i, t), own in zip(rows, label) if i == own}
+
+
+def test_pipeline_is_brute_force_on_the_smallest_table(spark, tiny):
+    everything = [(r.doc_id, r.text) for r in queries.table(spark, tiny, "documents").select("doc_id", "text").collect()]
+    want = brute_pipeline(spark, tiny, everything)
+    library = Tokenizer.from_file(queries.tokenizer())
+    got = corpus_pipeline.run(spark, tiny).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id for r in got} == set(want) and 0.7 * len(everything) < len(want) < len(everything)
+    # Secrets of these documents are 40 hex digits behind a name; each becomes a mark, and nothing else changes.
+    marked = {i: re.sub(r'(?i)(token = ")[0-9a-f]{40}', r"\1<SECRET>", t or "") for i, t in want.items()}
+    assert {r.doc_id: r.n for r in got} == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in marked.items()}
