@@ -47,7 +47,7 @@ def op5_url_filter(spark, sf_dir):
 
 
 def secrets_forest(spark):
-    return secrets.train(spark, secrets.labelled_findings())
+    return secrets.train(spark, secrets.labelled_findings(spark))
 
 
 def op6_secret_scan(spark, sf_dir):

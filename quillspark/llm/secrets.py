@@ -4,21 +4,18 @@ from __future__ import annotations
 
 import math
 import random
-import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names that a secret is assigned to, prefixes of known key formats, words of harmless contexts.
+from . import findings
+
+#: Names that a secret is assigned to, and prefixes of known key formats.
 KEYS = "token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?"
 KNOWN = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_live_[0-9A-Za-z]{16,}|AIza[0-9A-Za-z_-]{30,}|glpat-[0-9A-Za-z_-]{16,}|eyJ[A-Za-z0-9_=-]{16,}|-----BEGIN)"
-PLACEHOLDER = "example|sample|dummy|placeholder|changeme|your[_-]?|xxxx|test|fake|1234567|abcdef"
-DIGEST = "sha|md5|checksum|digest|commit|revision|uuid|guid|etag|integrity|hash|build|order|invoice|tracking|isbn|phone|card"
-PATHS = "test|fixture|example|docs?|lock|vendor"
-#: Words and letter pairs of ordinary text.
-DICTIONARY = "about|access|address|admin|after|application|before|build|class|client|config|content|data|default|document|error|example|file|first|from|function|group|index|information|license|list|manager|message|model|module|name|number|object|order|other|package|page|password|path|project|public|query|release|report|request|response|result|search|secret|server|service|session|source|state|string|system|table|test|text|that|there|this|time|title|token|update|user|value|version|which|window|with|world"
-PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur"
+#: Words of ordinary text and code.
+DICTIONARY = "about|access|address|admin|after|application|auth|before|build|change|class|client|config|content|data|default|document|dummy|error|example|field|file|first|from|function|group|here|host|image|index|information|insert|key|license|list|login|manager|message|model|module|name|null|number|object|order|other|page|password|path|place|project|public|query|release|replace|report|request|response|result|sample|search|secret|server|service|session|source|state|string|system|table|test|text|that|there|this|time|title|token|true|type|update|user|value|version|which|window|with|world|xxxx|your"
 
 #: A name of any number of parts with one of ``KEYS`` in it, which ends where a word does, also a camelCase one
 #: (dbPassword, passwordHash, but not author), and the sign behind it. A cheap look ahead for that sign comes first.
@@ -33,22 +30,71 @@ _PEM = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:{_ENDED}|{_ENDLESS})"
 #: are taken whole, however long: possessive loops neither go back nor nest, so the time stays linear.
 CANDIDATE = rf"{_KEYED}(?:{_PEM}|[^\s\"'<>,;]{{6,}}+)|{_PEM}|{_RUN}"
 
-FEATURES = ("length", "digits", "upper", "letter_digit", "case_change", "distinct", "hex", "dictionary", "pairs", "keyed", "placeholder", "digest", "known", "path", "only_digits")
-TREES, DEPTH, LEAST = 15, 6, 4
+FEATURES = ("length", "digits", "upper", "letter_digit", "case_change", "distinct", "hex", "dictionary", "transitions", "keyed", "known", "only_digits", "before", "after", "path")
+TREES, DEPTH, LEAST, FOLDS = 21, 8, 5, 4
 THRESHOLD = 0.5
+#: Words before and behind a candidate that count, and words that the tables hold at most.
+NEAR, WORDS = 4, 200
+#: How often a training finding's surroundings are left out.
+LEFT_OUT = 0.4
+#: Kinds of characters for transitions: a small letter, any capital, a digit, any other sign.
+_KINDS = "abcdefghijklmnopqrstuvwxyzA0-"
+
+@dataclass(frozen=True)
+class Tables:
+    """What is learned besides the forest: log odds of a secret for each transition between two characters, and for words
+    before a candidate, behind it and in its path."""
+
+    transitions: tuple[float, ...]
+    before: dict
+    after: dict
+    path: dict
 
 
 def _yes(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("double")
 
 
-def features(match: Column, left: Column, path: Column) -> Column:
-    """The struct of ``FEATURES`` of a candidate, what stands before it, and its document's path or source."""
+def _kinds(value: Column) -> Column:
+    """A value's characters by kind."""
+    return F.regexp_replace(F.translate(value, "BCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "A" * 25 + "0" * 9), "[^a-zA0]", "-")
+
+
+def _words_of(text: Column, last: bool) -> Column:
+    """The ``NEAR`` words of letters next to a candidate; what stands further away isn't cut into words."""
+    near = F.substring(text, -80, 80) if last else F.substring(text, 1, 80)
+    found = F.regexp_extract_all(F.lower(near), F.lit("[a-z]+|[=:]"), F.lit(0))
+    return F.slice(F.reverse(found), 1, NEAR) if last else F.slice(found, 1, NEAR)
+
+
+def _path_words(path: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(path, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+
+
+def _odds(words: Column, table: dict) -> Column:
+    """The sum of the words' log odds."""
+    if not table:
+        return F.lit(0.0)
+    # One literal, which is read once: a map of many would be planned word by word.
+    known = F.str_to_map(F.lit(";".join(f"{w}~{x}" for w, x in table.items())), F.lit(";"), F.lit("~")).cast("map<string,double>")
+    return F.aggregate(words, F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(known, w), F.lit(0.0)))
+
+
+def _transition_odds(value: Column, table: tuple[float, ...]) -> Column:
+    """The mean log odds of a value's transitions, over all of it."""
+    odds, n = F.split(F.lit(" ".join(map(str, table))), " ").cast("array<double>"), len(_KINDS)
+    code = lambda c: F.instr(F.lit(_KINDS), c) - 1
+    added = lambda s, c: F.struct(code(c).alias("last"), (s["sum"] + F.when(s["last"] < 0, 0.0).otherwise(F.get(odds, s["last"] * n + code(c)))).alias("sum"))
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+    return F.aggregate(F.split(_kinds(value), ""), start, added, lambda s: s["sum"]) / F.greatest(F.length(value) - 1, F.lit(1))
+
+
+def features(match: Column, left: Column, right: Column, path: Column, tables: Tables) -> Column:
+    """The struct of ``FEATURES`` of a candidate, what stands before and behind it, and its document's path or source."""
     keyed = match.rlike(rf"^{_KEYED}")
     value = F.when(keyed, F.regexp_replace(match, rf"^{_KEYED}", "")).otherwise(match)
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
-    before = F.lower(F.substring(left, -40, 40))
     return F.struct(
         F.length(value).cast("double").alias("length"),
         share("[0-9]").alias("digits"),
@@ -58,76 +104,66 @@ def features(match: Column, left: Column, path: Column) -> Column:
         (F.size(F.array_distinct(F.split(F.substring(value, 1, 64), ""))) / F.least(n, F.lit(64.0))).alias("distinct"),
         _yes(value.rlike("^[0-9a-fA-F]+$")).alias("hex"),
         (1 - F.length(F.regexp_replace(F.lower(value), DICTIONARY, "")) / n).alias("dictionary"),
-        (F.regexp_count(F.lower(value), F.lit(PAIRS)) / n).alias("pairs"),
+        _transition_odds(value, tables.transitions).alias("transitions"),
         _yes(keyed).alias("keyed"),
-        _yes(F.lower(match).rlike(PLACEHOLDER)).alias("placeholder"),
-        _yes(before.rlike(rf"(?:{DIGEST})[^a-z]{{0,12}}$")).alias("digest"),
         _yes(value.rlike(KNOWN)).alias("known"),
-        _yes(F.lower(path).rlike(PATHS)).alias("path"),
         _yes(value.rlike("^[0-9+_=~/-]+$")).alias("only_digits"),
+        _odds(_words_of(left, True), tables.before).alias("before"),
+        _odds(_words_of(right, False), tables.after).alias("after"),
+        _odds(_path_words(path), tables.path).alias("path"),
     )
 
 
 @dataclass(frozen=True)
 class Finding:
-    """A labelled finding: the match as ``CANDIDATE`` gives it, what stood before it, its path, and whether it was real."""
+    """A labelled finding: the match as ``CANDIDATE`` gives it, what stands around it, its path, and whether it is real."""
 
     match: str
     left: str
+    right: str
     path: str
     secret: bool
-
-
-def labelled_findings(n: int = 1500, seed: int = 11) -> list[Finding]:
-    """Findings labelled by how they were made: keys in their vendors' formats and assigned random values are secrets;
-    digests, ids, numbers, identifiers, words and placeholders aren't. Bounded by ``n``."""
-    rng = random.Random(seed)
-    any_of = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
-    alnum, hexes, words = string.ascii_letters + string.digits, "0123456789abcdef", DICTIONARY.split("|")
-    keys = ["token", "secret", "password", "api_key", "access_key", "db_password", "auth", "client_secret", "pwd"]
-    keys += ["MYSQL_ROOT_PASSWORD", "dbPassword", "secret_key", "aws_secret_access_key", "password_hash", "authTokenValue", "spring.datasource.password"]
-    glue = ["=", ": ", ' = "', '="', ": '"]
-    paths = ["src", "web", "mail", "config", "notes", "test", "docs", "fixtures"]
-
-    def chosen():
-        """A password as people choose them: a word-like start with a capital inside, a digit and often a sign."""
-        word = list("".join(rng.choice(PAIRS.split("|")) for _ in range(rng.randint(2, 4))))
-        at = rng.randrange(len(word))
-        word[at] = word[at].upper()
-        return "".join(word) + any_of(string.digits, rng.randint(1, 3)) + any_of(string.ascii_lowercase, rng.randint(0, 1)) + any_of("!#$%^&*", rng.randint(0, 2))
-
-    out = []
-    for _ in range(n):
-        left, path = " ".join(rng.choice(words) for _ in range(rng.randint(0, 5))) + " ", rng.choice(paths)
-        real = [
-            lambda: "AKIA" + any_of(string.ascii_uppercase + string.digits, 16),
-            lambda: "ghp_" + any_of(alnum, 36),
-            lambda: "sk_live_" + any_of(alnum, 24),
-            lambda: "xoxb-" + any_of(string.digits, 12) + "-" + any_of(alnum, 24),
-            lambda: rng.choice(keys) + rng.choice(glue) + any_of(hexes, rng.choice([16, 18, 24, 32, 40, 64])),
-            lambda: rng.choice(keys) + rng.choice(glue) + any_of(alnum, rng.randint(10, 48)),
-            lambda: rng.choice(keys) + rng.choice(glue) + any_of(alnum + "!#$%^&*", rng.randint(8, 20)),
-            lambda: any_of(alnum + "+/", rng.choice([40, 44, 64])),
-            lambda: rng.choice(keys) + rng.choice(glue) + chosen(),
-        ]
-        false = [
-            lambda: any_of(string.digits, rng.randint(16, 20)),
-            lambda: "-".join(any_of(hexes, k) for k in (8, 4, 4, 4, 12)),
-            lambda: "_".join(rng.choice(words) for _ in range(rng.randint(2, 5))) + any_of(string.digits, rng.randint(1, 3)),
-            lambda: "/".join(rng.choice(words) for _ in range(rng.randint(3, 6))) + "/v" + any_of(string.digits, 1),
-            lambda: rng.choice(keys) + rng.choice(glue) + rng.choice(["changeme", "your_token_here", "xxxxxxxxxxxx", "example", "placeholder", "test1234567", "dummy_value"]),
-            lambda: rng.choice(keys) + rng.choice(glue) + "_".join(rng.choice(words) for _ in range(rng.randint(1, 3))),
-            lambda: rng.choice(keys) + rng.choice(glue) + "os.environ." + rng.choice(words),
-            lambda: "".join(rng.choice(PAIRS.split("|")) for _ in range(rng.randint(8, 12))) + any_of(string.digits, rng.randint(1, 4)),
-        ]
-        if rng.random() < 0.12:
-            left += rng.choice(["sha256:", "commit ", "md5 ", "checksum=", "etag "])
-            out.append(Finding(any_of(hexes, rng.choice([32, 40, 64])), left, path, False))
-        elif rng.random() < 0.5:
-            out.append(Finding(rng.choice(real)(), left, path, True))
-        else:
-            out.append(Finding(rng.choice(false)(), left, path, False))
-    return out
+    #: The labelled line it comes from.
+    line: int = 0
+
+
+def labelled_findings(spark, lines=None, copies: int = 24, seed: int = 11) -> list[Finding]:
+    """The candidates in the labelled lines of ``findings``, as the scan cuts them; bounded by lines times ``copies``.
+
+    Of all but a line's first copy, what stands around a candidate and its path are left out at times, so that no model
+    leans on words alone."""
+    made, rng = findings.documents(lines, copies, seed), random.Random(seed)
+    text = F.col("text")
+    df = spark.createDataFrame([(i, p, t) for i, p, t, _ in made], "id long, path string, text string")
+    cut = df.select("id", "path", F.split(text, CANDIDATE, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found")).orderBy("id").collect()
+    real = {i: r for i, _, _, r in made}
+    some = lambda x, i: x if i % copies == 0 or rng.random() > LEFT_OUT else ""
+    return [
+        Finding(m, some(r["pieces"][k], r["id"]), some(r["pieces"][k + 1], r["id"]), some(r["path"], r["id"]), any(s in m for s in real[r["id"]]), r["id"] // copies)
+        for r in cut for k, m in enumerate(r["found"])
+    ]
+
+
+def _log_odds(counts: dict, least: int) -> dict:
+    """Smoothed log odds of each key of ``counts`` ({key: [not secret, secret]}); the commonest ``WORDS`` that come often enough."""
+    no, yes = (sum(c[k] for c in counts.values()) + 1 for k in (0, 1))
+    often = sorted((k for k, c in counts.items() if sum(c) >= least), key=lambda k: (-sum(counts[k]), k))[:WORDS]
+    return {k: math.log((counts[k][1] + 1) / yes) - math.log((counts[k][0] + 1) / no) for k in often}
+
+
+def learn_tables(rows: list[tuple[str, list[str], list[str], list[str], bool]]) -> Tables:
+    """From (kinds of the value's characters, words before, behind, in the path, label)."""
+    pairs = [[0.5, 0.5] for _ in range(len(_KINDS) ** 2)]
+    words: tuple[dict, ...] = ({}, {}, {})
+    code = {c: k for k, c in enumerate(_KINDS)}
+    for kinds, *around, secret in rows:
+        for a, b in zip(kinds, kinds[1:]):
+            pairs[code[a] * len(_KINDS) + code[b]][secret] += 1
+        for table, own in zip(words, around, strict=True):
+            for w in set(own):
+                table.setdefault(w, [0, 0])[secret] += 1
+    no, yes = (sum(p[k] for p in pairs) for k in (0, 1))
+    return Tables(tuple(math.log(p[1] / yes) - math.log(p[0] / no) for p in pairs), *(_log_odds(t, 5) for t in words))
 
 
 def _grow(rows: list[tuple[tuple[float, ...], bool]], depth: int, rng: random.Random):
@@ -153,15 +189,32 @@ def _grow(rows: list[tuple[tuple[float, ...], bool]], depth: int, rng: random.Ra
     return k, cut, _grow([r for r in rows if r[0][k] <= cut], depth - 1, rng), _grow([r for r in rows if r[0][k] > cut], depth - 1, rng)
 
 
-def train(spark, findings: list[Finding], seed: int = 3) -> list:
-    """A forest of ``TREES`` bagged trees over the features that the scan itself computes."""
-    rows = spark.createDataFrame([(f.match, f.left, f.path, f.secret) for f in findings], "match string, left string, path string, secret boolean")
-    rows = rows.select(features(F.col("match"), F.col("left"), F.col("path")).alias("f"), "secret").collect()
-    data, rng = [(tuple(r["f"]), bool(r["secret"])) for r in rows], random.Random(seed)
-    return [_grow(rng.choices(data, k=len(data)), DEPTH, rng) for _ in range(TREES)]
+@dataclass(frozen=True)
+class Forest:
+    tables: Tables
+    trees: list
+
+
+def train(spark, labelled: list[Finding], seed: int = 3) -> Forest:
+    """A forest of ``TREES`` bagged trees over the features that the scan itself computes.
+
+    Trees see features from tables that were learned on other lines than a finding's own, so they learn how far words and
+    transitions can be trusted on text that the tables haven't seen; the scan uses tables from all lines."""
+    schema = "fold int, match string, left string, right string, path string, secret boolean"
+    rows = spark.createDataFrame([(f.line % FOLDS, f.match, f.left, f.right, f.path, f.secret) for f in labelled], schema)
+    match, left, right, path = (F.col(c) for c in ("match", "left", "right", "path"))
+    value = F.regexp_replace(match, rf"^{_KEYED}", "")
+    seen = rows.select("fold", _kinds(value).alias("kinds"), _words_of(left, True).alias("before"), _words_of(right, False).alias("after"), _path_words(path).alias("path"), "secret").collect()
+    data: list = []
+    for k in range(FOLDS):
+        tables = learn_tables([tuple(r)[1:] for r in seen if r["fold"] != k])
+        own = rows.where(F.col("fold") == k).select(features(match, left, right, path, tables).alias("f"), "secret").collect()
+        data += [(tuple(r["f"]), bool(r["secret"])) for r in own]
+    rng = random.Random(seed)
+    return Forest(learn_tables([tuple(r)[1:] for r in seen]), [_grow(rng.choices(data, k=len(data)), DEPTH, rng) for _ in range(TREES)])
 
 
-def probability(forest: list, f: Column) -> Column:
+def probability(forest: Forest, f: Column) -> Column:
     """The forest's vote as an expression over a struct of ``FEATURES``."""
 
     def tree(node) -> Column:
@@ -170,20 +223,20 @@ def probability(forest: list, f: Column) -> Column:
         k, cut, low, high = node
         return F.when(f[FEATURES[k]] <= float(cut), tree(low)).otherwise(tree(high))
 
-    total = tree(forest[0])
-    for t in forest[1:]:
+    total = tree(forest.trees[0])
+    for t in forest.trees[1:]:
         total = total + tree(t)
-    return total / float(len(forest))
+    return total / float(len(forest.trees))
 
 
-def _judged(text: Column, path: Column, forest: list) -> tuple[Column, Column]:
+def _judged(text: Column, path: Column, forest: Forest) -> tuple[Column, Column]:
     """(pieces between candidates, candidates with ``match, p``) of a text."""
     pieces, matches = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    told = F.transform(matches, lambda m, i: F.struct(m.alias("match"), features(m, F.get(pieces, i), path).alias("f")))
+    told = F.transform(matches, lambda m, i: F.struct(m.alias("match"), features(m, F.get(pieces, i), F.get(pieces, i + 1), path, forest.tables).alias("f")))
     return pieces, F.transform(told, lambda x: F.struct(x["match"].alias("match"), probability(forest, x["f"]).alias("p")))
 
 
-def scan_secrets(docs: DataFrame, forest: list, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+def scan_secrets(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """One row per candidate: ``doc_id, n`` (from 0, in the text's order), ``preview, length, value_sha256, p_secret, secret``.
 
     DataFrame functions only, row by row, no shuffle: whole texts are matched once for a filter and, where there is
@@ -200,7 +253,7 @@ def scan_secrets(docs: DataFrame, forest: list, threshold: float = THRESHOLD, id
     )
 
 
-def redact_secrets(docs: DataFrame, forest: list, threshold: float = THRESHOLD, text_col: str = "text", path_col: str = "source", mark: str = "<SECRET>") -> DataFrame:
+def redact_secrets(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, text_col: str = "text", path_col: str = "source", mark: str = "<SECRET>") -> DataFrame:
     """All documents and columns; in ``text_col``, the value of each secret that ``scan_secrets`` finds becomes ``mark``.
 
     The name that a value is assigned to stays. Texts without secrets stay as they are, null ones too.

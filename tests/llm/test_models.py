@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillspark.llm import decisions, queries, secrets, toxicity
+from quillspark.llm import decisions, findings, queries, secrets, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, p double, toxic boolean, _order long"
 
@@ -95,15 +95,51 @@ def test_held_out_labels(spark):
 
 @pytest.fixture(scope="module")
 def forest(spark):
-    return secrets.train(spark, secrets.labelled_findings())
-
-
-def test_forest_on_held_out_findings(spark, forest):
-    rows = [(f.match, f.left, f.path, f.secret) for f in secrets.labelled_findings(400, seed=99)]
-    df = spark.createDataFrame(rows, "match string, left string, path string, secret boolean")
-    p = secrets.probability(forest, F.col("f"))
-    right = df.select(secrets.features(F.col("match"), F.col("left"), F.col("path")).alias("f"), "secret").where((p >= 0.5) == F.col("secret")).count()
-    assert right > 0.95 * len(rows)
+    return queries.secrets_forest(spark)
+
+
+def judged(spark, forest, found):
+    df = spark.createDataFrame([(f.match, f.left, f.right, f.path, f.secret) for f in found], "match string, left string, right string, path string, secret boolean")
+    f = secrets.features(F.col("match"), F.col("left"), F.col("right"), F.col("path"), forest.tables)
+    told = df.select(f.alias("f"), "secret", "match").select((secrets.probability(forest, F.col("f")) >= 0.5).alias("said"), "secret", "match").collect()
+    hit, said, real = sum(r.said and r.secret for r in told), sum(r.said for r in told), sum(r.secret for r in told)
+    return hit / said, hit / real
+
+
+def test_forest_on_held_out_lines(spark):
+    """Trained on two thirds of the hand-labelled lines, tried on lines of the other third, which it hasn't seen."""
+    scores = []
+    for k in range(3):
+        own = secrets.train(spark, secrets.labelled_findings(spark, [x for n, x in enumerate(findings.LINES) if n % 3 != k]))
+        scores.append(judged(spark, own, secrets.labelled_findings(spark, findings.LINES[k::3], copies=10, seed=77)))
+    precision, recall = (sum(x) / 3 for x in zip(*scores))
+    print("held-out lines: precision", precision, "recall", recall)
+    assert precision > 0.85 and recall > 0.85
+
+
+def test_forest_on_the_drivers_documents(spark, forest):
+    """Texts that this repository didn't make: keys of 40 hex digits behind a name are secrets, card numbers aren't."""
+    rows = secrets.scan_secrets(queries.table(spark, "/root/testdata/sf0.1", "documents"), forest)
+    told = rows.groupBy((F.col("length") == 40).alias("key"), "secret").count().collect()
+    n = {(r.key, r.secret): r["count"] for r in told}
+    print("documents:", n)
+    assert n.get((True, True), 0) >= 0.99 * (n.get((True, True), 0) + n.get((True, False), 0)) > 100
+    assert n.get((False, True), 0) <= 0.01 * n.get((False, False), 0)
+
+
+def test_probability_is_the_trees_vote(spark, forest):
+    """The expression against a walk through the trees in Python, over the features of the same candidates."""
+    some = secrets.labelled_findings(spark, copies=2, seed=5)
+    df = spark.createDataFrame([(f.match, f.left, f.right, f.path) for f in some], "match string, left string, right string, path string")
+    f = secrets.features(F.col("match"), F.col("left"), F.col("right"), F.col("path"), forest.tables)
+    for r in df.select(f.alias("f")).select("f", secrets.probability(forest, F.col("f")).alias("p")).collect():
+        votes = []
+        for node in forest.trees:
+            while isinstance(node, tuple):
+                k, cut, low, high = node
+                node = low if r.f[k] <= cut else high
+            votes.append(node)
+        assert abs(sum(votes) / len(votes) - r.p) < 1e-9
 
 
 SECRET_ROWS = [
@@ -117,12 +153,12 @@ SECRET_ROWS = [
 
 def test_secrets_are_found_and_marked(spark, forest):
     got = secrets.scan_secrets(docs(spark, SECRET_ROWS), forest)
-    found = sorted((r.doc_id or 0, r.n) for r in got.where("secret").collect() if r.doc_id != 8)
+    found = sorted((r.doc_id or 0, r.n) for r in got.where("secret").collect())
     assert found == [(0, 0), (1, 0), (1, 1), (2, 0), (2, 0)]
     texts = {r.doc_id: r.text for r in secrets.redact_secrets(docs(spark, SECRET_ROWS), forest).collect()}
     assert texts[1] == 'code <SECRET> and token = "<SECRET>" end' and texts[2] == "password=<SECRET>" and texts[None] == "<SECRET>"
     same = dict(SECRET_ROWS)
-    assert all(texts[i] == same[i] for i in (3, 4, 5, 6, 7))
+    assert all(texts[i] == same[i] for i in (3, 4, 5, 6, 7, 8))  # 8: a run of 60,000 that alternates is no key
     assert secrets.scan_secrets(docs(spark, []), forest).count() == 0
     # By brute force: what the pattern finds in Python is what is judged.
     pattern = re.compile(secrets.CANDIDATE)
