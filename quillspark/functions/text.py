@@ -273,12 +273,34 @@ def title_case(x: Column) -> Column:
     return F.array_join(F.zip_with(gaps, words, lambda g, w: F.concat(g, F.coalesce(F.initcap(w), F.lit("")))), "")
 
 
+def part_connectives(x: Column) -> Column:
+    """A connective glued to a word of four letters or more is parted from it, but in words that only end like one."""
+    return sub(x, rf"(?<![a-z])(?!(?:{'|'.join(P.NOT_GLUED)})(?![a-z]))([a-z]{{4,}})({P.CONNECTIVES})(?![a-z])", "$1 $2")
+
+
+def protect(x: Column, f) -> Column:
+    """``f`` of the text (arrays of texts back) with names like Node.js and abbreviations as one sign each, which then
+    become words again, spelt as in the table."""
+    signs = [chr(0xF0000 + k) for k in range(len(P.PROTECTED))]
+    some = "(?i)" + "|".join(map(re.escape, P.PROTECTED))
+    out = x
+    for sign, word in zip(signs, P.PROTECTED, strict=True):
+        out = sub(out, ("(?i)\\b" if word.endswith(".") else "(?i)") + re.escape(word), sign)
+
+    def spelt(part: Column) -> Column:
+        for sign, word in zip(signs, P.PROTECTED, strict=True):
+            part = F.replace(part, F.lit(sign), F.lit(word))
+        return part
+
+    return F.when(x.rlike(some), F.transform(f(out), spelt)).otherwise(f(x))
+
+
 def sentences(text, least: int = 15) -> Column:
     """Sentences of ``least`` characters or more: lines joined without bullets, glued connectives parted, split behind
-    ``. ! ?``; numbers like 2.5 don't end one. Null if there are none."""
-    rows = F.transform(raw_lines(sub(F.replace(_col(text), F.lit("\t"), F.lit(" ")), "\r")), lambda x: strip(sub(x, P.SUMMARY_LEAD)))
+    ``. ! ?``; numbers like 2.5 and abbreviations like e.g. don't end one. Null if there are none."""
+    rows = F.transform(raw_lines(sub(F.replace(strip(_col(text)), F.lit("\t"), F.lit(" ")), "\r")), lambda x: strip(sub(x, P.SUMMARY_LEAD)))
     joined = F.array_join(F.filter(rows, lambda x: x != ""), " ")
-    parts = F.split(sub(joined, " {2,}", " "), r"(?<=[.!?])\s+")
+    parts = protect(strip(sub(part_connectives(joined), " {2,}", " ")), lambda x: F.split(x, r"(?<=[.!?])\s+"))
     return let(F.filter(F.transform(parts, strip), lambda x: F.length(x) >= least), lambda kept: F.when(F.size(kept) > 0, kept))
 
 

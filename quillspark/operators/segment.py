@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,114 +53,152 @@ def section_map(sections: DataFrame) -> DataFrame:
 
 
 # --- Formatting --------------------------------------------------------------------------------------------------
-def format_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marker: str = "%%H%%") -> DataFrame:
-    """``doc_id, pos, line`` of cleaned texts: headings in capitals at the margin, bodies indented behind the first one,
-    page numbers, doubled headings and headings without a body gone. A line that starts with ``marker`` is a heading."""
-    text = T.normalize(T.strip_stray_section_tokens(T.fix_merged_headers(T.fix_ocr_spacing(text_col))))
-    rows = explode_lines(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")), "doc_id", "text")
-    line = T.clean_line(F.col("line"))
-    forced = line.startswith(marker)
-    body = T.strip(F.when(forced, F.substring(line, F.lit(len(marker) + 1), F.length(line))).otherwise(line))
-    header = (forced | T.is_section_header(body)) & (body != "")
-    rows = rows.select("doc_id", "pos", body.alias("line"), F.when(body == "", "blank").when(header, "header").otherwise("body").alias("kind"))
-    rows = rows.where(~((F.col("kind") == "body") & F.col("line").rlike(P.PAGE_NUMBER)) & ~((F.col("kind") == "header") & T.is_dual_header(F.col("line"))))
-    title = T.sub(F.upper(T.sub(F.col("line"), r"\s+", " ")), r"[\s:\-–]+$")
-    rows = rows.withColumn("line", F.when(F.col("kind") == "header", title).otherwise(T.sub(F.col("line"), P.PAGE_TAG)))
+# All of it works on one row's array of lines: nothing is exploded, joined or shuffled.
+def formatted_lines(text: Column, marker: str = "%%H%%") -> Column:
+    """The lines of a cleaned text: headings in capitals at the margin, bodies indented behind the first one, page numbers,
+    doubled headings and headings without a body gone. A line that starts with ``marker`` is a heading."""
+    whole = T.normalize(T.strip_stray_section_tokens(T.fix_merged_headers(T.fix_ocr_spacing(text))))
+
+    def read(raw: Column) -> Column:
+        return T.let(T.clean_line(raw), lambda line: T.let(F.struct(line.startswith(marker).alias("forced"), T.strip(F.when(line.startswith(marker), F.substr(line, F.lit(len(marker) + 1))).otherwise(line)).alias("x")), kinded))
+
+    def kinded(r: Column) -> Column:
+        x = r["x"]
+        header = (r["forced"] | T.is_section_header(x)) & (x != "")
+        kind = F.when(x == "", "blank").when(header, "header").otherwise("body")
+        title = T.sub(F.upper(T.sub(x, r"\s+", " ")), r"[\s:\-–]+$")
+        gone = F.when(header, T.is_dual_header(x)).otherwise(x.rlike(P.PAGE_NUMBER))
+        return F.struct(kind.alias("kind"), F.when(header, title).otherwise(T.sub(x, P.PAGE_TAG)).alias("line"), gone.alias("gone"))
+
+    kept = F.filter(F.transform(T.raw_lines(whole), read), lambda r: ~r["gone"])
+    placed = F.transform(kept, lambda r, i: F.struct(r["kind"].alias("kind"), r["line"].alias("line"), i.alias("i")))
+    parts = F.struct(F.filter(placed, lambda r: r["kind"] != "blank").alias("full"), F.size(placed).alias("n"), F.array_min(F.transform(F.filter(placed, lambda r: r["kind"] == "header"), lambda r: r["i"])).alias("first"))
+    return T.let(parts, lambda s: _spaced(s["full"], s["n"], s["first"]))
+
+
+def _spaced(full: Column, n: Column, first: Column) -> Column:
+    """Lines that aren't blank, with the blank ones that stay between them: those behind a body, and one before a heading.
+    ``first`` is the place of the first heading among all ``n`` lines."""
+    empty = F.array().cast("array<string>")
+    blanks = lambda k: F.array_repeat(F.lit(""), F.greatest(k, F.lit(0)).cast("int"))
+
+    def shown(r: Column, i: Column) -> Column:
+        before, after = F.get(full, i - 1), F.get(full, i + 1)
+        closes = F.coalesce(before["kind"] == "body", F.lit(False))
+        gap = F.when(closes, blanks(r["i"] - before["i"] - 1)).otherwise(empty)
+        bare = F.coalesce(after["kind"], F.lit("header")) == "header"
+        heading = F.concat(F.when(closes, F.array(F.lit(""))).otherwise(empty), F.when(bare, empty).otherwise(F.array(r["line"])))
+        line = F.when(r["i"] > first, F.concat(F.lit("  "), r["line"])).otherwise(r["line"])
+        return F.concat(gap, F.when(r["kind"] == "header", heading).otherwise(F.array(line)))
+
+    last = F.get(full, F.size(full) - 1)
+    tail = F.when(last["kind"] == "body", blanks(n - last["i"] - 1)).otherwise(empty)
+    return F.concat(F.flatten(F.transform(full, shown)), tail)
+
+
+def _cut_end(body: Column, blank) -> Column:
+    """An array without what is ``blank`` at its end."""
+    at = F.array_position(F.reverse(F.transform(body, lambda x: ~blank(x))), True)
+    return F.when(at > 0, F.slice(body, F.lit(1), F.greatest(F.size(body) - at.cast("int") + 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+
+
+def _cut_start(body: Column, blank) -> Column:
+    return F.reverse(_cut_end(F.reverse(body), blank))
+
+
+def reordered(rows: Column) -> Column:
+    """Experience sections, and work history found in terminal sections, stand before the first terminal section.
+
+    Sections are rows of an array with a rank: what stands before the first terminal section, then sections of experience
+    that stood behind it, then the rest. Work history in a terminal section is its end from the first six lines on that
+    hold a date and a company; it goes to the last section of experience of the first rank, or else to one of its own.
+    """
+    empty = F.array().cast("array<string>")
+    nothing, white = lambda x: x == "", lambda x: T.strip(x) == ""
+    named = lambda name, names: F.upper(T.strip(name)).isin(*names)
+    starts = F.filter(F.transform(rows, lambda x, i: F.when((x != "") & ~x.startswith(" ") & T.is_section_header(T.strip(x)), i).otherwise(-1)), lambda i: i >= 0)
+
+    def cut(bounds: Column) -> Column:
+        """Each section's heading (null before the first), body, and kind; ``bounds`` is where sections begin."""
+
+        def section(at: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(bounds, k + 1), F.size(rows))
+            name = F.get(rows, at)
+            return F.struct(name.alias("name"), F.slice(rows, at + 2, end - at - 1).alias("body"), F.coalesce(named(name, P.TERMINAL_SECTIONS), F.lit(False)).alias("last"), F.coalesce(named(name, P.EXPERIENCE_SECTIONS), F.lit(False)).alias("work"))
+
+        whole = F.transform(bounds, section)
+        return F.transform(whole, lambda s: F.struct(s["name"].alias("name"), s["body"].alias("body"), s["last"].alias("last"), s["work"].alias("work"), F.when(s["last"], history(s["body"])).alias("at")))
+
+    def history(body: Column) -> Column:
+        """Where a body's work history begins, or null."""
+        near = lambda i: F.array_join(F.slice(body, i + 1, F.lit(6)), " ")
+        at = F.array_position(F.transform(body, lambda x, i: near(i).rlike(P.WORK_DATE) & near(i).rlike(P.WORK_COMPANY)), True)
+        return F.when((F.size(body) >= 3) & (at > 0), at.cast("int") - 1)
+
+    def ranked(sections: Column) -> Column:
+        found = F.array_position(F.transform(sections, lambda s: s["last"]), True).cast("int") - 1
+        return T.let(found, lambda first: F.when(first >= 0, T.let(split_at(sections, first), put_together)).otherwise(rows))
+
+    def split_at(sections: Column, first: Column) -> Column:
+        def split(s: Column, k: Column) -> Column:
+            at = s["at"]
+            kept = F.when(at.isNull(), s["body"]).otherwise(F.slice(s["body"], F.lit(1), at))
+            stray = F.when(at.isNull(), empty).otherwise(_cut_start(F.slice(s["body"], at + 1, F.size(s["body"])), white))
+            rank = F.when(k < first, 0).when(s["work"], 1).otherwise(2)
+            return F.struct(rank.alias("rank"), s["name"].alias("name"), kept.alias("body"), s["work"].alias("work"), stray.alias("stray"))
+
+        return F.transform(sections, split)
+
+    def put_together(sections: Column) -> Column:
+        stray = F.flatten(F.transform(sections, lambda s: s["stray"]))
+        home = F.array_max(F.transform(sections, lambda s, k: F.when((s["rank"] == 0) & s["work"], k)))
+        return T.let(F.struct(stray.alias("stray"), home.alias("home")), lambda x: placed(sections, x["stray"], x["home"]))
+
+    def placed(sections: Column, stray: Column, home: Column) -> Column:
+        joins = F.size(stray) > 0
+
+        def told(s: Column, k: Column) -> Column:
+            more = F.when(joins & (k == home), F.concat(_cut_end(s["body"], white), F.array(F.lit("")), stray)).otherwise(s["body"])
+            return F.struct(s["rank"].alias("rank"), F.concat(F.when(s["name"].isNotNull(), F.array(F.lit(""), s["name"])).otherwise(empty), _cut_end(more, nothing)).alias("lines"), more.alias("more"))
+
+        moved = F.exists(sections, lambda s: s["rank"] == 1)
+        return F.when(moved | joins, T.let(F.transform(sections, told), lambda parts: in_order(parts, stray, home))).otherwise(rows)
+
+    def in_order(parts: Column, stray: Column, home: Column) -> Column:
+        of_rank = lambda r: F.flatten(F.transform(F.filter(parts, lambda p: p["rank"] == r), lambda p: p["lines"]))
+        own = F.when((F.size(stray) > 0) & home.isNull(), F.concat(F.array(F.lit(""), F.lit("EXPERIENCE")), _cut_end(stray, nothing))).otherwise(empty)
+        # Blank lines at a section's end go where another follows; the very last section keeps its own.
+        end = F.element_at(F.filter(parts, lambda p: p["rank"] == 2), -1)
+        tail = F.slice(end["more"], F.size(_cut_end(end["more"], nothing)) + 1, F.size(end["more"]))
+        return _cut_start(F.concat(of_rank(0), own, of_rank(1), of_rank(2), tail), nothing)
 
-    by_pos = Window.partitionBy("doc_id").orderBy("pos")
-    before, after = by_pos.rowsBetween(Window.unboundedPreceding, -1), by_pos.rowsBetween(1, Window.unboundedFollowing)
-    filled = F.when(F.col("kind") != "blank", F.struct("kind", "line"))
-    rows = rows.withColumns({"prev": F.last(filled, ignorenulls=True).over(before), "next": F.first(filled, ignorenulls=True).over(after), "in_section": F.coalesce(F.max(F.col("kind") == "header").over(before), F.lit(False))})
-    bare = (F.col("kind") == "header") & (F.coalesce(F.col("next.kind"), F.lit("header")) == "header")
-    lost = (F.col("kind") == "blank") & (F.coalesce(F.col("prev.kind"), F.lit("header")) == "header")
-    closes = F.coalesce(F.col("prev.kind") == "body", F.lit(False))
-    rows = rows.withColumns({"bare": bare, "closes": closes}).where(~(bare & ~closes) & ~lost)
-    shown = F.when((F.col("kind") == "body") & F.col("in_section"), F.concat(F.lit("  "), F.col("line"))).otherwise(F.col("line"))
-    # A heading that follows a body leaves a blank line before it, even if it goes itself.
-    gap = F.when(F.col("bare"), F.array(F.lit(""))).when((F.col("kind") == "header") & F.col("closes"), F.array(F.lit(""), shown)).otherwise(F.array(shown))
-    out = rows.select("doc_id", "pos", F.posexplode(gap).alias("sub", "line"))
-    return out.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos", "sub")) - 1).alias("pos"), "line")
-
-
-def _java(pattern: str) -> re.Pattern:
-    return re.compile(pattern)
-
-
-_HEADER, _NOT, _SPACED = _java(P.HEADER), _java(P.HEADER_NOT), _java(P.HEADER_SPACED)
-_DATE, _COMPANY = _java(P.WORK_DATE), _java(P.WORK_COMPANY)
-
-
-def _is_header(line: str) -> bool:
-    s = line.strip()
-    return bool(s) and len(s) <= 65 and not _NOT.match(s) and bool(_HEADER.match(s) or _SPACED.match(s))
-
-
-def _history_at(body: list[str]) -> int | None:
-    """Where work history begins: the first line from which six hold a date and a company."""
-    return next((i for i in range(len(body)) if _DATE.search(w := " ".join(body[i : i + 6])) and _COMPANY.search(w)), None) if len(body) >= 3 else None
-
-
-def _trimmed(body: list[str], end: int) -> list[str]:
-    while body and not body[end].strip():
-        body.pop(end)
-    return body
-
-
-def reorder(rows: list[str]) -> list[str]:
-    """Experience sections, and work history found in terminal sections, move before the first terminal section."""
-    parts: list[tuple[str | None, list[str]]] = [(None, [])]
-    for line in rows:
-        if line and not line.startswith(" ") and _is_header(line):
-            parts.append((line, []))
-        else:
-            parts[-1][1].append(line)
-    kind = lambda p, names: (p[0] or "").strip().upper() in names
-    cut = next((i for i, p in enumerate(parts) if kind(p, P.TERMINAL_SECTIONS)), None)
-    if cut is None:
-        return rows
-    strays: list[str] = []
-    head, tail = parts[:cut], parts[cut:]
-    for name, body in tail:
-        if (name or "").strip().upper() in P.TERMINAL_SECTIONS and (at := _history_at(body)) is not None:
-            strays += _trimmed(body[at:], 0)
-            del body[at:]
-    moved = [p for p in tail[1:] if kind(p, P.EXPERIENCE_SECTIONS)]
-    if not moved and not strays:
-        return rows
-    if strays:
-        home = next((p for p in reversed(head) if kind(p, P.EXPERIENCE_SECTIONS)), None)
-        if home:
-            home[1][:] = [*_trimmed(home[1], -1), "", *strays]
-        else:
-            head.append(("EXPERIENCE", strays))
-    out: list[str] = []
-    for name, body in [*head, *moved, *(p for p in tail if not any(p is m for m in moved))]:
-        if name is not None:
-            while out and out[-1] == "":
-                out.pop()
-            out += ["", name]
-        out += body
-    return _trimmed(out, 0) if out else out
-
-
-def reorder_lines(rows: Column) -> Column:
-    """``reorder`` over a column of line arrays: a fold that no window expresses."""
-
-    def run(arrays: pd.Series) -> pd.Series:
-        return arrays.map(lambda r: None if r is None else reorder(list(r)))
-
-    return F.pandas_udf(run, "array<string>")(rows)
-
-
-def join_dangling(lines: DataFrame) -> DataFrame:
+    return T.let(F.concat(F.array(F.lit(-1)), starts), lambda bounds: T.let(cut(bounds), ranked))
+
+
+def joined_dangling(rows: Column) -> Column:
     """Lines that start with ``&`` go on the end of the line before that isn't blank."""
-    by_pos = Window.partitionBy("doc_id").orderBy("pos")
-    dangling = T.strip(F.col("line")).rlike(P.DANGLING_AND)
-    rows = lines.withColumn("_home", F.last(F.when(~dangling & (T.strip(F.col("line")) != ""), F.col("pos")), ignorenulls=True).over(by_pos))
-    rows = rows.withColumn("_own", F.when(dangling & F.col("_home").isNotNull(), F.col("_home")).otherwise(F.col("pos")))
-    parts = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    joined = F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, F.when(F.size(parts) > 1, T.sub(x["line"], r"\s+$")).otherwise(x["line"])).otherwise(T.strip(x["line"]))), " ")
-    return rows.groupBy("doc_id", "_own").agg(joined.alias("line")).select("doc_id", F.col("_own").alias("pos"), "line")
+    dangling = lambda x: T.strip(x).rlike(P.DANGLING_AND)
+
+    def joined(kinds: Column) -> Column:
+        """``kinds``: (line, place, whether it dangles, whether it is blank)."""
+        return T.let(F.transform(F.filter(kinds, lambda r: ~r["dangles"] & ~r["blank"]), lambda r: r["i"]), lambda homes: put(kinds, homes))
+
+    def put(kinds: Column, homes: Column) -> Column:
+        loose = F.transform(F.filter(kinds, lambda r: r["dangles"]), lambda r: F.struct(F.array_max(F.filter(homes, lambda h: h < r["i"])).alias("home"), T.strip(r["line"]).alias("line"), r["i"].alias("i")))
+
+        def whole(loose: Column) -> Column:
+            own = F.filter(kinds, lambda r: ~r["dangles"] | F.exists(loose, lambda d: (d["i"] == r["i"]) & d["home"].isNull()))
+
+            def more(r: Column) -> Column:
+                behind = F.transform(F.filter(loose, lambda d: d["home"] == r["i"]), lambda d: d["line"])
+                return F.when(F.size(behind) > 0, F.concat_ws(" ", T.sub(r["line"], r"\s+$"), F.array_join(behind, " "))).otherwise(r["line"])
+
+            return F.transform(own, more)
+
+        return T.let(loose, whole)
+
+    kinds = F.transform(rows, lambda x, i: F.struct(x.alias("line"), i.alias("i"), dangling(x).alias("dangles"), (T.strip(x) == "").alias("blank")))
+    return F.when(F.exists(rows, dangling), T.let(kinds, joined)).otherwise(rows)
 
 
 FOOTER = "=" * 70
@@ -174,12 +209,9 @@ def format_documents(docs: DataFrame, links_col: str | None = None, light: bool
     links = F.col(links_col) if links_col else None
     cleaned = docs.select(F.col(id_col).alias("doc_id"), T.clean(text_col, links).alias("text"), (links if links is not None else F.lit(None)).alias("links"))
     if light:
-        body = cleaned.select("doc_id", "links", T.normalize(T.fix_merged_headers(T.fix_ocr_spacing("text"))).alias("text"))
+        body = T.normalize(T.fix_merged_headers(T.fix_ocr_spacing("text")))
     else:
-        rows = format_lines(cleaned, "doc_id", "text")
-        arrays = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("rows"))
-        again = arrays.select("doc_id", F.posexplode(reorder_lines(F.col("rows"))).alias("pos", "line"))
-        body = cleaned.select("doc_id", "links").join(join_lines(join_dangling(again)), "doc_id", "left")
+        body = F.array_join(T.let(T.let(formatted_lines(F.col("text")), reordered), joined_dangling), "\n")
     block = T.links_block(F.col("links")) if links_col else F.lit(None).cast("string")
     tail = F.when(block.isNotNull(), F.concat(F.lit(f"\n\n{FOOTER}\n\n"), block)).otherwise(F.lit(""))
-    return body.select("doc_id", F.concat(F.coalesce("text", F.lit("")), tail, F.lit(f"\n\n{FOOTER}")).alias("text"))
+    return cleaned.select("doc_id", F.concat(F.coalesce(body, F.lit("")), tail, F.lit(f"\n\n{FOOTER}")).alias("text"))

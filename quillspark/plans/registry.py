@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import contact as C
 from ..functions import dates as D
+from ..functions import lookups
+from ..functions import patterns as P
 from ..functions import text as T
 from ..operators import education, form, jobs, layout, lists, segment, skills, upsert
 from ..streaming import landing
@@ -88,15 +90,32 @@ def line_noise_stats(spark, sf):
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(x == "").alias("n_blank"), F.count_if(T.is_bullet(x)).alias("n_bullets"), F.count_if(T.is_separator(x)).alias("n_separators"), F.sum(F.length(x)).alias("n_chars"))
 
 
-@_query(r"""
-WITH l AS (SELECT doc_id, i, regexp_replace(regexp_replace(parts[i], '^\s*(?:\d+\.\s+|[•\-*✓➔→◦·▪▸◆●]+\s*)', ''), '^\s+|\s+$', '', 'g') AS line
-           FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(replace(text, chr(9), ' '), chr(10)) AS parts FROM documents))),
-j AS (SELECT doc_id, regexp_replace(string_agg(line, ' ' ORDER BY i), ' {2,}', ' ', 'g') AS t FROM l WHERE line <> '' GROUP BY doc_id),
-s AS (SELECT doc_id, [regexp_replace(x, '^\s+|\s+$', '', 'g') for x in string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) if length(regexp_replace(x, '^\s+|\s+$', '', 'g')) >= 15] AS s FROM j)
+#: What is put behind each document's text: names, abbreviations and glued words, so that each rule is tried.
+_TAIL = ["", " Deliveredin time with node.js and asp.net core. E.g. Informationof teams in python. Done.", " Worked onthe season of ADO.NET vs. JQUERY no. 5 for Dr. Roy etc. and softwarefor e.g. banks! Yes.", "\r\n\t3. Maintain systemsand platforms. Version 2.5. Mr. X, fig. 3, pp. 7 of prof. Y. The endis near"]
+_SPELT = "g"
+for _word in P.PROTECTED:
+    _SPELT = f"regexp_replace({_SPELT}, '(?i){chr(92) + 'b' if _word.endswith('.') else ''}{_word.replace('.', '[.]')}', '§{P.PROTECTED.index(_word)}§', 'g')"
+_BACK = "x"
+for _k, _word in enumerate(P.PROTECTED):
+    _BACK = f"replace({_BACK}, '§{_k}§', '{_word}')"
+_TAILS_SQL = "[" + ", ".join("'" + t.replace("\r", "' || chr(13) || '").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'" for t in _TAIL) + "]"
+
+
+@_query(rf"""
+WITH d AS (SELECT doc_id, regexp_replace(text || {_TAILS_SQL}[1 + doc_id % 4], '^\s+|\s+$', '', 'g') AS text FROM documents),
+l AS (SELECT doc_id, i, regexp_replace(regexp_replace(parts[i], '^\s*(?:\d+\.\s+|[•\-*✓➔→◦·▪▸◆●]+\s*)', ''), '^\s+|\s+$', '', 'g') AS line
+      FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(replace(replace(text, chr(9), ' '), chr(13), ''), chr(10)) AS parts FROM d))),
+j AS (SELECT doc_id, string_agg(line, ' ' ORDER BY i) AS t FROM l WHERE line <> '' GROUP BY doc_id),
+c AS (SELECT doc_id, array_to_string([CASE WHEN regexp_matches(w, '^[a-z]{{4,}}({P.CONNECTIVES})$') AND NOT list_contains({list(P.NOT_GLUED)!r}, w) THEN regexp_replace(w, '^([a-z]{{4,}})({P.CONNECTIVES})$', '\1 \2') ELSE w END
+      for w in regexp_extract_all(t, '[a-z]+|[^a-z]+')], '') AS t FROM j),
+g AS (SELECT doc_id, trim(regexp_replace(t, ' {{2,}}', ' ', 'g')) AS g FROM c),
+p AS (SELECT doc_id, string_split(regexp_replace({_SPELT}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM g),
+s AS (SELECT doc_id, [x for x in [regexp_replace({_BACK}, '^\s+|\s+$', '', 'g') for x in s] if length(x) >= 15] AS s FROM p)
 SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(s, chr(10))) AS digest FROM s WHERE len(s) > 0""")
 def sentence_split(spark, sf):
-    """Number and digest of each document's sentences."""
-    rows = _t(spark, sf, "documents").select("doc_id", T.sentences("text").alias("s")).where("s is not null")
+    """Number and digest of the sentences of each document and a tail that tries the rules."""
+    text = F.concat("text", F.get(F.array(*map(F.lit, _TAIL)), (F.col("doc_id") % 4).cast("int")))
+    rows = _t(spark, sf, "documents").select("doc_id", T.sentences(text).alias("s")).where("s is not null")
     return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "\n")).alias("digest"))
 
 
@@ -120,22 +139,19 @@ def structured_tables(spark, sf):
     return tables.select("region", F.col("t.type").alias("type"), F.size("t.data").cast("long").alias("n_rows"), F.array_join(F.transform("t.data", lambda m: m["Company"]), ",").alias("names"))
 
 
-_CATEGORY = """CASE WHEN regexp_matches({0}, 'python|java|javascript|typescript|c\\+\\+|c#|golang|go|rust|ruby|php|scala|kotlin|swift|perl|matlab') THEN 'Programming Languages'
- WHEN regexp_matches({0}, 'react|angular|vue|html|css|redux|webpack|bootstrap|jquery') THEN 'Frontend' WHEN regexp_matches({0}, 'node|express|django|flask|spring|fastapi|laravel|\\.net|microservices') THEN 'Backend'
- WHEN regexp_matches({0}, 'sql|postgres|mongodb|oracle|redis|cassandra|dynamodb|database') THEN 'Databases' WHEN regexp_matches({0}, 'aws|azure|gcp|cloud|lambda|s3|ec2') THEN 'Cloud'
- WHEN regexp_matches({0}, 'docker|kubernetes|jenkins|terraform|ansible|ci/cd|devops|linux|git') THEN 'DevOps' WHEN regexp_matches({0}, 'pandas|numpy|spark|hadoop|kafka|etl|tableau|power bi|excel|analytics|machine learning|deep learning|nlp') THEN 'Data & Analytics'
- WHEN regexp_matches({0}, 'selenium|junit|testing|pytest|cypress|qa') THEN 'Testing' WHEN regexp_matches({0}, 'agile|scrum|jira|kanban|project management') THEN 'Project Management'
- WHEN regexp_matches({0}, 'communication|leadership|teamwork|problem solving|time management') THEN 'Soft Skills' WHEN regexp_matches({0}, 'english|hindi|tamil|french|german|spanish') THEN 'Languages (Spoken)' ELSE 'Miscellaneous' END"""
+#: A keyword of each category, and some that stand in more than one.
+_KEYWORDS = [next(iter(words)) for _, words in lookups.DEFAULT.skills if words] + ["go", "excel", "mongodb", "django", "power bi", ""]
+_CATEGORY = "CASE " + " ".join(f"WHEN len([k for k in {list(words)!r} if contains(lower(skill), k)]) > 0 THEN '{name}'" for name, words in lookups.DEFAULT.skills if words) + " ELSE 'Miscellaneous' END"
 
 
 @_query(f"""
-WITH s AS (SELECT p_partkey, p_name, p_name || ' ' || p_type || ' ' || ['go','rust','vue','sql','git','qa','excel','english','cloud',''][1 + p_partkey % 10] AS skill FROM part)
-SELECT p_partkey, skill, {_CATEGORY.format('lower(skill)')} AS category,
+WITH s AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || {_KEYWORDS!r}[1 + p_partkey % {len(_KEYWORDS)}] AS skill FROM part)
+SELECT p_partkey, skill, {_CATEGORY} AS category,
        array_to_string(list_sort(list_distinct([t for t in regexp_extract_all(lower(skill), '[a-z0-9]+') if length(t) > 1 AND t NOT IN ('and','or','the','of','in','for','to','with','using','based','driven','oriented')])), ' ') AS tokens FROM s""")
 def skill_tokens_categorised(spark, sf):
-    """Part names as skills: category and token set."""
-    words = F.array(*map(F.lit, ("go", "rust", "vue", "sql", "git", "qa", "excel", "english", "cloud", "")))
-    skill = F.concat_ws(" ", "p_name", "p_type", F.get(words, (F.col("p_partkey") % 10).cast("int")))
+    """Part names with a keyword as skills: category, over all categories, and token set."""
+    words = F.array(*map(F.lit, _KEYWORDS))
+    skill = F.concat_ws(" ", "p_name", "p_type", F.get(words, (F.col("p_partkey") % len(_KEYWORDS)).cast("int")))
     rows = _t(spark, sf, "part").select("p_partkey", skill.alias("skill"))
     return rows.select("p_partkey", "skill", skills.category(F.col("skill")).alias("category"), F.array_join(skills.tokens(F.col("skill")), " ").alias("tokens"))
 
@@ -149,7 +165,7 @@ SELECT p_brand, pos, skill FROM b WHERE NOT (len(t) = 1 AND EXISTS (SELECT 1 FRO
 def skill_dedupe(spark, sf):
     """Part names of each brand, without repeats and absorbed single words."""
     name = F.when(F.col("p_partkey") % 3 == 0, F.split_part("p_name", F.lit(" "), F.lit(1))).otherwise(F.col("p_name"))
-    rows = _t(spark, sf, "part").select("p_brand", F.col("p_partkey").alias("pos"), F.concat(F.upper(F.left(name, F.lit(1))), F.substring(name, 2, 100)).alias("skill"))
+    rows = _t(spark, sf, "part").select("p_brand", F.col("p_partkey").alias("pos"), F.concat(F.upper(F.left(name, F.lit(1))), F.substr(name, F.lit(2))).alias("skill"))
     return skills.dedupe_rows(rows, "p_brand")
 
 
@@ -251,18 +267,26 @@ def top_gaps(spark, sf):
     return layout.top_gaps(words, 3).select("doc_id", F.col("rank").cast("long").alias("rank"), "gap", F.col("mid").cast("double").alias("mid"))
 
 
-_HEADING = {"user": "Work Experience:", "assistant": "SKILLS", "system": "🔹 Education"}
+def _headings() -> list[tuple[str, str]]:
+    """(section, a heading that no section before it has) of each section, as lines may have them."""
+    seen, out = set(), []
+    for name, words in lookups.DEFAULT.sections:
+        if own := [w for w in words if w not in seen and w not in {k for k, _ in lookups.DEFAULT.sections if k != name}]:
+            out.append((name, (own[-1].upper(), own[-1].title() + ":", "🔹 " + own[-1])[len(out) % 3]))
+        seen |= {name, *words}
+    return out
 
 
-@_query(r"""
-WITH l AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'experience' WHEN 'assistant' THEN 'skills' ELSE 'education' END AS section, p, i FROM
-  (SELECT conv_id, turn, role, parts[i] AS p, i FROM (SELECT conv_id, turn, role, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM conversations)))
-SELECT conv_id, section, md5(regexp_replace(string_agg(p, chr(10) ORDER BY turn, i), '^\s+|\s+$', '', 'g')) AS digest, count(*) AS n FROM l WHERE regexp_replace(p, '\s', '', 'g') <> '' GROUP BY conv_id, section""")
+_SECTIONS = _headings()
+
+
+@_query(f"""
+WITH t AS (SELECT conv_id, turn, string_split(text, chr(10)) AS parts, {[n for n, _ in _SECTIONS]!r}[1 + (conv_id * 7 + turn) % {len(_SECTIONS)}] AS section FROM conversations),
+l AS (SELECT conv_id, turn, section, parts[i] AS p, i FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM t))
+SELECT conv_id, section, md5(regexp_replace(string_agg(p, chr(10) ORDER BY turn, i), '^\\s+|\\s+$', '', 'g')) AS digest, count(*) AS n FROM l WHERE regexp_replace(p, '\\s', '', 'g') <> '' GROUP BY conv_id, section""")
 def section_forward_fill(spark, sf):
-    """Conversations as texts whose headings are roles, cut into sections."""
-    heading = F.lit(None).cast("string")
-    for role, name in _HEADING.items():
-        heading = F.when(F.col("role") == role, name).otherwise(heading)
+    """Conversations as texts in which each turn stands under a heading, over all sections, cut into sections."""
+    heading = F.get(F.array(*[F.lit(h) for _, h in _SECTIONS]), ((F.col("conv_id") * 7 + F.col("turn")) % len(_SECTIONS)).cast("int"))
     turn = F.struct("turn", F.concat_ws("\n", heading, "text").alias("x"))
     docs = _t(spark, sf, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["x"]), "\n").alias("text"))
     return segment.segment(docs).select(F.col("doc_id").alias("conv_id"), "section", F.md5("text").alias("digest"), F.size(T.lines("text")).cast("long").alias("n"))

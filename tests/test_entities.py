@@ -127,7 +127,7 @@ def test_skill_splitting_and_noise(spark):
     noisy = ["present day", "a b", "9 lives", "a##b", "led team", "INR 5", "foo Pvt Ltd", "HUGE NEWS TODAY", "India", "iit", "process", "one two three four five six", "the", "/x"]
     assert all(one(spark, skills.is_noise(F.lit(s))) for s in noisy)
     assert not any(one(spark, skills.is_noise(F.lit(s))) for s in ("Python", "sql", "Spring Boot", "REST API"))
-    assert [one(spark, skills.category(F.lit(s))) for s in ("MongoDB", "Django", "Tableau", "xyz", "Hindi")] == ["Programming Languages", "Programming Languages", "Data & Analytics", "Miscellaneous", "Languages (Spoken)"]
+    assert [one(spark, skills.category(F.lit(s))) for s in ("MongoDB", "Django", "Tableau", "xyz", "Hindi")] == ["Programming Languages", "Programming Languages", "Data Science / ML / AI", "Miscellaneous", "Languages (Spoken)"]
     assert one(spark, skills.collapse_repeats(F.lit("Power power BI"))) == "Power BI" and one(spark, skills.label(F.lit("node js"))) == "Node.js"
     assert [round(one(spark, skills.token_similarity(F.lit(a), F.lit(b))), 3) for a, b in (("Anna University", "Anna University, Chennai"), ("IIT", "IIT Delhi"), ("AB", "AB CD"))] == [0.667, 0.5, 0.0]
 

@@ -150,7 +150,9 @@ def test_first_section_wins_and_lines_are_kept_once(spark):
     assert got == {"others": "Top", "about": "a", "education": "b\ne", "projects": "c", "skills": "d"}
     own = Lookups.of({"x": ["top"], "others": []}, {}, {})
     assert {r.section: r.text.split("\n")[0] for r in segment.segment(docs, own).collect()} == {"x": "Career Summary:"}
-    assert "about" in dict(DEFAULT.sections) and sum(len(w) for _, w in DEFAULT.sections) > 200
+    assert (len(DEFAULT.sections), len(DEFAULT.skills), len(DEFAULT.levels)) == (29, 22, 9)
+    table = [(kind, n * 100 + k, name, word) for kind in ("sections", "skills", "levels") for n, (name, words) in enumerate(getattr(DEFAULT, kind)) for k, word in enumerate(words or [None])]
+    assert Lookups.read(spark.createDataFrame(table, "kind string, ord int, name string, keyword string")) == DEFAULT
 
 
 def test_formatting(spark):
@@ -160,11 +162,16 @@ def test_formatting(spark):
     assert segment.format_documents(docs, light=True).first().text.startswith("John\n\n12\nwork experience:")
 
 
-def test_reordering():
+def test_reordering(spark):
+    def reorder(rows):
+        lines = F.array(*map(F.lit, rows)) if rows else F.array().cast("array<string>")
+        return spark.range(1).select(segment.reordered(lines)).first()[0]
+
     rows = ["EXPERIENCE", "  a", "AWARDS", "  b", "  Acme Solutions", "  Jan 2019", "  x", "PROJECTS", "  c"]
-    assert segment.reorder(rows) == ["EXPERIENCE", "  a", "", "  b", "  Acme Solutions", "  Jan 2019", "  x", "", "PROJECTS", "  c", "", "AWARDS"]
+    assert reorder(rows) == ["EXPERIENCE", "  a", "", "  b", "  Acme Solutions", "  Jan 2019", "  x", "", "PROJECTS", "  c", "", "AWARDS"]
     plain = ["EXPERIENCE", "  a", "AWARDS", "  b"]
-    assert segment.reorder(plain) == plain and segment.reorder([]) == []
+    assert reorder(plain) == plain and reorder([]) == []
+    assert reorder(["AWARDS", "  b", "  Acme Solutions", "  Jan 2019", "", "SKILLS", "  c"]) == ["EXPERIENCE", "  b", "  Acme Solutions", "  Jan 2019", "", "AWARDS", "", "SKILLS", "  c"]
 
 
 # --- Upserts and forms -------------------------------------------------------------------------------------------
