@@ -164,6 +164,11 @@ class Encoder:
         return ids[0] if len(ids) == 1 else np.concatenate(ids)
 
 
+def _narrow(coder: Bpe) -> str:
+    """The smallest numbers that hold the tokenizer's ids, for their way between tasks."""
+    return "<u2" if coder.size <= 1 << 16 else "<u4"
+
+
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
@@ -216,13 +221,14 @@ def _handed(pdf: pd.DataFrame) -> pd.DataFrame:
     made, asked = pdf[pdf["ids"].notna()], pdf[pdf["ids"].isna()]
     table: dict[bytes, bytes] = {}
     for digests, sizes, ids in zip(made["digests"], made["sizes"], made["ids"], strict=True):
-        ends = 4 * np.cumsum(np.frombuffer(sizes, np.int64))
+        sizes = np.frombuffer(sizes, np.int32)
+        ends = len(ids) // max(1, int(sizes.sum())) * np.cumsum(sizes)
         for k, (start, end) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
             table[digests[16 * k : 16 * k + 16]] = ids[start:end]
     out = []
     for block, digests in zip(asked["block"], asked["digests"], strict=True):
         got = [table[digests[k : k + 16]] for k in range(0, len(digests), 16)]
-        out.append((block, digests, np.array([len(x) // 4 for x in got], np.int64).tobytes(), b"".join(got)))
+        out.append((block, digests, np.array([len(x) for x in got], np.int32).tobytes(), b"".join(got)))
     return pd.DataFrame(out, columns=["block", "digests", "sizes", "ids"])
 
 
@@ -250,19 +256,19 @@ def _encoded(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, schema
         for _, texts in text_batches((pdf["doc_id"], pdf["text"])) if own else ():
             for x in _units_of(coder, texts):
                 if (key := digest(x)) in own and key not in ids:
-                    ids[key] = coder.encode_part(x.decode("utf-8", "surrogatepass")).astype("<u4")
+                    ids[key] = coder.encode_part(x.decode("utf-8", "surrogatepass")).astype(_narrow(coder))
         for part, at in _dealt(every, blocks):
             rows.append((part, shared["block"].iloc[0], every[at].tobytes(), None, None))
             if mine := [x for x in every[at].tolist() if x in ids]:
-                rows.append((part, None, b"".join(mine), np.array([len(ids[x]) for x in mine], np.int64).tobytes(), b"".join(ids[x].tobytes() for x in mine)))
+                rows.append((part, None, b"".join(mine), np.array([len(ids[x]) for x in mine], np.int32).tobytes(), b"".join(ids[x].tobytes() for x in mine)))
         return pd.DataFrame(rows, columns=["part", "block", "digests", "sizes", "ids"]).astype({"block": "Int32"})
 
     def finish(pdf: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        known: dict[bytes, np.ndarray] = {}
+        coder, known = bpe(tokenizer), {}
         for digests, sizes, ids in zip(table["digests"], table["sizes"], table["ids"], strict=True):
-            cut = np.split(np.frombuffer(ids, "<u4"), np.cumsum(np.frombuffer(sizes, np.int64))[:-1])
-            known |= {digests[16 * k : 16 * k + 16]: x for k, x in enumerate(cut)}
-        encoder = Encoder(bpe(tokenizer), known)
+            cut = np.split(np.frombuffer(ids, np.uint8), np.cumsum(np.frombuffer(sizes, np.int32))[:-1])
+            known |= {digests[16 * k : 16 * k + 16]: x.view(_narrow(coder)) for k, x in enumerate(cut)}
+        encoder = Encoder(coder, known)
         return give(encoder, pdf["doc_id"], pdf["text"])
 
     seen = by_block.applyInPandas(find, "part int, block int, digests binary, twice binary")
