@@ -341,6 +341,63 @@ def form_checks(spark, sf):
     return _t(spark, sf, "customer").select("c_custkey", form.salary(raw).alias("salary"), form.valid_notice(notice).alias("good_notice"), F.regexp_extract(size, "([KM]?B)$", 1).alias("unit"))
 
 
+@_query(r"""
+WITH n AS (SELECT p_partkey AS k, p_size, p_type, string_split(p_name || ',' || upper(split_part(p_name, ' ', 1)) || ', ' || p_brand || ' ,' || lower(p_brand) || ',, ,' || p_type || ',' || upper(p_name), ',') AS raw FROM part),
+c AS (SELECT *, [trim(x) for x in raw if trim(x) <> ''] AS clean FROM n),
+d AS (SELECT *, [x for x, i in clean if NOT list_contains([lower(y) for y in clean[1:i - 1]], lower(x))] AS names FROM c)
+SELECT k, array_to_string(names, '|') AS names,
+  array_to_string(CASE WHEN k % 2 = 0 AND list_contains([lower(x) for x in names], lower(p_type)) THEN names ELSE list_append(names, CASE WHEN k % 2 = 0 THEN p_type ELSE 'Skill ' || k END) END, '|') AS added,
+  array_to_string([x for x in names if x <> p_type], '|') AS removed,
+  len([x for x in names if contains(lower(x), lower('BRAND'))])::BIGINT AS shown,
+  array_to_string(list_concat(CASE WHEN k % 3 = 0 THEN ['current_salary'] ELSE [] END, CASE WHEN p_size % 5 = 0 THEN ['expected_salary'] ELSE [] END, CASE WHEN k % 7 = 6 THEN ['notice_period'] ELSE [] END), ',') AS problems,
+  replace(replace(replace(replace('<b a="' || p_type || '">&' || k || '</b>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html,
+  array_to_string([x for x in [p_type || '.', 'Short.', names[1] || '!', 'Is it ' || k || '?', 'the end ' || k] if length(trim(x)) > 8], '|') AS sentences FROM d""")
+def form_names(spark, sf):
+    """Skill lists of the form (distinct, added to, removed from, searched), its problems, escaping and sentences, over parts."""
+    k, names = F.col("p_partkey"), F.split(F.concat("p_name", F.lit(","), F.upper(F.split_part("p_name", F.lit(" "), F.lit(1))), F.lit(", "), "p_brand", F.lit(" ,"), F.lower("p_brand"), F.lit(",, ,"), "p_type", F.lit(","), F.upper("p_name")), ",", -1)
+    rows = _t(spark, sf, "part").withColumn("names", form.distinct_names(names))
+    own = F.col("names")
+    notice = F.get(F.array(*map(F.lit, (*form.NOTICE, "Next year"))), (k % 7).cast("int"))
+    text = F.concat_ws(" ", F.concat("p_type", F.lit(".")), F.lit("Short."), F.concat(F.get(own, F.lit(0)), F.lit("!")), F.concat(F.lit("Is it "), k, F.lit("?")), F.concat(F.lit("the end "), k))
+    return rows.select(
+        k.alias("k"), F.array_join(own, "|").alias("names"), F.array_join(form.add_name(own, F.when(k % 2 == 0, F.col("p_type")).otherwise(F.concat(F.lit(" Skill "), k))), "|").alias("added"),
+        F.array_join(form.remove_name(own, F.col("p_type")), "|").alias("removed"), F.size(F.filter(form.matches(own, F.lit(" BRAND")), lambda x: x["shown"])).cast("long").alias("shown"),
+        F.array_join(form.problems(F.when(k % 3 == 0, "none").otherwise("INR 9"), F.when(F.col("p_size") % 5 == 0, "0").otherwise("12 LPA"), notice), ",").alias("problems"),
+        form.escape_html(F.concat(F.lit('<b a="'), "p_type", F.lit('">&'), k, F.lit("</b>"))).alias("html"), F.array_join(form.summary_sentences(text), "|").alias("sentences"),
+    )
+
+
+@_query(r"""
+SELECT s_suppkey AS k, p.n AS project, CASE p.n WHEN 0 THEN '' WHEN 1 THEN s_name ELSE 'Beta ' || s_suppkey END AS title, CASE p.n WHEN 1 THEN n_name ELSE '' END AS client, CASE p.n WHEN 2 THEN 'Lead' ELSE '' END AS role,
+  CASE p.n WHEN 0 THEN 'loose line' WHEN 1 THEN 'Duration: ' || s_suppkey || ' years' || chr(10) || 'did it' ELSE 'Made for ' || n_name || chr(10) || 'more' END AS description, CASE p.n WHEN 1 THEN 'Spark|Kafka|Go' ELSE '' END AS technologies
+FROM supplier JOIN nation ON s_nationkey = n_nationkey CROSS JOIN range(3) p(n)""")
+def projects_parsed(spark, sf):
+    """Projects of texts about suppliers: lines before the first, fields of which the last wins, bullets, unknown keys."""
+    rows = _t(spark, sf, "supplier").join(_t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    lines = ("loose line", "Project 1: {name}", "Client: Somebody", "client name: {nation}", "Technologies: Spark, Kafka | Go", "Duration: {key} years", "• did it", "=======", "PROJECT 2 - Beta {key}", "Description: Made for {nation}", "Role: Lead", "* more")
+    text = F.lit("\n".join(lines))
+    for sign, column in (("{name}", "s_name"), ("{nation}", "n_name"), ("{key}", F.col("s_suppkey").cast("string"))):
+        text = F.replace(text, F.lit(sign), column if not isinstance(column, str) else F.col(column))
+    found = lists.parse_projects(rows.select(F.col("s_suppkey").alias("doc_id"), text.alias("text")))
+    return found.select(F.col("doc_id").alias("k"), F.col("project").cast("long").alias("project"), "title", "client", "role", "description", F.array_join("technologies", "|").alias("technologies"))
+
+
+@_query(r"""
+WITH c AS (SELECT c_custkey AS k, c_mktsegment AS seg, ['native','fluent','professional','conversational','basic'][1 + c_custkey % 5] AS word FROM customer)
+SELECT k, seg || ' course by ' || k || '|' || 'Jan 20' || (10 + k % 10) || ' exam - ' || seg AS names, 'none|Jan 20' AS dates, k || '|' || seg AS issuers,
+  'English=' || CASE word WHEN 'native' THEN 'Native or bilingual proficiency' WHEN 'fluent' THEN 'Full professional proficiency' WHEN 'professional' THEN 'Professional working proficiency'
+    WHEN 'conversational' THEN 'Limited working proficiency' ELSE 'Elementary proficiency' END || '|Tamil=Native or bilingual proficiency' AS languages FROM c""")
+def certifications_and_languages(spark, sf):
+    """Certificates (name, date, issuer) and spoken languages (proficiency, native by default) from lines about customers."""
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    certs = F.concat(F.lit("• "), seg, F.lit(" course by "), k, F.lit("\n------\n- Jan 20"), (10 + k % 10).cast("string"), F.lit(" exam - "), seg)
+    word = F.get(F.array(*map(F.lit, ("native", "fluent", "professional", "conversational", "basic"))), (k % 5).cast("int"))
+    spoken = F.concat(F.lit("English - "), F.initcap(word), F.lit("\n* Tamil\n=====\nx"))
+    rows = _t(spark, sf, "customer").select(k.alias("k"), lists.certifications(certs).alias("c"), lists.spoken_languages(spoken).alias("s"))
+    joined = lambda name: F.array_join(F.transform("c", lambda x: F.coalesce(x[name], F.lit("none"))), "|")
+    return rows.select("k", joined("name").alias("names"), F.regexp_replace(joined("date"), r"(?<=20)\d\d", "").alias("dates"), joined("issuer").alias("issuers"), F.array_join(F.transform("s", lambda x: F.concat_ws("=", x["language"], x["proficiency"])), "|").alias("languages"))
+
+
 @_query(r"SELECT page_id, contains(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), 'example.com') AS good FROM pages")
 def valid_urls(spark, sf):
     """Whether each page is of one domain."""
