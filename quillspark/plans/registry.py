@@ -398,6 +398,62 @@ def certifications_and_languages(spark, sf):
     return rows.select("k", joined("name").alias("names"), F.regexp_replace(joined("date"), r"(?<=20)\d\d", "").alias("dates"), joined("issuer").alias("issuers"), F.array_join(F.transform("s", lambda x: F.concat_ws("=", x["language"], x["proficiency"])), "|").alias("languages"))
 
 
+def _filled(template: str, **columns):
+    """The template with columns in the place of their names in braces."""
+    text = F.lit(template)
+    for name, column in columns.items():
+        text = F.replace(text, F.lit("{" + name + "}"), column.cast("string"))
+    return text
+
+
+@_query(r"""
+WITH c AS (SELECT c_custkey AS k, c_mktsegment AS seg, 2010 + c_custkey % 14 AS y FROM customer)
+SELECT k, 1::BIGINT AS job, 'Senior Developer' AS title, 'Acme' || k || ' Pvt Ltd' AS organization, y || ' - Present' AS range, y::INTEGER AS start_year, true AS is_current,
+  'Built ' || seg || chr(10) || 'Beta Systems here' AS description, 'Senior Developer' AS position FROM c
+UNION ALL SELECT k, 2, 'Data Analyst', 'Gamma Group', '2009 - ' || y, 2009, false, 'Reports', 'Senior Developer' FROM c""")
+def jobs_parsed(spark, sf):
+    """Jobs of texts about customers: title lines and inline jobs, the first company, the last range, notes, and the current position."""
+    y = (2010 + F.col("c_custkey") % 14).cast("int")
+    lines = ("intro", "Senior Developer", "Acme{k} Pvt Ltd", "Jan 2018 - Mar 2019", "• Built {seg}", "Beta Systems here", "{y} - Present", "=======", "Data Analyst - Gamma Group 2009 - {y}", "Reports")
+    docs = _t(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), _filled("\n".join(lines), k=F.col("c_custkey"), seg=F.col("c_mktsegment"), y=y).alias("text"))
+    found = jobs.parse_experience(docs)
+    position = jobs.experience_list(found).select("doc_id", jobs.current_position(F.lit(""), F.lit(""), F.col("work_experience"))["current_position"].alias("position"))
+    return found.join(position, "doc_id").select(
+        F.col("doc_id").alias("k"), F.col("job").cast("long").alias("job"), F.col("job_title").alias("title"), "organization", F.col("date_range").alias("range"),
+        F.col("start_date.year").alias("start_year"), F.coalesce("end_date.is_current", F.lit(False)).alias("is_current"), "description", "position")
+
+
+@_query(r"""
+WITH c AS (SELECT c_custkey AS k, c_mktsegment AS seg, 2013 + c_custkey % 10 AS y, c_custkey % 9 AS d FROM customer)
+SELECT k, 0::BIGINT AS pos, seg || ' University' AS organization, 'MCA' AS degree, '' AS field, 'master' AS level, NULL::INTEGER AS start_year, y::INTEGER AS end_year, NULL::DOUBLE AS score, NULL AS unit FROM c
+UNION ALL SELECT k, 1, 'Alpha' || k || ' College, Chennai', 'B.Tech', 'Computer Science', 'bachelor', 2008, 2012, 8 + d / 10.0, 'CGPA' FROM c
+UNION ALL SELECT k, 2, 'City School', 'HSC', '', '12th', NULL, 2007, 60.0 + d, 'Percentage' FROM c WHERE k % 2 = 0""")
+def education_parsed(spark, sf):
+    """Studies of texts about customers: one line, several lines with dates and grades, and labelled lines; latest first."""
+    k = F.col("c_custkey")
+    lines = ("EDUCATION", "Completed MCA from {seg} University ({y})", "B.Tech in Computer Science", "Alpha{k} College, Chennai", "2008 - 2012", "CGPA: 8.{d}")
+    more = ("", "Degree: HSC", "Institution: City School", "Year of passing: 2007", "Percentage: 6{d}%")
+    text = F.concat(F.lit("\n".join(lines)), F.when(k % 2 == 0, F.lit("\n".join(more))).otherwise(""))
+    for name, value in (("k", k), ("seg", F.col("c_mktsegment")), ("y", (2013 + k % 10).cast("int")), ("d", k % 9)):
+        text = F.replace(text, F.lit("{" + name + "}"), value.cast("string"))
+    found = education.parse_education(_t(spark, sf, "customer").select(k.alias("doc_id"), text.alias("text")))
+    return found.select(F.col("doc_id").alias("k"), F.col("pos").cast("long").alias("pos"), "organization", "degree", F.col("field_of_study").alias("field"), "level", "start_year", "end_year", F.col("grade.score").alias("score"), F.col("grade.unit").alias("unit"))
+
+
+@_query(r"""
+WITH c AS (SELECT c_custkey AS k, lpad(c_custkey::VARCHAR, 8, '1') AS n, 1 + c_custkey % 28 AS d, 1 + c_custkey % 12 AS m FROM customer)
+SELECT k, 'Jane Maria Doe' AS full_name, 'Jane' AS first_name, 'Doe' AS family_name, 'candidate' || k || '@gmail.com' AS split_email, '+9198' || n AS phone,
+  '1990-' || lpad(m::VARCHAR, 2, '0') || '-' || lpad(d::VARCHAR, 2, '0') AS born, CASE WHEN k % 2 = 0 THEN 'Male' ELSE 'Female' END AS gender, 'Indian' AS nationality, '600' || lpad((k % 1000)::VARCHAR, 3, '0') AS pin FROM c""")
+def personal_facts(spark, sf):
+    """Name, e-mail over two lines, phone, birth, gender, nationality and PIN code of texts about customers."""
+    k = F.col("c_custkey")
+    lines = ("My resume", "SUMMARY", "Lead Developer", "Jane Maria (JD) Doe", "candidate{k}@gmail", "", ".com", "Mobile: +91 98{a} {b}", "Date of Birth: {d}/{m}/1990", "Gender: {g}", "Nationality: indian", "Address: 1 Main Road, Chennai 600{p}")
+    n = F.lpad(k.cast("string"), 8, "1")
+    text = _filled("\n".join(lines), k=k, a=F.left(n, F.lit(3)), b=F.right(n, F.lit(5)), d=1 + k % 28, m=1 + k % 12, g=F.when(k % 2 == 0, "male").otherwise("FEMALE"), p=F.lpad((k % 1000).cast("string"), 3, "0"))
+    rows = _t(spark, sf, "customer").select(k.alias("k"), text.alias("t")).select("k", "t", C.candidate_name("t").alias("n"))
+    return rows.select("k", "n.full_name", "n.first_name", "n.family_name", F.get(C.split_domain_emails("t"), F.lit(0)).alias("split_email"), F.get(C.phones("t"), F.lit(0)).alias("phone"), C.date_of_birth("t").alias("born"), C.gender("t").alias("gender"), C.nationality("t").alias("nationality"), C.pin_code("t").alias("pin"))
+
+
 @_query(r"SELECT page_id, contains(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), 'example.com') AS good FROM pages")
 def valid_urls(spark, sf):
     """Whether each page is of one domain."""
