@@ -64,11 +64,15 @@ def formatted_lines(text: Column, marker: str = "%%H%%") -> Column:
 
     def kinded(r: Column) -> Column:
         x = r["x"]
-        header = (r["forced"] | T.is_section_header(x)) & (x != "")
-        kind = F.when(x == "", "blank").when(header, "header").otherwise("body")
+        return T.let(F.struct(x.alias("x"), ((x != "") & (r["forced"] | T.is_section_header(x))).alias("header")), told)
+
+    def told(r: Column) -> Column:
+        x, header = r["x"], r["header"]
+        kind = F.when(header, "header").when(x == "", "blank").otherwise("body")
         title = T.sub(F.upper(T.sub(x, r"\s+", " ")), r"[\s:\-–]+$")
-        gone = F.when(header, T.is_dual_header(x)).otherwise(x.rlike(P.PAGE_NUMBER))
-        return F.struct(kind.alias("kind"), F.when(header, title).otherwise(T.sub(x, P.PAGE_TAG)).alias("line"), gone.alias("gone"))
+        gone = F.when(header, T.is_dual_header(x)).otherwise((F.length(x) <= 3) & x.rlike(P.PAGE_NUMBER))
+        line = F.when(header, title).when(x.endswith("]"), T.sub(x, P.PAGE_TAG)).otherwise(x)
+        return F.struct(kind.alias("kind"), line.alias("line"), gone.alias("gone"))
 
     kept = F.filter(F.transform(T.raw_lines(whole), read), lambda r: ~r["gone"])
     placed = F.transform(kept, lambda r, i: F.struct(r["kind"].alias("kind"), r["line"].alias("line"), i.alias("i")))
