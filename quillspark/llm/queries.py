@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat_format, chunked_bpe, exact_dedup, packing, secrets, simhash, substring_dedup, topk, toxicity, url_filter
+from . import chat_format, chunked_bpe, exact_dedup, packing, prefix_trie, secrets, simhash, substring_dedup, topk, toxicity, url_filter
 
 #: A bounded rule list (host, path, verdict), fixed by the query's contract.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "allow"), ("org", "/es/", "block")]
@@ -71,7 +71,24 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.format_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op3_bpe_round_trip, op4_toxicity, op5_url_filter, op6_secret_scan, op7_exact_dedup, op8_exact_top_k, op9_simhash_near_dedup, op10_chat_format)}
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(prefix_trie.shared_heads(prefix_trie.turn_marks(table(spark, sf_dir, "conversations"))))
+
+
+_ALL = (
+    op1_best_fit_packing,
+    op2_substring_dedup,
+    op3_bpe_round_trip,
+    op4_toxicity,
+    op5_url_filter,
+    op6_secret_scan,
+    op7_exact_dedup,
+    op8_exact_top_k,
+    op9_simhash_near_dedup,
+    op10_chat_format,
+    op11_prefix_trie,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
     "op5_url_filter": r"""
