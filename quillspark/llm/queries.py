@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat_format, chunked_bpe, exact_dedup, packing, prefix_trie, secrets, simhash, substring_dedup, topk, toxicity, url_filter
+from . import chat_format, chunked_bpe, cutting_stock, exact_dedup, packing, prefix_trie, secrets, simhash, substring_dedup, topk, toxicity, url_filter
 
 #: A bounded rule list (host, path, verdict), fixed by the query's contract.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "allow"), ("org", "/es/", "block")]
@@ -75,6 +75,10 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.trie(prefix_trie.shared_heads(prefix_trie.turn_marks(table(spark, sf_dir, "conversations"))))
 
 
+def op12_pattern_packing(spark, sf_dir):
+    return cutting_stock.pack_by_patterns(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), room=4096, separator=2)
+
+
 _ALL = (
     op1_best_fit_packing,
     op2_substring_dedup,
@@ -87,6 +91,7 @@ _ALL = (
     op9_simhash_near_dedup,
     op10_chat_format,
     op11_prefix_trie,
+    op12_pattern_packing,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 

@@ -121,3 +121,120 @@ class Bpe:
 def bpe(path: str) -> Bpe:
     """One tokenizer a Python worker. The file must lie at this path on every executor."""
     return Bpe(path)
+
+
+#: The parts of a tokenizer file under which white space parts words and is dropped.
+_WORD_FORM = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+#: Characters whose case, kind and composition all Unicode versions agree on: ASCII and the letters of Latin-1.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_EASY = re.compile(f"[\\x00-\\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*+")
+#: The file's pattern over such characters in lower case. ASCII's four separators (1C to 1F) are no white space to it.
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \\t-\\r{_LETTERS}0-9]+")
+_SPACES = re.compile(r"[^ \t-\r]+")
+
+
+class _Pieces(dict):
+    """Ids, as bytes, of pieces met before; others are encoded when they are asked for."""
+
+    KEPT, LONGEST = 150_000, 48
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece)
+        if len(piece) <= self.LONGEST:
+            if len(self) >= self.KEPT:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+class WordCoder:
+    """Ids of a tokenizers file whose words end in a mark, as bytes (little-endian, 32 bits an id): those of the library.
+
+    Where a file drops the white space between words (its settings are checked), ASCII white space always parts the text:
+    NFC composes nothing with it, lower-casing looks at single characters, and no word of the pattern holds any. Texts
+    and stretches of ASCII and Latin-1 letters are cut by the file's pattern here, and tiktoken merges their pieces: the
+    mark is a byte that UTF-8 hasn't, joined to a piece's last byte before all other merges. As every entry of the file
+    is what its own bytes encode to (checked too), merging by rank gives what merging by listed pair does. All other
+    stretches, and whole texts under files of another kind, are left to the library.
+    """
+
+    MARK = b"\xff"
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = spec.get("added_tokens") or []
+        self.special = [x["content"] for x in added]
+        model = spec["model"]
+        self.by_word = all(spec.get(k) == v for k, v in _WORD_FORM.items()) and model.get("end_of_word_suffix") == "</w>" and model.get("type") == "BPE"
+        self.by_word &= not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        self.by_word &= not any(x.get(k) for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")) and not any(c.isspace() for x in self.special for c in x)
+        self.by_word = self.by_word and self._ranked(model)
+        self.easy, self.hard = _Pieces(self._merged), _Pieces(self._whole)
+
+    def _ranked(self, model: dict) -> bool:
+        import tiktoken
+
+        chars, end = _char_bytes(), model["end_of_word_suffix"]
+
+        def raw(token: str) -> bytes:
+            mark = self.MARK if token.endswith(end) else b""
+            return bytes(chars[c] for c in token.removesuffix(end)) + mark
+
+        own = {t: i for t, i in model["vocab"].items() if t not in set(self.special)}
+        single = [bytes([b]) for b in range(256)]
+        merged = [raw("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        order = list(dict.fromkeys(single + [b + self.MARK for b in single if b != self.MARK] + merged))
+        ids = {raw(t): i for t, i in own.items()}
+        id_of = [ids.get(b) for b in order]
+        self.bytes_of = [b"" if i is None else i.to_bytes(4, "little") for i in id_of]
+        self.core = tiktoken.Encoding("words", pat_str=".", mergeable_ranks={b: k for k, b in enumerate(order)}, special_tokens={})._core_bpe
+        marked = [t for t in own if t.endswith(end)]
+        fits = all([x.id for x in self.library.model.tokenize(t.removesuffix(end))] == [own[t]] for t in marked if t != end)
+        return fits and all([id_of[k] for k in self.core.encode_single_piece(b)] == [i] for b, i in ids.items() if self.MARK not in b[:-1])
+
+    def _merged(self, piece: str) -> bytes:
+        return b"".join([self.bytes_of[k] for k in self.core.encode_single_piece(piece.encode() + self.MARK)])
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if not self.by_word:
+            return self._whole(text)
+        if any(x in text for x in self.special) or not _EASY.fullmatch(text):
+            return b"".join([self._stretch(x) for x in _SPACES.findall(text)])
+        return b"".join(map(self.easy.__getitem__, _PARTS.findall(text.lower())))
+
+    def _stretch(self, text: str) -> bytes:
+        """Ids of a text without ASCII white space."""
+        if any(x in text for x in self.special) or not _EASY.fullmatch(text):
+            return self.hard[text]
+        return b"".join(map(self.easy.__getitem__, _PARTS.findall(text.lower())))
+
+
+@lru_cache(maxsize=2)
+def word_coder(path: str) -> WordCoder:
+    """One a Python worker. The file must lie at this path on every executor."""
+    return WordCoder(path)
