@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import chat_format, chunked_bpe, cutting_stock, exact_dedup, packing, prefix_trie, secrets, simhash, substring_dedup, topk, toxicity, url_filter
+from . import chat_format, chunked_bpe, cutting_stock, exact_dedup, packing, periodic_runs, prefix_trie, secrets, simhash, substring_dedup, topk, toxicity, url_filter
 
 #: A bounded rule list (host, path, verdict), fixed by the query's contract.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "allow"), ("org", "/es/", "block")]
@@ -79,6 +79,10 @@ def op12_pattern_packing(spark, sf_dir):
     return cutting_stock.pack_by_patterns(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), room=4096, separator=2)
 
 
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.collapse_runs(table(spark, sf_dir, "documents"), least=12, change=periodic_runs.looped)
+
+
 _ALL = (
     op1_best_fit_packing,
     op2_substring_dedup,
@@ -92,6 +96,7 @@ _ALL = (
     op10_chat_format,
     op11_prefix_trie,
     op12_pattern_packing,
+    op13_periodic_runs,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 

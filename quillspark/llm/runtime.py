@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -118,6 +119,18 @@ class Words:
         return self.spans(which).names(self.start, self.end)
 
 
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def slices(text: bytes, size: int = 1_000_000):
+    """The text in parts of about ``size`` bytes, cut at white space (a longer word lies in one part)."""
+    at = 0
+    while len(text) - at > size and (cut := _SPACE.search(text, at + size)):
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:] if at else text
+
+
 def text_batches(columns, most: int = 2_000_000):
     """Lists (ids, texts as bytes) of about ``most`` bytes from pandas or Arrow columns; a null text counts as empty."""
     ids, texts, n = [], [], 0
