@@ -9,7 +9,7 @@ from ..functions import dates as D
 from ..functions import lookups
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import education, form, jobs, layout, lists, segment, skills, upsert
+from ..operators import education, form, jobs, layout, lists, matcher, segment, skills, upsert
 from ..streaming import landing
 from . import record
 
@@ -156,6 +156,35 @@ def skill_tokens_categorised(spark, sf):
     return rows.select("p_partkey", "skill", skills.category(F.col("skill")).alias("category"), F.array_join(skills.tokens(F.col("skill")), " ").alias("tokens"))
 
 
+_PART_TEXT = "lower(concat_ws(' ', p_name, p_type, p_brand, p_size, p_name, p_brand, p_type))"
+#: Terms of the parts themselves, so that stretches overlap in many ways, and as many terms as the table gives.
+_PART_TERMS = """SELECT p_name AS term FROM part UNION SELECT split_part(p_name, ' ', 2) || ' ' || p_type FROM part UNION SELECT p_type || ' ' || p_brand FROM part
+ UNION SELECT p_brand || ' ' || p_size FROM part UNION SELECT split_part(p_name, ' ', 1) FROM part UNION SELECT concat_ws(' ', p_name, p_type, p_brand) FROM part WHERE p_partkey % 3 = 0
+ UNION SELECT concat_ws(' ', p_size, p_name) FROM part WHERE p_partkey % 2 = 0"""
+
+
+@_query(f"""
+WITH RECURSIVE terms AS (SELECT DISTINCT lower(term) AS key, len(string_split(term, ' ')) AS n FROM ({_PART_TERMS})),
+d AS (SELECT p_partkey, string_split({_PART_TEXT}, ' ') AS w FROM part),
+c AS (SELECT p_partkey, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (SELECT p_partkey, i - 1 AS s, i - 1 + n AS e, array_to_string(w[i:i + n - 1], ' ') AS key FROM c, (SELECT DISTINCT n FROM terms) WHERE i + n - 1 <= len(w)),
+m AS (SELECT p_partkey, s, e, key FROM g JOIN terms USING (key)),
+chains AS (
+  SELECT p_partkey, e, e - s AS covered, 1 AS k, [s] AS starts, [key] AS terms FROM m
+  UNION ALL SELECT c.p_partkey, m.e, c.covered + m.e - m.s, c.k + 1, list_append(c.starts, m.s), list_append(c.terms, m.key)
+  FROM chains c JOIN m ON m.p_partkey = c.p_partkey AND m.s >= c.e),
+best AS (SELECT * FROM chains QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY covered DESC, k, starts) = 1)
+SELECT p_partkey, covered::BIGINT AS covered, array_to_string([starts[x] || ':' || terms[x] for x in range(1, k + 1)], '|') AS matches FROM best""")
+def terms_matched(spark, sf):
+    """Terms of many lengths looked for in texts of the parts, and of those that overlap the best that don't."""
+    _t(spark, sf, "part").createOrReplaceTempView("part")
+    docs = spark.sql(f"SELECT p_partkey AS doc_id, {_PART_TEXT} AS text FROM part")
+    found = matcher.match_terms(docs, spark.sql(f"SELECT lower(term) AS term FROM ({_PART_TERMS})"))
+    rows = F.array_sort(F.collect_list(F.struct("start", F.concat_ws(":", "start", "term").alias("x"))))
+    each = found.groupBy(F.col("doc_id").alias("p_partkey")).agg(F.sum(F.col("end") - F.col("start")).alias("covered"), F.array_join(F.transform(rows, lambda r: r["x"]), "|").alias("matches"))
+    return each
+
+
 @_query("""
 WITH r AS (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE p_name END AS s FROM part),
 c AS (SELECT p_brand, min(p_partkey) AS pos, arg_min(upper(s[1]) || s[2:], p_partkey) AS skill, lower(s) AS low FROM r GROUP BY p_brand, lower(s)),
