@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
@@ -30,6 +30,12 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows as they are, but what their columns say is worked out once: no filter is pushed below this, and no
+    projection above it is merged with those below, so costly expressions are not copied."""
+    return df.select(F.inline(F.array(F.struct("*"))))
+
+
 def sub(x: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(x, pattern, to)
 

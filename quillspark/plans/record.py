@@ -27,7 +27,7 @@ def locations(docs: DataFrame, places: DataFrame | None = None) -> DataFrame:
     return found.select("doc_id", F.when(F.coalesce("postal_code", "raw_address").isNotNull(), place).alias("location"))
 
 
-def candidate_records(docs: DataFrame, lookups: Lookups = DEFAULT, as_of: Column | None = None, places: DataFrame | None = None, institutions=None) -> DataFrame:
+def candidate_records(docs: DataFrame, lookups: Lookups = DEFAULT, as_of: Column | None = None, places: DataFrame | None = None, institutions: DataFrame | None = None) -> DataFrame:
     """``doc_id, record`` for texts (``doc_id, text``): one nested struct a document, nulls for what isn't there.
 
     Sections are found once, by a window over each document's lines, and pivoted into a map; most parsers are then
@@ -47,13 +47,14 @@ def candidate_records(docs: DataFrame, lookups: Lookups = DEFAULT, as_of: Column
     said = F.concat(skills.split_skills(F.concat_ws("\n", part("skills"), part("tools_breadth"))), skills.split_skills(part("certifications")))
     named = skills.dedupe_rows(base.select("doc_id", F.posexplode(said).alias("pos", "skill"))).select("doc_id", "pos", skills.skill_object(F.col("skill"), lookups).alias("x"))
     named = named.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("_skills"))
-    for more in (work, interns, projects, named, locations(docs, places)):
+    studies = education.education_lists(of("education"), institutions=institutions, lookups=lookups)
+    for more in (work, interns, projects, named, studies, locations(docs, places)):
         rows = rows.join(more, "doc_id", "left")
 
     text, experience = F.col("text"), F.concat_ws("\n", F.nullif(part("experience"), F.lit("")), F.nullif(part("internships"), F.lit("")))
     emails = C.best_emails(F.col("_emails"))
     some = lambda x: F.when(F.size(x) > 0, x)
-    rows = rows.withColumn("_emails", C.email_candidates(text)).withColumn("_best", emails).withColumn("_education", education.education(part("education"), institutions, lookups))
+    rows = rows.withColumn("_emails", C.email_candidates(text)).withColumn("_best", emails)
     record = F.struct(
         C.candidate_name(text).alias("candidate_name"),
         some(F.slice("_best", 1, 1)).alias("email"),
@@ -70,7 +71,7 @@ def candidate_records(docs: DataFrame, lookups: Lookups = DEFAULT, as_of: Column
         F.col("internships"),
         D.total_experience(experience, part("about"), as_of).alias("total_years_experience"),
         jobs.current_position(part("about"), part("others"), F.col("work_experience")).alias("current_position"),
-        some(F.col("_education")).alias("education"),
+        F.col("education"),
         F.col("projects"),
         some(lists.certifications(part("certifications"))).alias("certifications"),
         some(lists.spoken_languages(part("languages_spoken"))).alias("languages"),

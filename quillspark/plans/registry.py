@@ -452,21 +452,39 @@ def jobs_parsed(spark, sf):
         F.col("start_date.year").alias("start_year"), F.coalesce("end_date.is_current", F.lit(False)).alias("is_current"), "description", "position")
 
 
+_STUDIES = (
+    # Several lines, a study of one line and labelled lines.
+    ("EDUCATION", "Completed MCA from {seg} University ({y})", "B.Tech in Computer Science", "Alpha{k} College, Chennai", "2008 - 2012", "CGPA: 8.{d}", "Degree: HSC", "Institution: City School", "Year of passing: 2007", "Percentage: 6{d}%"),
+    # Table rows and the same study again, whose line adds the years.
+    ("Qualification | Board / Year", "BCA | {seg} University | 2011 | CGPA 7.{d}", "BCA, {seg} University 2008 - 2011", "Board / Year", "X High School\t2005\t8{d}%"),
+    # Points and dashes.
+    ("B.Sc Physics ({y}). {seg} College, Pune", "MBA [Finance] - 2019, Zeta Institute, Chennai", "Software Engineer - 2015, Delta Ltd", "HSC - 2007, Town, Salem"),
+    # Institutions over two lines, years in brackets, and doubles of which the later has the grade and the longer name.
+    ("M.Tech in Civil Engineering", "Omega{k} University", "North", "(2012 - 2014)", "M.Tech", "Omega{k} University North", "8.{d} / 10", "=======", "Omega{k} University 2014", "Diploma 2010 - Pursuing"),
+)
+
+
 @_query(r"""
-WITH c AS (SELECT c_custkey AS k, c_mktsegment AS seg, 2013 + c_custkey % 10 AS y, c_custkey % 9 AS d FROM customer)
-SELECT k, 0::BIGINT AS pos, seg || ' University' AS organization, 'MCA' AS degree, '' AS field, 'master' AS level, NULL::INTEGER AS start_year, y::INTEGER AS end_year, NULL::DOUBLE AS score, NULL AS unit FROM c
-UNION ALL SELECT k, 1, 'Alpha' || k || ' College, Chennai', 'B.Tech', 'Computer Science', 'bachelor', 2008, 2012, 8 + d / 10.0, 'CGPA' FROM c
-UNION ALL SELECT k, 2, 'City School', 'HSC', '', '12th', NULL, 2007, 60.0 + d, 'Percentage' FROM c WHERE k % 2 = 0""")
+WITH c AS (SELECT c_custkey AS k, c_mktsegment AS seg, (2013 + c_custkey % 10)::INTEGER AS y, c_custkey % 9 AS d FROM customer)
+SELECT k, row_number() OVER (PARTITION BY k ORDER BY coalesce(end_year, 9999) DESC, n) - 1 AS pos, organization, degree, field, level, start_year::INTEGER AS start_year, end_year::INTEGER AS end_year, score::DOUBLE AS score, unit, label FROM (
+  SELECT k, 1 AS n, seg || ' University' AS organization, 'MCA' AS degree, '' AS field, 'master' AS level, NULL AS start_year, y AS end_year, NULL AS score, NULL AS unit, NULL AS label FROM c WHERE k % 4 = 0
+  UNION ALL SELECT k, 2, 'Alpha' || k || ' College, Chennai', 'B.Tech', 'Computer Science', 'bachelor', 2008, 2012, 8 + d / 10.0, 'CGPA', NULL FROM c WHERE k % 4 = 0
+  UNION ALL SELECT k, 3, 'City School', 'HSC', '', '12th', NULL, 2007, 60.0 + d, 'Percentage', NULL FROM c WHERE k % 4 = 0
+  UNION ALL SELECT k, 1, seg || ' University', 'BCA', '', 'bachelor', 2008, 2011, 7 + d / 10.0, 'CGPA', NULL FROM c WHERE k % 4 = 1
+  UNION ALL SELECT k, 2, '', 'SSLC', '', '10th', NULL, 2005, NULL, NULL, NULL FROM c WHERE k % 4 = 1
+  UNION ALL SELECT k, 1, seg || ' College', 'B.Sc', 'Physics', 'bachelor', NULL, y, NULL, NULL, NULL FROM c WHERE k % 4 = 2
+  UNION ALL SELECT k, 2, 'Zeta Institute', 'MBA', '', 'master', NULL, 2019, NULL, NULL, NULL FROM c WHERE k % 4 = 2
+  UNION ALL SELECT k, 3, 'Town', 'HSC', '', '12th', NULL, 2007, NULL, NULL, NULL FROM c WHERE k % 4 = 2
+  UNION ALL SELECT k, 1, 'Omega' || k || ' University North', 'M.Tech', 'Civil Engineering', 'master', 2012, 2014, 8 + d / 10.0, 'CGPA', NULL FROM c WHERE k % 4 = 3
+  UNION ALL SELECT k, 2, 'Omega' || k || ' University', 'Diploma', '', 'diploma', NULL, 2014, NULL, NULL, NULL FROM c WHERE k % 4 = 3)""")
 def education_parsed(spark, sf):
-    """Studies of texts about customers: one line, several lines with dates and grades, and labelled lines; latest first."""
+    """Studies of texts about customers, of four shapes: what lines say, doubles put together, the latest first."""
     k = F.col("c_custkey")
-    lines = ("EDUCATION", "Completed MCA from {seg} University ({y})", "B.Tech in Computer Science", "Alpha{k} College, Chennai", "2008 - 2012", "CGPA: 8.{d}")
-    more = ("", "Degree: HSC", "Institution: City School", "Year of passing: 2007", "Percentage: 6{d}%")
-    text = F.concat(F.lit("\n".join(lines)), F.when(k % 2 == 0, F.lit("\n".join(more))).otherwise(""))
+    text = F.get(F.array(*[F.lit("\n".join(lines)) for lines in _STUDIES]), (k % 4).cast("int"))
     for name, value in (("k", k), ("seg", F.col("c_mktsegment")), ("y", (2013 + k % 10).cast("int")), ("d", k % 9)):
         text = F.replace(text, F.lit("{" + name + "}"), value.cast("string"))
     found = education.parse_education(_t(spark, sf, "customer").select(k.alias("doc_id"), text.alias("text")))
-    return found.select(F.col("doc_id").alias("k"), F.col("pos").cast("long").alias("pos"), "organization", "degree", F.col("field_of_study").alias("field"), "level", "start_year", "end_year", F.col("grade.score").alias("score"), F.col("grade.unit").alias("unit"))
+    return found.select(F.col("doc_id").alias("k"), F.col("pos").cast("long").alias("pos"), "organization", "degree", F.col("field_of_study").alias("field"), "level", "start_year", "end_year", F.col("grade.score").alias("score"), F.col("grade.unit").alias("unit"), F.col("end_year_label").alias("label"))
 
 
 @_query(r"""

@@ -168,10 +168,43 @@ def test_education_order_and_lookups(spark):
     assert tuple(one(spark, education.grade(F.lit("8.2 / 10"))))[:2] == (8.2, "CGPA")
 
 
-def test_column_and_fold_agree_on_institutions(spark):
-    reader, names = education.Reader(), ["e ABC College, Kerala", "IIT, Delhi CGPA 9", "X Institute 2012", "Pune", "Y University, Jan 2010 to 2012", "Goa, India"]
+def test_institution_names(spark):
+    names = ["e ABC College, Kerala", "IIT, Delhi CGPA 9", "X Institute 2012", "Pune", "Y University, Jan 2010 to 2012", "Goa, India"]
     got = [one(spark, education.clean_org_name(F.lit(n))) for n in names]
-    assert got == [reader.org_name(n) for n in names]
+    assert got == ["ABC College", "IIT, Delhi", "X Institute", "Pune", "Y University", "Goa, India"]
+
+
+def test_the_scan_is_the_automaton_step_by_step(spark):
+    rng, width = random.Random(3), len(education.KINDS)
+    rows = [(i, [rng.randrange(width * len(education.GUARDS)) for _ in range(n)]) for i, n in enumerate([0, 1, 63, 64, 65, 200])]
+    got = {r.i: r.s for r in spark.createDataFrame(rows, "i int, codes array<int>").select("i", education.states(F.col("codes")).alias("s")).collect()}
+    for i, codes in rows:
+        state, before = "closed", []
+        for c in codes:
+            before.append(education.STATES.index(state))
+            state, _, action = education._move(state, education.KINDS[c % width], education.GUARDS[c // width])
+            assert action in education.ACTIONS
+        assert got[i] == before
+
+
+def studies(spark, rows, **more):
+    got = education.parse_education(spark.createDataFrame(rows, "doc_id long, text string"), **more).orderBy("doc_id", "pos").collect()
+    return [(r.doc_id, r.organization, r.degree, r.field_of_study, r.end_year) for r in got]
+
+
+def test_doubles_bare_institutions_and_repeated_documents(spark):
+    text = "MBA\nAlpha Institute\nMBA 2014\nAlpha Institute\nB.E\nBeta College 2010\nM.Sc Physics\nGamma Academy 2016\nAnna University"
+    once = [("Gamma Academy", "M.Sc", "Physics", 2016), ("Alpha Institute", "MBA", "", 2014), ("Beta College", "B.E", "", 2010)]
+    assert studies(spark, [(1, text)]) == [(1, *x) for x in once]
+    both = studies(spark, [(None, text), (None, text), (5, None), (6, ""), (7, "HSC 2001\nMumbai")])
+    assert sorted(both, key=str) == sorted([(None, *x) for x in once] * 2 + [(7, "", "HSC", "", 2001)], key=str)
+
+
+def test_institutions_from_outside(spark):
+    names = spark.createDataFrame([(1, 0, "MBA School of Nothing"), (1, 1, "Delta College"), (1, 2, "Epsilon University")], "doc_id long, pos int, name string")
+    got = studies(spark, [(1, "M.Tech 2012\nB.Sc\nEpsilon University 2009"), (2, "MCA 2015")], institutions=names)
+    assert {(x[0], x[1], x[2]) for x in got} >= {(1, "MBA School of Nothing", "M.Tech"), (1, "Epsilon University", "B.Sc"), (2, "", "MCA")}
+    assert any(x[1] == "Delta College" and x[2] == "" for x in got)
 
 
 def test_projects(spark):
