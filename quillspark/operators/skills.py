@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,11 +76,8 @@ def tokens(skill: Column) -> Column:
 def category(skill: Column, lookups: Lookups = DEFAULT) -> Column:
     """The first category with a keyword inside the skill."""
     low, out = F.lower(skill), F.lit(NO_CATEGORY)
-    for name, words in reversed(lookups.skills):
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | low.contains(w)
-        out = F.when(hit, name).otherwise(out)
+    for name, words in reversed([x for x in lookups.skills if x[1]]):
+        out = F.when(low.rlike("|".join(map(re.escape, words))), name).otherwise(out)
     return out
 
 
