@@ -131,6 +131,21 @@ def slices(text: bytes, size: int = 1_000_000):
     yield text[at:] if at else text
 
 
+def word_pieces(text: bytes, overlap: int, size: int = 1_000_000):
+    """(number of its first word, piece) of the parts of a text, cut at white space: each goes on for ``overlap`` words of
+    the next, so that every stretch of ``overlap`` + 1 words begins in one part only and lies whole in it."""
+    more = re.compile(rb"(?:[ \t-\r]*+[^ \t-\r]++){0,%d}+" % overlap)
+    at = first = 0
+    while True:
+        cut = _SPACE.search(text, at + size) if len(text) - at > size else None
+        if cut is None:
+            yield first, text[at:] if at else text
+            return
+        yield first, text[at : more.match(text, cut.start()).end()]
+        first += len(text[at : cut.start()].split())
+        at = cut.end()
+
+
 def text_batches(columns, most: int = 2_000_000):
     """Lists (ids, texts as bytes) of about ``most`` bytes from pandas or Arrow columns; a null text counts as empty."""
     ids, texts, n = [], [], 0

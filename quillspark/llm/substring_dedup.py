@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import WORD_BASE, Spans, Words, mix, shuffle_parts, text_batches
+from .runtime import WORD_BASE, Spans, Words, mix, shuffle_parts, slices, word_pieces
 
 #: Rounds of naming pairs; before the rounds in RUNS, runs are named too. More rounds make fewer and longer symbols, but
 #: more windows without a settled one, which are looked up by their own names.
@@ -174,8 +174,36 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.column_stack((a, b)).astype(">u8").view("V16").ravel()
 
 
-def _texts(pdf: pd.DataFrame):
-    return text_batches((pdf["doc_id"], pdf["text"]))
+def _batches(pdf: pd.DataFrame, size: int, most: int = 2_000_000):
+    """Lists of (row, number of the piece's first word, piece) of about ``most`` bytes: a long text comes in pieces, each
+    window in one of them."""
+    out, n = [], 0
+    for row, text in enumerate(pdf["text"]):
+        for first, piece in word_pieces(text.encode("utf-8", "surrogatepass"), size - 1):
+            out.append((row, first, piece))
+            n += len(piece)
+            if n >= most:
+                yield out
+                out, n = [], 0
+    if out:
+        yield out
+
+
+def _kept(text: bytes, gone: np.ndarray | None, with_text: bool) -> tuple:
+    """(words, words removed, SHA-256 of the kept ones) of a text, and these if asked for; read in slices."""
+    sha, n, some, texts = hashlib.sha256(), 0, False, []
+    for part in slices(text):
+        words = part.split()
+        flags = np.zeros(0, bool) if gone is None else gone[n : n + len(words)]
+        stay = words if not flags.any() else [*compress(words, (~flags).tolist()), *words[len(flags) :]]
+        n += len(words)
+        if stay:
+            joined = b" " * some + b" ".join(stay)
+            some = True
+            sha.update(joined)
+            texts += [joined] * with_text
+    out = (n, 0 if gone is None else int(gone.sum()), sha.hexdigest())
+    return (*out, b"".join(texts).decode("utf-8", "surrogatepass")) if with_text else out
 
 
 def dedup_substrings(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -192,7 +220,7 @@ def dedup_substrings(docs: DataFrame, size: int = 35, id_col: str = "doc_id", te
     words, and what came twice or more is removed: names, which texts could be made to share, only choose what is
     compared. Three passes read one shuffle of the texts.
 
-    Null text: no words. Texts under ``size`` words lose none. Null and repeated ids are documents of their own (a repeated
+    A long text is read in pieces, so memory doesn't grow with it but for the text itself. Null text: no words. Texts under ``size`` words lose none. Null and repeated ids are documents of their own (a repeated
     row makes both its copies repeats). No documents, no rows. Other columns are not read.
     """
     # Ids travel as strings: pandas would turn whole numbers among nulls into floats.
@@ -204,8 +232,8 @@ def dedup_substrings(docs: DataFrame, size: int = 35, id_col: str = "doc_id", te
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         kept = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
-        for _, texts in _texts(pdf):
-            key, place = Windows(texts, size).keys()
+        for batch in _batches(pdf, size):
+            key, place = Windows([x for _, _, x in batch], size).keys()
             # One occurrence for each row of symbols or window that is named, however many windows ask for it.
             _, once = np.unique(place, return_index=True)
             name, twice = _counted(key[once])
@@ -218,8 +246,8 @@ def dedup_substrings(docs: DataFrame, size: int = 35, id_col: str = "doc_id", te
     def verify(pdf: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
         known = np.sort(_read(keys, "a"))
         cols = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for _, texts in _texts(pdf) if len(known) else ():
-            windows = Windows(texts, size)
+        for batch in _batches(pdf, size) if len(known) else ():
+            windows = Windows([x for _, _, x in batch], size)
             at = np.flatnonzero(_among(known, windows.keys()[0]) >= 0)
             if len(at):
                 for c, x in zip(cols, windows.digests(at), strict=True):
@@ -229,25 +257,30 @@ def dedup_substrings(docs: DataFrame, size: int = 35, id_col: str = "doc_id", te
     def remove(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         names, keys = found[found["b"].notna()], found[found["b"].isna()]
         repeats, known = np.sort(_pair(_read(names, "a"), _read(names, "b"))), np.sort(_read(keys, "a"))
+        # Of each row that loses words, the words' flags.
+        gone: dict[int, np.ndarray] = {}
+        for batch in _batches(pdf, size) if len(repeats) else ():
+            windows = Windows([x for _, _, x in batch], size)
+            maybe = np.flatnonzero(_among(known, windows.keys()[0]) >= 0)
+            if not len(maybe):
+                continue
+            same = _among(repeats, _pair(*windows.digests(maybe))) >= 0
+            start, first = windows.start[maybe[same]], windows.words.first
+            steps = np.zeros(first[-1] + 1, np.int64)
+            steps[start] += 1
+            np.add.at(steps, start + size, -1)
+            covered = np.cumsum(steps) > 0
+            for k, (row, begin, _) in enumerate(batch):
+                flags = covered[first[k] : first[k + 1]]
+                if flags.any():
+                    known_flags = gone.get(row, np.zeros(0, bool))
+                    longer = np.zeros(max(len(known_flags), begin + len(flags)), bool)
+                    longer[: len(known_flags)] = known_flags
+                    longer[begin : begin + len(flags)] |= flags
+                    gone[row] = longer
         out = []
-        for ids, texts in _texts(pdf):
-            covered = None
-            if len(repeats):
-                windows = Windows(texts, size)
-                maybe = np.flatnonzero(_among(known, windows.keys()[0]) >= 0)
-                if len(maybe):
-                    same = _among(repeats, _pair(*windows.digests(maybe))) >= 0
-                    start, first = windows.start[maybe[same]], windows.words.first
-                    steps = np.zeros(first[-1] + 1, np.int64)
-                    steps[start] += 1
-                    np.add.at(steps, start + size, -1)
-                    covered = np.cumsum(steps) > 0
-            for k, (key, text) in enumerate(zip(ids, texts, strict=True)):
-                words = text.split()
-                gone = covered[first[k] : first[k + 1]] if covered is not None else np.zeros(0, bool)
-                n = int(gone.sum())
-                kept = b" ".join(compress(words, (~gone).tolist()) if n else words)
-                out.append((key, len(words), n, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "surrogatepass")] * with_text)))
+        for row, (key, text) in enumerate(zip(pdf["doc_id"], pdf["text"], strict=True)):
+            out.append((key, *_kept(text.encode("utf-8", "surrogatepass"), gone.get(row), with_text)))
         return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text])
 
     by_block = text.groupBy("block")

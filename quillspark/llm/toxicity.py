@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .runtime import Words, mix, text_batches
+from .runtime import Words, mix, slices, text_batches
 
 #: Labelled documents that training takes at most, and bytes of text: those of the smallest hashed ids.
 TRAIN_ROWS, TRAIN_BYTES = 4_000, 8_000_000
@@ -19,7 +19,7 @@ FEATURES, BEGINNINGS = 160, (4, 6)
 #: Documents that a feature must be in.
 LEAST_DOCS = 8
 FOLDS, THRESHOLD = 5, 0.3
-#: Bytes of text that are scored at a time: a worker holds some sixty times as many in arrays.
+#: Bytes of text that are scored at a time, of one text or several: a worker holds some sixty times as many in arrays.
 BATCH_BYTES = 400_000
 
 
@@ -147,17 +147,32 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     return chain
 
 
+def _cut(texts: list[bytes]):
+    """Lists of (text's number, part of it) of about ``BATCH_BYTES``: a long text is cut where words part."""
+    out, n = [], 0
+    for k, text in enumerate(texts):
+        for part in slices(text.translate(_STRIP), BATCH_BYTES):
+            out.append((k, part))
+            n += len(part)
+            if n >= BATCH_BYTES:
+                yield out
+                out, n = [], 0
+    if out:
+        yield out
+
+
 def probabilities(chain: list[Link], texts: list[bytes]) -> np.ndarray:
     """(documents, categories): each model sees the probabilities of those before it."""
-    names, doc = _words(texts)
-    out = np.zeros((len(texts), len(chain)))
+    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *[x.names for x in chain]]))
+    counts = np.zeros((len(texts), len(known)), np.int64)
+    for some in _cut(texts) if len(known) else ():
+        names, part = _words([x for _, x in some])
+        at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+        hit = known[at] == names
+        np.add.at(counts, (np.array([k for k, _ in some])[part[hit]], at[hit]), 1)
+    seen, out = np.log1p(counts), np.zeros((len(texts), len(chain)))
     for k, link in enumerate(chain):
-        at = np.minimum(np.searchsorted(link.names, names), len(link.names) - 1) if len(link.names) else None
-        score = np.full(len(texts), link.bias) + out[:, :k] @ link.earlier
-        if at is not None:
-            hit = link.names[at] == names
-            cell, counts = np.unique(doc[hit] * len(link.names) + at[hit], return_counts=True)
-            score += np.bincount(cell // len(link.names), weights=np.log1p(counts) * link.weights[cell % len(link.names)], minlength=len(texts))
+        score = link.bias + out[:, :k] @ link.earlier + seen[:, np.searchsorted(known, link.names)] @ link.weights
         out[:, k] = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
     return out
 
@@ -178,7 +193,7 @@ def _judged(text: Column, chain: list[Link]) -> Column:
 def score(docs: DataFrame, chain: list[Link], category: str, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, p_<category>`` for each category, and ``toxic``, the verdict on ``category``.
 
-    Whole texts, no shuffle; the chain (``FEATURES`` words a category) travels with the task. Null and empty texts have
+    Whole texts, a long one in parts whose counts add up; no shuffle; the chain (``FEATURES`` words a category) travels with the task. Null and empty texts have
     null probabilities and aren't toxic; nor is any text if there were no labels to fit ``category`` by. Null and repeated
     ids stay; no documents give no rows; other columns are not read.
     """

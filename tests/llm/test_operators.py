@@ -5,17 +5,19 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspark.llm import chunked_bpe, components, exact_dedup, packing, simhash, substring_dedup, topk, url_filter
+from quillspark.llm import chunked_bpe, components, exact_dedup, packing, runtime, simhash, substring_dedup, topk, toxicity, url_filter
 from quillspark.llm.tokens import Bpe, bpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -370,3 +372,47 @@ def test_spark_xxhash_agrees(spark):
     """The hash that fingerprints are made of is the one that SQL functions give too."""
     text = "A shingle of words, and some more of them to fill 32 bytes"
     assert spark.range(1).select(F.xxhash64(F.lit(text))).first()[0] & (1 << 64) - 1 == xxhash.xxh64_intdigest(text.encode(), 42)
+
+
+def test_pieces_of_a_long_text_hold_each_window_once():
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abé日") for _ in range(rng.choice([1, 2, 3, 40]))) for _ in range(4000)).encode()
+    whole = substring_dedup.Windows([text], 35)
+    for size in (50, 700, 10**6):
+        pieces = list(runtime.word_pieces(text, 34, size))
+        parts = substring_dedup.Windows([x for _, x in pieces], 35)
+        assert Counter(parts.keys()[0].tolist()) == Counter(whole.keys()[0].tolist())
+        every = lambda w: Counter(zip(*(x.tolist() for x in w.digests(np.arange(len(w.start)))), strict=True))
+        assert every(parts) == every(whole)
+        words = text.split()
+        assert all(x.split() == words[n : n + len(x.split())] for n, x in pieces)
+    assert list(runtime.word_pieces(b"", 34)) == [(0, b"")]
+
+
+def test_memory_does_not_grow_with_one_text():
+    """What a worker holds for a text of 20 MB, besides the text: a tenth of what arrays of all its words would take."""
+    text = b" ".join(b"w%d" % (k * k % 99991) for k in range(3_000_000))
+    link = toxicity.Link("toxic", np.sort(toxicity._words([b"w1 w4"])[0]), np.ones(2), np.zeros(0), 0.0)
+    tracemalloc.start()
+    toxicity.probabilities([link], [text])
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    pdf = pd.DataFrame({"text": [text.decode()]})
+    for batch in substring_dedup._batches(pdf, 35):
+        substring_dedup.Windows([x for _, _, x in batch], 35).keys()
+    both = held, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(both) < 250_000_000, both
+
+
+def test_a_long_text_counts_as_one(spark):
+    rng = random.Random(7)
+    shared = " ".join(f"s{rng.randrange(10**6)}" for _ in range(50))
+    own = lambda: " ".join(f"w{rng.randrange(10**7)}" for _ in range(160_000))
+    long = f"{own()} {shared} {own()}"
+    got = {r.doc_id: r for r in substring_dedup.dedup_substrings(frame(spark, [(1, long), (2, "x " + shared), (3, long[:1_000_000])])).collect()}
+    n = len(long[:1_000_000].split()) - 1  # the last word is cut
+    assert (got[1].n_words, got[1].n_removed, got[2].n_removed, got[3].n_removed) == (320_050, n + 50, 50, n)
+    left = long.split()[n:]
+    at = left.index(shared.split()[0])
+    assert got[1].kept_sha256 == hashlib.sha256(" ".join(left[:at] + left[at + 50 :]).encode()).hexdigest()
