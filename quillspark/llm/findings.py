@@ -51,6 +51,40 @@ LINES = [
     ("ops/notes.md", "paste {s:b64 160} when it asks"),
     ("data/dump.sql", "COPY grants FROM stdin; 17 {s:alnum 120} t f"),
     ("web/state.txt", "{s:alnum 320}\n"),
+    ("deploy/prod.env", "DATABASE_URL=postgres://admin:{s:chosen}@db.internal/shop\n"),
+    ("deploy/prod.env", "BROKER=amqp://worker:{s:alnum 18}@queue/jobs"),
+    ("ops/run.sh", "git clone https://bot:{s:chosen}@host/team/repo.git"),
+    ("src/settings.py", "password = \"{s:separated}\"\nuser = 'app'"),
+    ("deploy/values.yaml", "client_secret: \"{s:separated}\"\n"),
+    ("src/settings.py", "password = \"{s:phrase}\""),
+    ("ops/notes.md", "passwd: '{s:phrase}' for the vault"),
+    ("ops/run.sh", "curl -H \"Authorization: Bearer {s:jwt}\" https://host/v1"),
+    ("chat/log", "ann: {s:jwt} is what it gave me"),
+    ("ops/notes.md", "use {s:ghp_letters} for the mirror"),
+    ("mail/thread", "here: {s:ghp_letters}, please rotate"),
+    ("text/crawl", "AKIA{s:upper 16}"),
+    ("text/crawl", "the key AKIA{s:upper 16} of"),
+    ("logs/app.log", "denied for AKIA{s:upper 16} at gate"),
+    ("web/state.txt", "{s:ghp_letters}"),
+    ("text/crawl", "take {s:ghp_letters} now"),
+    ("text/crawl", "und der {s:ghp} die"),
+    ("logs/app.log", "push with {s:ghp_letters} failed"),
+    ("chat/log", "bob: glpat-{s:letters 20} is the one"),
+    ("ops/notes.md", "sk_live_{s:letters 24} for the shop"),
+    ("web/state.txt", "{s:jwt}"),
+    ("logs/app.log", "got {s:jwt} back"),
+    ("text/crawl", "code {s:slack} und"),
+    ("text/crawl", "password={s:hex 18}"),
+    ("chat/log", "pwd={s:hex 16}"),
+    ("src/config.py", "api_secret = '{s:separated}'"),
+    ("deploy/values.yaml", "client_secret: \"{s:mixed}\""),
+    ("deploy/values.yaml", "auth_token: '{s:mixed}'\n"),
+    ("docs/guide.md", "postgres://user:{n:placeholder}@localhost/db"),
+    ("docs/guide.md", "http://name:{n:word 1}@example.com/path"),
+    ("docs/guide.md", "password: \"{n:sentence}\""),
+    ("src/client.js", "passwordHint = '{n:sentence}'"),
+    ("src/client.js", "const secretLabel = \"{n:sentence}\";"),
+    ("src/Main.java", "tokenHelp = \"{n:sentence}\";"),
     ("src/util.py", "digest = hashlib.sha256(data).hexdigest()\nassert digest == 'sha256:{n:hex 64}'"),
     ("src/util.py", "token = os.environ['{n:upperword 2}'] # never in code"),
     ("src/util.py", "password = getpass.getpass('{n:word 2}')"),
@@ -107,6 +141,12 @@ def value(kind: str, rng: random.Random) -> str:
         "chosen": lambda: word().capitalize() + rng.choice(["", word()]) + of(string.digits, rng.randint(1, 4)) + of("!#$%&*", rng.randint(0, 2)),
         "ghp": lambda: "ghp_" + of(_ALNUM, 36), "slack": lambda: "xoxb-" + of(string.digits, 12) + "-" + of(_ALNUM, 24),
         "jwt": lambda: "eyJ" + of(_ALNUM, 30) + ".eyJ" + of(_ALNUM, 60) + "." + of(_ALNUM + "-_", 43),
+        "ghp_letters": lambda: "ghp_" + of(string.ascii_letters, 36),
+        "letters": lambda: of(string.ascii_letters, n),
+        "separated": lambda: word().capitalize() + of(string.digits, 1) + of(_ALNUM, 4) + rng.choice(",;") + of(_ALNUM, 4) + rng.choice("!#,;") + of(string.digits, 2),
+        "mixed": lambda: rng.choice(",;").join("".join(rng.choice(string.ascii_lowercase) + rng.choice(string.digits) for _ in range(3)) + of(string.ascii_lowercase, 1) for _ in range(2)),
+        "phrase": lambda: " ".join(word() for _ in range(rng.randint(3, 4))) + " " + of(string.digits, 2),
+        "sentence": lambda: rng.choice(["enter the", "your", "please type a", "must contain the", "reset your", "the name of your"]) + " " + rng.choice(["password", "token", "secret key", "value here", "login name"]) + rng.choice(["", " again", " for this page", " and send"]),
         "uuid": lambda: "-".join(of(_HEX, k) for k in (8, 4, 4, 4, 12)), "mail": lambda: f"{word()}.{word()}@{word()}.com",
         "word": lambda: "_".join(word() for _ in range(n)), "dashed": lambda: "-".join(word() for _ in range(n)),
         "upperword": lambda: "_".join(word() for _ in range(n)).upper(), "camel": lambda: word() + "".join(word().capitalize() for _ in range(n - 1)),

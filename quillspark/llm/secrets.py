@@ -26,9 +26,18 @@ _RUN = r"(?<![A-Za-z0-9+/_=~-])(?=[A-Za-z+/_=~-]*+[0-9])[A-Za-z0-9+/_=~-]{16,}+"
 _ENDED = r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
 _ENDLESS = r"(?:\s*+(?:[A-Z][A-Za-z-]{2,20}: [^\r\n]*+|[A-Za-z0-9+/]{24,}+={0,2}+))*+(?:\r?\n[ \t]*+[A-Za-z0-9+/]{1,23}+={0,2}+(?!\S))?+"
 _PEM = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:{_ENDED}|{_ENDLESS})"
-#: What is looked at: assigned values of 6 characters or more, PEM keys, and other runs of 16 or more with a digit. All
-#: are taken whole, however long: possessive loops neither go back nor nest, so the time stays linear.
-CANDIDATE = rf"{_KEYED}(?:{_PEM}|[^\s\"'<>,;]{{6,}}+)|{_PEM}|{_RUN}"
+#: Known key formats and tokens of three parts, with a digit or without; a URL's user, and the password behind it.
+_TOKEN = r"(?<![A-Za-z0-9+/_=~-])(?:eyJ[A-Za-z0-9_=-]{8,}+(?:\.[A-Za-z0-9_=-]++)++|AKIA[0-9A-Z]{16}|(?:gh[pousr]_|glpat-|xox[abprs]-|[sr]k_live_|AIza)[A-Za-z0-9_-]{16,}+)"
+_USER = r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}+://[^\s/:@\"'<>]{0,64}+:(?=[^\s/@\"'<>]{3,}+@)"
+#: An assigned value: to its closing quote; without one, to white space, a quote or a sign behind it.
+_QUOTED = r"(?<=\")[^\"\r\n]{6,}+(?=\")|(?<=')[^'\r\n]{6,}+(?=')"
+_BARE = r"(?:[^\s\"'<>,;]|[,;]++(?=[^\s\"'<>,;])){6,}+"
+#: What is looked at: assigned values of 6 characters or more, PEM keys, tokens of known form, passwords in URLs, and other
+#: runs of 16 or more with a digit. All are taken whole, however long: possessive loops neither go back nor nest, so the
+#: time stays linear.
+CANDIDATE = rf"{_KEYED}(?:{_PEM}|{_QUOTED}|{_BARE})|{_PEM}|{_TOKEN}|{_USER}[^\s/@\"'<>]++|{_RUN}"
+#: A URL's user at a candidate's begin, where the sign behind the password is cut off.
+_IN_URL = r"^[A-Za-z][A-Za-z0-9+.-]{1,20}+://[^\s/:@\"'<>]{0,64}+:"
 
 FEATURES = ("length", "digits", "upper", "letter_digit", "case_change", "distinct", "hex", "dictionary", "transitions", "keyed", "known", "only_digits", "before", "after", "path")
 TREES, DEPTH, LEAST, FOLDS = 21, 8, 5, 4
@@ -40,6 +49,7 @@ LEFT_OUT = 0.4
 #: Kinds of characters for transitions: a small letter, any capital, a digit, any other sign.
 _KINDS = "abcdefghijklmnopqrstuvwxyzA0-"
 
+
 @dataclass(frozen=True)
 class Tables:
     """What is learned besides the forest: log odds of a secret for each transition between two characters, and for words
@@ -89,10 +99,15 @@ def _transition_odds(value: Column, table: tuple[float, ...]) -> Column:
     return F.aggregate(F.split(_kinds(value), ""), start, added, lambda s: s["sum"]) / F.greatest(F.length(value) - 1, F.lit(1))
 
 
+def _value(match: Column) -> Column:
+    """A candidate without the name it is assigned to or the URL's user before it."""
+    return F.regexp_replace(F.regexp_replace(match, rf"^{_KEYED}", ""), _IN_URL, "")
+
+
 def features(match: Column, left: Column, right: Column, path: Column, tables: Tables) -> Column:
     """The struct of ``FEATURES`` of a candidate, what stands before and behind it, and its document's path or source."""
-    keyed = match.rlike(rf"^{_KEYED}")
-    value = F.when(keyed, F.regexp_replace(match, rf"^{_KEYED}", "")).otherwise(match)
+    keyed = match.rlike(rf"^{_KEYED}") | match.rlike(_IN_URL)
+    value = _value(match)
     n = F.greatest(F.length(value), F.lit(1)).cast("double")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
     return F.struct(
@@ -203,7 +218,7 @@ def train(spark, labelled: list[Finding], seed: int = 3) -> Forest:
     schema = "fold int, match string, left string, right string, path string, secret boolean"
     rows = spark.createDataFrame([(f.line % FOLDS, f.match, f.left, f.right, f.path, f.secret) for f in labelled], schema)
     match, left, right, path = (F.col(c) for c in ("match", "left", "right", "path"))
-    value = F.regexp_replace(match, rf"^{_KEYED}", "")
+    value = _value(match)
     seen = rows.select("fold", _kinds(value).alias("kinds"), _words_of(left, True).alias("before"), _words_of(right, False).alias("after"), _path_words(path).alias("path"), "secret").collect()
     data: list = []
     for k in range(FOLDS):
@@ -247,7 +262,7 @@ def scan_secrets(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD,
     path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
     some = docs.where(F.col(text_col).rlike(CANDIDATE)).select(F.col(id_col).alias("doc_id"), _judged(F.col(text_col), path, forest)[1].alias("found"))
     rows = some.select("doc_id", F.posexplode("found").alias("n", "x"))
-    value = F.regexp_replace(F.col("x.match"), rf"^{_KEYED}", "")
+    value = _value(F.col("x.match"))
     return rows.select(
         "doc_id", "n", F.substring(F.col("x.match"), 1, 8).alias("preview"), F.length(value).alias("length"), F.sha2(value, 256).alias("value_sha256"), F.col("x.p").alias("p_secret"), (F.col("x.p") >= threshold).alias("secret")
     )
@@ -256,10 +271,10 @@ def scan_secrets(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD,
 def redact_secrets(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, text_col: str = "text", path_col: str = "source", mark: str = "<SECRET>") -> DataFrame:
     """All documents and columns; in ``text_col``, the value of each secret that ``scan_secrets`` finds becomes ``mark``.
 
-    The name that a value is assigned to stays. Texts without secrets stay as they are, null ones too.
+    The name that a value is assigned to stays, and so does a URL's user. Texts without secrets stay as they are, null ones too.
     """
     path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit(None).cast("string")
     pieces, found = _judged(F.col(text_col), path, forest)
-    cleaned = F.transform(found, lambda x: F.when(x["p"] >= threshold, F.concat(F.regexp_extract(x["match"], rf"^((?:{_KEYED})?)", 1), F.lit(mark))).otherwise(x["match"]))
+    cleaned = F.transform(found, lambda x: F.when(x["p"] >= threshold, F.concat(F.left(x["match"], F.length(x["match"]) - F.length(_value(x["match"]))), F.lit(mark))).otherwise(x["match"]))
     joined = F.array_join(F.zip_with(pieces, cleaned, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return docs.withColumn(text_col, F.when(F.col(text_col).rlike(CANDIDATE), joined).otherwise(F.col(text_col)))
