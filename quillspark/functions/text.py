@@ -239,16 +239,22 @@ def fix_ocr_spacing(text) -> Column:
     return F.array_join(F.transform(F.split(_col(text), "  +", -1), joined), " ")
 
 
+def rewrite(x: Column, pattern: str, table: dict[str, str]) -> Column:
+    """What ``pattern`` finds becomes what ``table`` has for it, as it is or else in lower case; the rest stays.
+
+    The text is cut once, by one alternation, however long the table is; what is written isn't looked at again."""
+    known = F.create_map(*[F.lit(y) for pair in table.items() for y in pair])
+    between, found = F.split(x, pattern, -1), F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+    new = F.transform(found, lambda w: F.coalesce(F.try_element_at(known, w), F.try_element_at(known, F.lower(w)), w))
+    joined = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(x.rlike(pattern), joined).otherwise(x)
+
+
 def fix_merged_headers(text) -> Column:
-    """Headers whose words ran together, and misspelt ones. One pattern first tells whether any of them is there."""
-    glued = [w.replace(" ", "") for w in P.MERGED_HEADERS]
-    some = _col(text).rlike(rf"\b(?:(?i:{'|'.join(glued)})\b|{'|'.join(f'(?:{p})' for p, _ in P.OTHER_HEADERS)})")
-    out = _col(text)
-    for word, words in zip(glued, P.MERGED_HEADERS, strict=True):
-        out = sub(out, rf"(?i)\b{word}\b", words)
-    for pattern, words in P.OTHER_HEADERS:
-        out = sub(out, pattern, words)
-    return F.when(some, out).otherwise(_col(text))
+    """Headers whose words ran together, and misspelt ones, in one pass."""
+    glued = {w.replace(" ", ""): w for w in P.MERGED_HEADERS} | P.OTHER_HEADERS
+    some = rf"\b(?:(?i:{'|'.join(glued)})|{'|'.join(P.CAPITAL_HEADERS)})\b"
+    return rewrite(_col(text), some, {k.lower(): v for k, v in glued.items()} | P.CAPITAL_HEADERS)
 
 
 def strip_stray_section_tokens(text) -> Column:
@@ -281,33 +287,30 @@ def title_case(x: Column) -> Column:
 
 def part_connectives(x: Column) -> Column:
     """A connective glued to a word of four letters or more is parted from it, but in words that only end like one."""
-    return sub(x, rf"(?<![a-z])(?!(?:{'|'.join(P.NOT_GLUED)})(?![a-z]))([a-z]{{4,}})({P.CONNECTIVES})(?![a-z])", "$1 $2")
-
+    # Whether a word ends in one is asked first: few do, and only those are looked for among the others.
+    ends = rf"(?=[a-z]{{6}}[a-z]*+(?<={'|'.join(P.CONNECTIVES.split('|'))}))"
+    return sub(x, rf"(?<![a-z]){ends}(?!(?:{'|'.join(P.NOT_GLUED)})(?![a-z]))([a-z]{{4,}})({P.CONNECTIVES})(?![a-z])", "$1 $2")
 
-def protect(x: Column, f) -> Column:
-    """``f`` of the text (arrays of texts back) with names like Node.js and abbreviations as one sign each, which then
-    become words again, spelt as in the table."""
-    signs = [chr(0xF0000 + k) for k in range(len(P.PROTECTED))]
-    some = "(?i)" + "|".join(map(re.escape, P.PROTECTED))
-    out = x
-    for sign, word in zip(signs, P.PROTECTED, strict=True):
-        out = sub(out, ("(?i)\\b" if word.endswith(".") else "(?i)") + re.escape(word), sign)
 
-    def spelt(part: Column) -> Column:
-        for sign, word in zip(signs, P.PROTECTED, strict=True):
-            part = F.replace(part, F.lit(sign), F.lit(word))
-        return part
-
-    return F.when(x.rlike(some), F.transform(f(out), spelt)).otherwise(f(x))
+#: Names like Node.js and abbreviations, in order; one ends in a full stop only where that begins no other.
+_SPELT = "|".join((r"\b" if w.endswith(".") else "") + re.escape(w) + ("(?!NET)" if w.endswith(".") else "") for w in P.PROTECTED)
+#: White space behind a sentence's end, which no abbreviation is.
+_SENTENCE_END = r"(?<=[.!?])(?<!\b(?i:" + "|".join(re.escape(w) for w in P.PROTECTED if w.endswith(".")) + r"))\s+"
 
 
 def sentences(text, least: int = 15) -> Column:
-    """Sentences of ``least`` characters or more: lines joined without bullets, glued connectives parted, split behind
-    ``. ! ?``; numbers like 2.5 and abbreviations like e.g. don't end one. Null if there are none."""
+    """Sentences of ``least`` characters or more: lines joined without bullets, glued connectives parted, names like Node.js
+    spelt as in the table, split behind ``. ! ?``; numbers like 2.5 and abbreviations like e.g. don't end one. Null if there
+    are none. Each step is worked out once: where the text is a costly expression, ``settled`` keeps it from being copied."""
     rows = F.transform(raw_lines(sub(F.replace(strip(_col(text)), F.lit("\t"), F.lit(" ")), "\r")), lambda x: strip(sub(x, P.SUMMARY_LEAD)))
     joined = F.array_join(F.filter(rows, lambda x: x != ""), " ")
-    parts = protect(strip(sub(part_connectives(joined), " {2,}", " ")), lambda x: F.split(x, r"(?<=[.!?])\s+"))
-    return let(F.filter(F.transform(parts, strip), lambda x: F.length(x) >= least), lambda kept: F.when(F.size(kept) > 0, kept))
+    table = {w.lower(): w for w in reversed(P.PROTECTED)}
+
+    def cut(x: Column) -> Column:
+        parts = F.transform(F.split(rewrite(x, f"(?i){_SPELT}", table), _SENTENCE_END), strip)
+        return F.filter(parts, lambda s: F.length(s) >= least)
+
+    return let(let(strip(sub(part_connectives(joined), " {2,}", " ")), cut), lambda kept: F.when(F.size(kept) > 0, kept))
 
 
 def line_list(text) -> Column:

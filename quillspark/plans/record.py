@@ -9,27 +9,12 @@ from ..functions import contact as C
 from ..functions import dates as D
 from ..functions import text as T
 from ..functions.lookups import DEFAULT, Lookups
-from ..operators import education, jobs, lists, segment, skills
+from ..operators import education, jobs, lists, places, segment, skills
 
-LOCATION = "struct<postal_code:string,raw_address:string,city:string,district:string,state:string,country:string,country_code:string>"
-
-
-def locations(docs: DataFrame, places: DataFrame | None = None) -> DataFrame:
-    """``doc_id, location`` from a PIN code, then a labelled address. ``places`` (postal_code, city, district, state) is an
-    offline table of PIN codes; without it the code itself is all that is told."""
-    found = docs.select("doc_id", C.pin_code("text").alias("postal_code"), C.raw_address("text").alias("raw_address"))
-    if places is not None:
-        found = found.join(places, "postal_code", "left")
-    else:
-        found = found.select("*", *[F.lit(None).cast("string").alias(c) for c in ("city", "district", "state")])
-    known = F.col("state").isNotNull()
-    place = F.struct("postal_code", F.when(~known, F.col("raw_address")).alias("raw_address"), "city", "district", "state", F.when(known, "India").alias("country"), F.when(known, "IN").alias("country_code"))
-    return found.select("doc_id", F.when(F.coalesce("postal_code", "raw_address").isNotNull(), place).alias("location"))
-
-
-def candidate_records(docs: DataFrame, lookups: Lookups = DEFAULT, as_of: Column | None = None, places: DataFrame | None = None, institutions: DataFrame | None = None) -> DataFrame:
+def candidate_records(docs: DataFrame, lookups: Lookups = DEFAULT, as_of: Column | None = None, pins: DataFrame | None = None, institutions: DataFrame | None = None, gazetteer: DataFrame | None = None) -> DataFrame:
     """``doc_id, record`` for texts (``doc_id, text``): one nested struct a document, nulls for what isn't there.
 
+    ``pins`` and ``gazetteer`` are the tables of ``places.locations``; ``institutions`` those of ``education``.
     Sections are found once, by a window over each document's lines, and pivoted into a map; most parsers are then
     expressions over that row. Jobs and projects group lines by document; all joins are on doc_id.
     """
@@ -48,7 +33,8 @@ def candidate_records(docs: DataFrame, lookups: Lookups = DEFAULT, as_of: Column
     named = skills.dedupe_rows(base.select("doc_id", F.posexplode(said).alias("pos", "skill"))).select("doc_id", "pos", skills.skill_object(F.col("skill"), lookups).alias("x"))
     named = named.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("_skills"))
     studies = education.education_lists(of("education"), institutions=institutions, lookups=lookups)
-    for more in (work, interns, projects, named, studies, locations(docs, places)):
+    where = base.select("doc_id", "text", F.concat_ws(" ", part("personal_details"), part("about"), F.substring("text", 1, 1000)).alias("place_text"))
+    for more in (work, interns, projects, named, studies, places.locations(where, pins, gazetteer)):
         rows = rows.join(more, "doc_id", "left")
 
     text, experience = F.col("text"), F.concat_ws("\n", F.nullif(part("experience"), F.lit("")), F.nullif(part("internships"), F.lit("")))

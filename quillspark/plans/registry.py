@@ -9,7 +9,7 @@ from ..functions import dates as D
 from ..functions import lookups
 from ..functions import patterns as P
 from ..functions import text as T
-from ..operators import education, form, jobs, layout, lists, matcher, segment, skills, upsert
+from ..operators import education, form, jobs, layout, lists, matcher, places, segment, skills, upsert
 from ..streaming import landing
 from . import record
 
@@ -115,7 +115,8 @@ SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(s, chr(10))) AS digest F
 def sentence_split(spark, sf):
     """Number and digest of the sentences of each document and a tail that tries the rules."""
     text = F.concat("text", F.get(F.array(*map(F.lit, _TAIL)), (F.col("doc_id") % 4).cast("int")))
-    rows = _t(spark, sf, "documents").select("doc_id", T.sentences(text).alias("s")).where("s is not null")
+    texts = T.settled(_t(spark, sf, "documents").select("doc_id", text.alias("text")))
+    rows = T.settled(texts.select("doc_id", T.sentences("text").alias("s"))).where("s is not null")
     return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "\n")).alias("digest"))
 
 
@@ -185,6 +186,43 @@ def terms_matched(spark, sf):
     return each
 
 
+_PLACE_TEXTS = ("Home in 60{pin} now", "Address: 12 Main Road, Town{t}, State {n}\n\nmore", "I live in Town{t}.", "born in State {n}, Town{u} later", "Town{u} and Town{t}; State {s}", "nothing said", "Location: somewhere else")
+
+
+@_query("""
+WITH c AS (
+  SELECT c_custkey AS k, c_custkey % 7 AS shape, lpad((c_custkey * 3 % 4000)::VARCHAR, 4, '0') AS pin, c_custkey % 40 AS t, (c_custkey // 7) % 40 AS u, c_nationkey AS n, (c_custkey * 5) % 25 AS s FROM customer),
+city AS (SELECT DISTINCT s_suppkey % 40 AS name, s_nationkey AS state FROM supplier WHERE s_suppkey < 60),
+pins AS (SELECT lpad(s_suppkey::VARCHAR, 4, '0') AS pin, s_suppkey, s_nationkey FROM supplier),
+said AS (
+  SELECT k, t AS name, 0 AS nth FROM c WHERE shape IN (1, 2) UNION ALL SELECT k, u, 2 FROM c WHERE shape = 3
+  UNION ALL SELECT k, u, 0 FROM c WHERE shape = 4 UNION ALL SELECT k, t, 2 FROM c WHERE shape = 4),
+stated AS (SELECT k, n AS state FROM c WHERE shape IN (1, 3) UNION ALL SELECT k, s FROM c WHERE shape = 4),
+best AS (
+  SELECT said.k, city.name, city.state, stated.state IS NOT NULL AND stated.state = city.state AS pair, (SELECT count(DISTINCT o.state) FROM city o WHERE o.name = city.name) AS many
+  FROM said JOIN city ON city.name = said.name LEFT JOIN stated ON stated.k = said.k
+  QUALIFY row_number() OVER (PARTITION BY said.k ORDER BY NOT coalesce(stated.state = city.state, false), nth, 'State ' || city.state) = 1)
+SELECT c.k, CASE WHEN shape = 0 THEN '60' || c.pin END AS postal_code, CASE shape WHEN 1 THEN '12 Main Road, Town' || t || ', State ' || n WHEN 6 THEN 'somewhere else' END AS raw_address,
+       CASE WHEN pins.pin IS NOT NULL THEN 'Pin town ' || s_suppkey WHEN best.k IS NOT NULL THEN 'Town' || best.name END AS city, CASE WHEN pins.pin IS NOT NULL THEN 'District ' || s_nationkey END AS district,
+       CASE WHEN pins.pin IS NOT NULL THEN 'State ' || s_nationkey WHEN best.pair THEN 'State ' || best.state WHEN stated.k IS NOT NULL THEN 'State ' || stated.state WHEN best.many = 1 THEN 'State ' || best.state END AS state,
+       CASE WHEN shape = 0 OR best.k IS NOT NULL OR stated.k IS NOT NULL THEN 'India' END AS country
+FROM c LEFT JOIN pins ON shape = 0 AND pins.pin = c.pin LEFT JOIN best ON best.k = c.k LEFT JOIN stated ON stated.k = c.k""")
+def places_found(spark, sf):
+    """Where customers live, from texts of seven shapes: PIN codes, addresses, and names of towns that several states have."""
+    k, supplier = F.col("c_custkey"), _t(spark, sf, "supplier")
+    text = F.get(F.array(*map(F.lit, _PLACE_TEXTS)), (k % 7).cast("int"))
+    values = {"pin": F.lpad((k * 3 % 4000).cast("string"), 4, "0"), "t": k % 40, "u": F.floor(k / 7) % 40, "n": F.col("c_nationkey"), "s": k * 5 % 25}
+    for name, value in values.items():
+        text = F.replace(text, F.lit("{" + name + "}"), value.cast("string"))
+    state = F.concat(F.lit("State "), "s_nationkey")
+    pins = supplier.select(F.concat(F.lit("60"), F.lpad(F.col("s_suppkey").cast("string"), 4, "0")).alias("postal_code"), F.concat(F.lit("Pin town "), "s_suppkey").alias("city"), F.concat(F.lit("District "), "s_nationkey").alias("district"), state.alias("state"))
+    towns = supplier.where("s_suppkey < 60").select(F.concat(F.lit("Town"), F.col("s_suppkey") % 40).alias("name"), F.lit("city").alias("kind"), state.alias("state"), F.lit(None).cast("int").alias("rank"))
+    states = _t(spark, sf, "nation").select(F.concat(F.lit("State "), "n_nationkey").alias("name"), F.lit("state").alias("kind"), F.lit(None).cast("string").alias("state"), F.lit(None).cast("int").alias("rank"))
+    docs = _t(spark, sf, "customer").select(k.alias("doc_id"), text.alias("text"))
+    found = places.locations(docs, pins, towns.unionByName(states))
+    return found.select(F.col("doc_id").alias("k"), *[F.col(f"location.{c}").alias(c) for c in ("postal_code", "raw_address", "city", "district", "state", "country")])
+
+
 @_query("""
 WITH r AS (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE p_name END AS s FROM part),
 c AS (SELECT p_brand, min(p_partkey) AS pos, arg_min(upper(s[1]) || s[2:], p_partkey) AS skill, lower(s) AS low FROM r GROUP BY p_brand, lower(s)),

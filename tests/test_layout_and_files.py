@@ -205,7 +205,7 @@ def test_records_and_streams(spark, tmp_path):
     docs = spark.createDataFrame([(*registry.CV, "a.pdf"), (2, "nothing", "b.pdf"), (3, None, "c.pdf")], "doc_id long, text string, source_file string")
     as_of = F.lit("2024-06-15").cast("date")
     places = spark.createDataFrame([("600001", "Chennai", "Chennai", "Tamil Nadu")], "postal_code string, city string, district string, state string")
-    got = {r.doc_id: json.loads(r.json) for r in record.to_json(record.candidate_records(docs, as_of=as_of, places=places)).collect()}
+    got = {r.doc_id: json.loads(r.json) for r in record.to_json(record.candidate_records(docs, as_of=as_of, pins=places)).collect()}
     assert got[1]["email"] == ["jane.doe@gmail.com"] and got[1]["sections_detected"] and "email" not in got[2] and got[2]["total_years_experience"] == 0.0 and set(got) == {1, 2, 3}
     record.write_json(record.candidate_records(docs, as_of=as_of), str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 3
