@@ -18,14 +18,15 @@ LEAST_TEXT = 1
 
 def read_texts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts: doc_id, text with marked headings; rejects: path, reason) of a scan. DOCX and RTF are read; contents of
-    other kinds (PDF, old DOC) are rejected as unsupported, and files that a reader finds nothing in as unreadable."""
+    other kinds (PDF, old DOC) are rejected as unsupported, encrypted and damaged archives as that, and files that a reader
+    finds nothing in as unreadable."""
     kinds = files.where("reason is null").withColumn("kind", readers.file_kind(F.col("content")))
     docx = readers.docx_lines(readers.read_docx(kinds.where("kind in ('docx', 'dotx')")))
     rtf = kinds.where("kind = 'rtf'").select(F.col("path").alias("doc_id"), readers.rtf_text(F.col("content")).alias("text"))
     texts = docx.unionByName(rtf).where(F.length("text") >= LEAST_TEXT)
     read = texts.select(F.col("doc_id").alias("path"))
     known = F.col("kind").isin("docx", "dotx", "rtf")
-    missed = kinds.join(read, "path", "left_anti").select("path", F.when(known, "unreadable").otherwise("unsupported").alias("reason"))
+    missed = kinds.join(read, "path", "left_anti").select("path", F.when(known, "unreadable").when(F.col("kind") == "encrypted", "encrypted").when(F.col("kind") == "unknown_zip", "broken").otherwise("unsupported").alias("reason"))
     return texts, readers.rejects(files).unionByName(missed)
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -19,19 +21,37 @@ from ..functions import patterns as P
 from ..functions import text as T
 
 EXTENSIONS, LARGEST = ("pdf", "docx", "doc"), 50 * 1024 * 1024
+#: What reading a damaged archive or its parts may raise; an encrypted one raises a RuntimeError.
+BROKEN = (zipfile.BadZipFile, zlib.error, KeyError, ElementTree.ParseError, OSError, EOFError, NotImplementedError, ValueError)
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
+def _listed(files: DataFrame) -> DataFrame:
+    """``path`` of each file that Spark's index of ``files`` has, as the column of that name spells it."""
+    paths = [(re.sub(r"^(\w+):///+", r"\1:/", unquote(p)),) for p in files.inputFiles()]
+    return files.sparkSession.createDataFrame(paths, "path string")
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """``path, name, ext, length, content, reason`` of a folder's files but for temporary ones; ``reason`` is null for good ones.
 
-    Spark's own scan passes over files of no bytes, so those come with no row rather than a reason."""
+    Names and lengths decide before any content is read: the scan that fetches contents has the length as a pushed filter,
+    and rejects are listed without the content, which stays null. Files of no bytes, which Spark's scan passes over, come
+    from its index of the folder, as large as the index that it holds anyway.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    reason = F.when(~ext.isin(*EXTENSIONS), "extension").when(F.col("length") == 0, "empty").when(F.col("length") > LARGEST, "too large")
-    return files.where(~name.startswith("~")).select("path", name.alias("name"), ext.alias("ext"), "length", "content", reason.alias("reason"))
+    told = lambda df: df.where(~name.startswith("~")).withColumns({"name": name, "ext": ext})
+    reason = F.when(~F.col("ext").isin(*EXTENSIONS), "extension").when(F.col("length") == 0, "empty").when(F.col("length") > LARGEST, "too large")
+    good = told(files.where(F.col("length") <= LARGEST)).where(F.col("ext").isin(*EXTENSIONS))
+    columns = ["path", "name", "ext", "length", "content", "reason"]
+    good = good.withColumn("reason", F.lit(None).cast("string")).select(columns)
+    known = files.select("path", "length")
+    empty = _listed(files).join(known.select("path"), "path", "left_anti").withColumn("length", F.lit(0).cast("long"))
+    bad = told(known.unionByName(empty)).withColumn("reason", reason).where("reason is not null").withColumn("content", F.lit(None).cast("binary"))
+    return good.unionByName(bad.select(columns))
 
 
 def rejects(files: DataFrame) -> DataFrame:
@@ -49,7 +69,9 @@ def _zip_kind(content: bytes) -> str:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             names = set(z.namelist())
             types = z.read("[Content_Types].xml").decode("utf-8", "replace") if "[Content_Types].xml" in names else None
-    except (zipfile.BadZipFile, KeyError, OSError):
+    except RuntimeError:
+        return "encrypted"
+    except BROKEN:
         return "unknown_zip"
     if types is None:
         return "unknown_zip"
@@ -69,7 +91,7 @@ def zip_kind(content: Column) -> Column:
 
 
 def file_kind(content: Column) -> Column:
-    """By the first bytes: a zip's kind, rtf, ole2 or unknown."""
+    """By the first bytes: a zip's kind (encrypted, or unknown_zip if it can't be read), rtf, ole2 or unknown."""
     head = F.hex(F.substring(content, 1, 4))
     return F.when(head == "504B0304", zip_kind(content)).when(head.startswith("7B5C"), "rtf").when(head == "D0CF11E0", "ole2").otherwise("unknown")
 
@@ -168,7 +190,7 @@ def docx_blocks(content: bytes) -> tuple[list[tuple], list[tuple[str, str]]]:
             body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
             heads = [ElementTree.fromstring(z.read(n)) for n in sorted(names) if re.fullmatch(r"word/header\d+\.xml", n)]
             rels = ElementTree.fromstring(z.read("word/_rels/document.xml.rels")) if "word/_rels/document.xml.rels" in names else []
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, OSError):
+    except (RuntimeError, *BROKEN):
         return [], []
     lines = dict.fromkeys(x for h in heads for p in h.iter(f"{W}p") if (x := _text(p).strip()))
     blocks = [("header", x, None, None, None, None, None, None) for x in lines]
