@@ -15,36 +15,86 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def upsert(master: DataFrame, incoming: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """``master`` with rows of ``incoming`` in place of those with their key; new rows go in. Idempotent."""
+    """``master`` with rows of ``incoming`` in place of those with their key; new rows go in. Idempotent. A null key is a key."""
     new = latest(incoming, key, order).drop(order) if order else incoming
-    return master.join(new.select(F.col(key).alias("_key")), master[key] == F.col("_key"), "left_anti").unionByName(new.select(*master.columns))
+    return master.join(new.select(F.col(key).alias("_key")), master[key].eqNullSafe(F.col("_key")), "left_anti").unionByName(new.select(*master.columns))
 
 
-def upsert_path(spark: SparkSession, path: str, incoming: DataFrame, key: str, order: str | None = None) -> None:
-    """Upsert into a Parquet table under ``path``: the result is written beside it, then a pointer file names it.
-
-    The table that is read is never overwritten; a job that dies leaves the old one in force.
-    """
-    old = current_version(spark, path)
-    kept = [c for c in incoming.columns if c != order]
-    master = spark.read.parquet(old) if old else incoming.select(*kept).limit(0)
-    new = f"{path}/v-{uuid.uuid4().hex}"
-    upsert(master, incoming, key, order).write.parquet(new)
-    spark.range(1).select(F.lit(new).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/current")
+#: Parts that the keys of a new master table are dealt into.
+PARTS = 64
 
 
-def current_version(spark: SparkSession, path: str) -> str | None:
+def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """``version, part, parts, folder`` of all versions of a master table, or null if there is none."""
     from pyspark.errors import AnalysisException
 
     try:
-        row = spark.read.text(f"{path}/current").first()
+        return spark.read.schema("part int, parts int, folder string, version long").parquet(f"{path}/manifest")
     except AnalysisException:
         return None
-    return row["value"] if row else None
 
 
-def read_master(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(current_version(spark, path))
+def current_version(spark: SparkSession, path: str) -> int | None:
+    """The number of the last version that was written whole, or null."""
+    manifest = _manifest(spark, path)
+    return manifest.agg(F.max("version")).first()[0] if manifest is not None else None
+
+
+def _folders(spark: SparkSession, path: str, version: int) -> tuple[int, dict[int, str]]:
+    """How many parts a version has, and the folder of each: no more rows than parts."""
+    rows = _manifest(spark, path).where(F.col("version") == version).collect()
+    return rows[0]["parts"], {r["part"]: r["folder"] for r in rows}
+
+
+def _part(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def _commit(spark: SparkSession, path: str, version: int, parts: int, folders: dict[int, str]) -> None:
+    """One small file makes a version; a writer that was overtaken finds the version taken, and fails."""
+    rows = spark.createDataFrame([(p, parts, f) for p, f in sorted(folders.items())], "part int, parts int, folder string")
+    rows.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifest/version={version}")
+
+
+def _write_parts(rows: DataFrame, path: str, key: str, parts: int) -> str:
+    folder = f"{path}/data/{uuid.uuid4().hex}"
+    rows.withColumn("_part", _part(key, parts)).repartition("_part").write.partitionBy("_part").parquet(folder)
+    return folder
+
+
+def upsert_path(spark: SparkSession, path: str, incoming: DataFrame, key: str, order: str | None = None, parts: int = PARTS) -> None:
+    """Upsert into the master table under ``path``, which is made if it isn't there.
+
+    Keys are dealt into ``parts`` by hash, and a version is a manifest of each part's folder. Only the parts that
+    ``incoming`` has keys of are read and written anew, beside the old ones; then the new manifest appears as a whole. A
+    job that dies before leaves the old version in force, and old versions can be read. No rows, no new version. A table
+    keeps the number of parts that it was made with until it is compacted.
+    """
+    new = (latest(incoming, key, order).drop(order) if order else incoming).persist()
+    version = current_version(spark, path)
+    parts, folders = (parts, {}) if version is None else _folders(spark, path, version)
+    touched = [r["p"] for r in new.select(_part(key, parts).alias("p")).distinct().collect()]
+    if touched:
+        old = [folders[p] for p in touched if p in folders]
+        master = spark.read.schema(new.schema).parquet(*old) if old else new.limit(0)
+        folder = _write_parts(upsert(master, new, key), path, key, parts)
+        _commit(spark, path, (version or 0) + 1, parts, folders | {p: f"{folder}/_part={p}" for p in touched})
+    new.unpersist()
+
+
+def read_master(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The master table as it is, or as it was in ``version``."""
+    _, folders = _folders(spark, path, current_version(spark, path) if version is None else version)
+    return spark.read.parquet(*folders.values())
+
+
+def compact(spark: SparkSession, path: str, key: str, parts: int = PARTS) -> None:
+    """A version with the same rows, each part written once, in ``parts`` parts."""
+    version = current_version(spark, path)
+    rows = read_master(spark, path)
+    some = [r["p"] for r in rows.select(_part(key, parts).alias("p")).distinct().collect()]
+    folder = _write_parts(rows, path, key, parts)
+    _commit(spark, path, version + 1, parts, {p: f"{folder}/_part={p}" for p in some})
 
 
 def upsert_in_place(sheet: DataFrame, incoming: DataFrame, key: str = "email", pos: str = "pos") -> DataFrame:
