@@ -171,12 +171,29 @@ def two_column_text(words: DataFrame, borders: DataFrame) -> DataFrame:
     return parts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sheet", "part", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
+def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_box: tuple[str, ...], b_box: tuple[str, ...], size: float = 40.0) -> DataFrame:
+    """Rows of ``a`` and ``b`` that share ``keys`` and whose boxes (names of left, right, top and bottom) overlap.
+
+    Boxes are cut into the cells of a grid and meet by cell, so a page's boxes are only compared with those nearby. A pair
+    counts in the one cell that holds the upper left corner of what both cover. Boxes without a number meet none."""
+
+    def cells(df: DataFrame, box: tuple[str, ...], cx: str, cy: str) -> DataFrame:
+        of = lambda c: F.floor(F.col(c) / size)
+        fine = df.where(F.col(box[0]).isNotNull() & (F.col(box[0]) <= F.col(box[1])) & (F.col(box[2]) <= F.col(box[3])))
+        return fine.withColumn(cx, F.explode(F.sequence(of(box[0]), of(box[1])))).withColumn(cy, F.explode(F.sequence(of(box[2]), of(box[3]))))
+
+    x, y = cells(a, a_box, "_cx", "_cy"), cells(b, b_box, "_cx", "_cy")
+    near = x.join(y, [*keys, "_cx", "_cy"])
+    left, top = F.greatest(F.col(a_box[0]), F.col(b_box[0])), F.greatest(F.col(a_box[2]), F.col(b_box[2]))
+    both = (left < F.least(F.col(a_box[1]), F.col(b_box[1]))) & (top < F.least(F.col(a_box[3]), F.col(b_box[3])))
+    return near.where(both & (F.floor(left / size) == F.col("_cx")) & (F.floor(top / size) == F.col("_cy"))).drop("_cx", "_cy")
+
+
 def link_display(links: DataFrame, chars: DataFrame) -> DataFrame:
-    """``links`` with ``display_text``: the characters that a link's box overlaps on its page, from left to right. Links and
-    characters meet by page, so each page is its own small range join."""
+    """``links`` with ``display_text``: the characters that a link's box overlaps on its page, from left to right."""
     keyed = links.withColumn("_n", F.monotonically_increasing_id())
     c = chars.select("doc_id", "page", F.col("text").alias("_c"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("top").alias("_t"), F.col("bottom").alias("_b"))
-    met = keyed.join(c, ["doc_id", "page"]).where("_x0 < x1 and _x1 > x0 and _t < y1 and _b > y0")
+    met = overlaps(keyed, c, ["doc_id", "page"], ("x0", "x1", "y0", "y1"), ("_x0", "_x1", "_t", "_b"))
     shown = met.groupBy("doc_id", "page", "_n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_x0", "_c"))), lambda x: x["_c"]), "").alias("display_text"))
     return keyed.join(shown, ["doc_id", "page", "_n"], "left").withColumn("display_text", F.coalesce("display_text", F.lit(""))).drop("_n")
 

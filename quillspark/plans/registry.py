@@ -334,6 +334,22 @@ def top_gaps(spark, sf):
     return layout.top_gaps(words, 3).select("doc_id", F.col("rank").cast("long").alias("rank"), "gap", F.col("mid").cast("double").alias("mid"))
 
 
+_LINKS = "SELECT o_orderkey AS uri, o_orderkey % 40 AS doc_id, o_orderkey // 40 % 5 AS page, (o_orderkey * 13 % 560)::DOUBLE AS x0, (o_orderkey * 13 % 560 + 20 + o_orderkey % 90)::DOUBLE AS x1, (o_orderkey * 29 % 780)::DOUBLE AS y0, (o_orderkey * 29 % 780 + 12)::DOUBLE AS y1 FROM orders"
+_CHARS = "SELECT n % 40 AS doc_id, n // 40 % 5 AS page, c AS text, (n * 17 % 590)::DOUBLE AS x0, (n * 17 % 590 + 6)::DOUBLE AS x1, (n * 31 % 790)::DOUBLE AS top, (n * 31 % 790 + 9)::DOUBLE AS bottom FROM (SELECT l_orderkey * 8 + l_linenumber AS n, l_returnflag || l_linenumber AS c FROM lineitem)"
+
+
+@_query(f"""
+WITH l AS ({_LINKS}), c AS ({_CHARS})
+SELECT l.uri, coalesce(string_agg(c.text, '' ORDER BY c.x0, c.text), '') AS display_text
+FROM l LEFT JOIN c ON c.doc_id = l.doc_id AND c.page = l.page AND c.x0 < l.x1 AND c.x1 > l.x0 AND c.top < l.y1 AND c.bottom > l.y0 GROUP BY l.uri""")
+def links_displayed(spark, sf):
+    """Boxes of orders on pages full of characters (line items), each with the characters that it overlaps."""
+    for name in ("orders", "lineitem"):
+        _t(spark, sf, name).createOrReplaceTempView(name)
+    said = lambda sql: spark.sql(sql.replace("//", " div ").replace("::DOUBLE", " * 1.0D"))
+    return layout.link_display(said(_LINKS), said(_CHARS)).select("uri", "display_text")
+
+
 def _headings() -> list[tuple[str, str]]:
     """(section, a heading that no section before it has) of each section, as lines may have them."""
     seen, out = set(), []
