@@ -334,6 +334,31 @@ def top_gaps(spark, sf):
     return layout.top_gaps(words, 3).select("doc_id", F.col("rank").cast("long").alias("rank"), "gap", F.col("mid").cast("double").alias("mid"))
 
 
+#: How numbers are written, with the country code and the digits of one, and what is no number.
+_PHONES = ("call +{c} {a}-{b} now", "tel 00{c}{a}{b}, or 0{a}{b}", "+{c} ({a}) {b}; +{c}{a}{b}9", "home 98{p} or 044-2{q}", "+999 {a}{b}, id {c}{a}{b}")
+_CODES = ("1", "33", "44", "49", "61", "65", "81", "86", "91", "966", "971")
+_PLAN = "CASE c " + " ".join(f"WHEN '{c}' THEN regexp_full_match(rest, '{P.PHONE_PLANS[c]}')" for c in _CODES) + " END"
+
+
+@_query(rf"""
+WITH k AS (SELECT c_custkey AS k, c_custkey % 5 AS shape, {list(_CODES)}[1 + c_custkey // 5 % 11] AS c, lpad((c_custkey * 7919 % 10000)::VARCHAR, 4, '2') AS a, lpad((c_custkey * 104729 % 100000)::VARCHAR, 5, '3') AS b,
+  lpad((c_custkey * 31 % 100000000)::VARCHAR, 8, '7') AS p, lpad((c_custkey * 17 % 10000000)::VARCHAR, 7, '4') AS q FROM customer),
+said AS (SELECT k, c, a || b AS rest FROM k WHERE shape < 3 UNION ALL SELECT k, c, a || b || '9' FROM k WHERE shape = 2),
+found AS (
+  SELECT k, '+' || c || rest AS phone FROM said WHERE {_PLAN}
+  UNION SELECT k, '+9198' || p FROM k WHERE shape = 3 UNION SELECT k, '+91442' || q FROM k WHERE shape = 3)
+SELECT k.k, coalesce(string_agg(phone, ' ' ORDER BY phone), '') AS phones FROM k LEFT JOIN found ON found.k = k.k GROUP BY k.k""")
+def phones_by_plan(spark, sf):
+    """Numbers of eleven country codes, written in many ways, by the numbering plan of their code."""
+    k = F.col("c_custkey")
+    text = F.get(F.array(*map(F.lit, _PHONES)), (k % 5).cast("int"))
+    padded = lambda by, n, with_: F.lpad((k * by % 10**n).cast("string"), n, with_)
+    values = {"c": F.get(F.array(*map(F.lit, _CODES)), (F.floor(k / 5) % 11).cast("int")), "a": padded(7919, 4, "2"), "b": padded(104729, 5, "3"), "p": padded(31, 8, "7"), "q": padded(17, 7, "4")}
+    for name, value in values.items():
+        text = F.replace(text, F.lit("{" + name + "}"), value)
+    return _t(spark, sf, "customer").select(k.alias("k"), F.array_join(C.phones(text), " ").alias("phones"))
+
+
 _LINKS = "SELECT o_orderkey AS uri, o_orderkey % 40 AS doc_id, o_orderkey // 40 % 5 AS page, (o_orderkey * 13 % 560)::DOUBLE AS x0, (o_orderkey * 13 % 560 + 20 + o_orderkey % 90)::DOUBLE AS x1, (o_orderkey * 29 % 780)::DOUBLE AS y0, (o_orderkey * 29 % 780 + 12)::DOUBLE AS y1 FROM orders"
 _CHARS = "SELECT n % 40 AS doc_id, n // 40 % 5 AS page, c AS text, (n * 17 % 590)::DOUBLE AS x0, (n * 17 % 590 + 6)::DOUBLE AS x1, (n * 31 % 790)::DOUBLE AS top, (n * 31 % 790 + 9)::DOUBLE AS bottom FROM (SELECT l_orderkey * 8 + l_linenumber AS n, l_returnflag || l_linenumber AS c FROM lineitem)"
 

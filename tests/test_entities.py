@@ -43,6 +43,8 @@ def test_personal_facts_and_sites(spark):
     assert one(spark, C.date_of_birth(F.lit("dob: 31/02/1990"))) is None
     assert [tuple(x) for x in one(spark, C.websites(text))] == [("https://linkedin.com/in/jane-doe", "linkedin.com"), ("https://www.blog.org/x", "blog.org")]
     assert one(spark, C.phones(F.lit("098765-43210, +91 98765 43210 and 12345"))) == ["+919876543210"]
+    assert one(spark, C.phones(F.lit("0044 (7911) 123-456; +1 415.555.2671; +65 1234 5678; +49 30 1234567; 2019 98765 43210"))) == ["+14155552671", "+447911123456", "+49301234567", "+919876543210"]
+    assert one(spark, C.phones(F.lit("+966512345678 or 022-2345 6789"))) == ["+912223456789", "+966512345678"] and one(spark, C.phones(F.lit("+44 7911 123456 7"))) == []
     assert one(spark, C.contact_hints(F.lit("Notice period: 30 days\nCTC 5 LPA\nx.com/jd")))["notice_period"] == ["Notice period: 30 days"]
 
 
