@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import give_back, written
 from .tokens import bpe
 
 #: Bins with no more room than this count as nearly full before the last round.
@@ -131,6 +131,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, room: int = 2048, separator:
                 yield flush()
         if rows:
             yield flush()
+        give_back()
 
     # Null ids travel as such: Arrow turns them into floats in pandas, so ids are carried as nullable integers.
     items = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(local, ITEM), "packing")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .runtime import shuffle_parts, written
+from .runtime import give_back, shuffle_parts, written
 
 #: Shift and width of the fingerprint's segments. Two fingerprints of at most 4 differing bits differ by at most 1 bit in
 #: one of the first two or not at all in the third (2 + 2 + 1 > 4).
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
                     keys, hashes, sizes, signs = [], [], [], []
         if keys:
             yield flush()
+        give_back()
 
     more = [] if sign is None else [sign.alias("sign")]
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more).mapInPandas(run, "doc_id long, fp long" + ", sign string" * len(more))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .runtime import Words, mix, slices, text_batches
+from .runtime import Words, give_back, mix, slices, text_batches
 
 #: Labelled documents that training takes at most, and bytes of text: those of the smallest hashed ids.
 TRAIN_ROWS, TRAIN_BYTES = 4_000, 8_000_000
@@ -185,6 +185,7 @@ def _judged(text: Column, chain: list[Link]) -> Column:
         for _, some in text_batches((texts, texts), BATCH_BYTES):
             p = probabilities(chain, some)
             out += [p[k] if text else None for k, text in enumerate(some)]
+        give_back()
         return pd.Series(out, dtype=object)
 
     return F.pandas_udf(run, "array<double>")(text)
