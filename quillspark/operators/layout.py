@@ -37,10 +37,29 @@ def desert(words: DataFrame, size: int = 5) -> DataFrame:
     return best.where("width >= 30")
 
 
+#: Stretches of x0 that a hot key's words are dealt into.
+STRETCHES = 64
+
+
+def _stretch(words: DataFrame, column: str) -> Column:
+    """The number of a value's stretch, of ``STRETCHES`` with about as many rows in each over the whole table."""
+    shares = [k / STRETCHES for k in range(1, STRETCHES)]
+    cuts = words.agg(F.percentile_approx(column, F.array(*map(F.lit, shares)), 10_000)).first()[0] or []
+    return F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col(column))) if cuts else F.lit(0)
+
+
 def top_gaps(words: DataFrame, k: int = 3) -> DataFrame:
-    """``doc_id, rank, gap, mid``: the k widest gaps between neighbouring x0."""
-    order = Window.partitionBy("doc_id").orderBy("x0")
-    gaps = words.select("doc_id", "x0", (F.lead("x0").over(order) - F.col("x0")).alias("gap")).where("gap is not null")
+    """``doc_id, rank, gap, mid``: the k widest gaps between neighbouring x0 (ties: the later ones first).
+
+    Neighbours are found within stretches of x0, and across their edges from each stretch's ends, so no window holds all
+    words of a key, however many it has; words at one place are counted, and give as many gaps of nothing as can rank."""
+    places = words.where(F.col("x0").isNotNull()).groupBy("doc_id", "x0").agg(F.count(F.lit(1)).alias("n")).withColumn("s", _stretch(words, "x0"))
+    inside = places.select("doc_id", "x0", (F.lead("x0").over(Window.partitionBy("doc_id", "s").orderBy("x0")) - F.col("x0")).alias("gap"))
+    ends = places.groupBy("doc_id", "s").agg(F.min("x0").alias("low"), F.max("x0").alias("x0"))
+    across = ends.select("doc_id", "x0", (F.lead("low").over(Window.partitionBy("doc_id").orderBy("s")) - F.col("x0")).alias("gap"))
+    none = places.where("n > 1").select("doc_id", "x0", F.explode(F.array_repeat(F.col("x0") - F.col("x0"), F.least(F.col("n") - 1, F.lit(k)).cast("int"))).alias("gap"))
+    gaps = inside.unionByName(across).unionByName(none).where("gap is not null")
+    # Each task keeps the k best of each key before they meet.
     ranked = gaps.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("gap"), F.desc("x0"))))
     return ranked.where(F.col("rank") <= k).select("doc_id", "rank", "gap", (F.col("x0") + F.col("gap") / 2).alias("mid"))
 

@@ -126,10 +126,10 @@ def test_file_scan_kinds_and_text(spark, tmp_path):
     for name, data in {"a.docx": docx(), "copy.docx": docx(), "b.doc": RTF, "c.doc": b"\xd0\xcf\x11\xe0x", "d.txt": b"x", "e.pdf": b"", "~tmp.docx": b"x"}.items():
         (tmp_path / name).write_bytes(data)
     files = readers.scan(spark, str(tmp_path))
-    assert {r.name: r.reason for r in files.collect()} == {"a.docx": None, "copy.docx": None, "b.doc": None, "c.doc": None, "d.txt": "extension"}
-    assert readers.rejects(files).count() == 1 and readers.distinct_files(files.where("reason is null")).count() == 3
+    assert {r.name: r.reason for r in files.collect()} == {"a.docx": None, "copy.docx": None, "b.doc": None, "c.doc": None, "d.txt": "extension", "e.pdf": "empty"}
+    assert readers.rejects(files).count() == 2 and readers.distinct_files(files.where("reason is null")).count() == 3
     kinds = {r.name: r.k for r in files.select("name", readers.file_kind(F.col("content")).alias("k")).collect()}
-    assert kinds == {"a.docx": "docx", "copy.docx": "docx", "b.doc": "rtf", "c.doc": "ole2", "d.txt": "unknown"}
+    assert kinds == {"a.docx": "docx", "copy.docx": "docx", "b.doc": "rtf", "c.doc": "ole2", "d.txt": "unknown", "e.pdf": "unknown"}
     assert files.where("name = 'b.doc'").select(readers.rtf_text(F.col("content"))).first()[0] == "Hello\twörld\nLine\nendx"
     assert [one(spark, readers.plain_text(F.lit(x))) for x in (b"\xef\xbb\xbfa\xc3\xa9", b"a\xe9")] == ["aé", "aé"]
     blocks = readers.read_docx(files.where("name = 'a.docx'"))
@@ -250,8 +250,24 @@ def test_a_folder_becomes_records(spark, tmp_path):
         (source / name).write_bytes(data)
     batch.main(str(source), str(target))
     name = F.element_at(F.split("path", "/"), -1)
-    assert {tuple(r) for r in spark.read.parquet(str(target / "rejects")).select(name, "reason").collect()} == {("c.doc", "unsupported"), ("d.txt", "extension"), ("e.docx", "unsupported")}
+    assert {tuple(r) for r in spark.read.parquet(str(target / "rejects")).select(name, "reason").collect()} == {("c.doc", "unsupported"), ("d.txt", "extension"), ("e.docx", "broken")}
     texts = {r.doc_id.split("/")[-1]: r.text for r in spark.read.parquet(str(target / "texts")).collect()}
     assert set(texts) == {"a.docx", "b.doc"} and "\nMY PART\n  plain text" in texts["a.docx"] and "LINKS / URLS DETECTED\n  site: http://x.org" in texts["a.docx"]
     status = spark.read.json(str(target / "status")).first()
     assert (status.ok, status.errors) == (2, 3) and spark.read.json(str(target / "records")).count() == 2
+
+
+def test_gaps_within_stretches_and_across_their_edges(spark, monkeypatch):
+    """Few stretches of many places, one key with nearly all words, places that repeat, keys with one word, and nulls."""
+    rng = random.Random(9)
+    words = [(1, float(rng.randrange(400))) for _ in range(900)] + [(2, 5.0)] * 4 + [(3, 7.0), (None, 1.0), (None, 9.0), (4, None)]
+    df = spark.createDataFrame(words, "doc_id long, x0 double")
+    for n in (64, 3):
+        monkeypatch.setattr(layout, "STRETCHES", n)
+        got = sorted((str(r.doc_id), r["rank"], r.gap, r.mid) for r in layout.top_gaps(df, 3).collect())
+        want = []
+        for key in {k for k, _ in words}:
+            xs = sorted(x for k, x in words if k == key and x is not None)
+            gaps = sorted(((b - a, a) for a, b in zip(xs, xs[1:])), reverse=True)[:3]
+            want += [(str(key), i + 1, g, a + g / 2) for i, (g, a) in enumerate(gaps)]
+        assert got == sorted(want)
