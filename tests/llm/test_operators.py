@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspark.llm import chunked_bpe, components, exact_dedup, packing, runtime, simhash, substring_dedup, topk, toxicity, url_filter
+from quillspark.llm import chunked_bpe, components, exact_dedup, packing, queries, runtime, simhash, substring_dedup, topk, toxicity, url_filter
 from quillspark.llm.tokens import Bpe, bpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -416,3 +416,11 @@ def test_a_long_text_counts_as_one(spark):
     left = long.split()[n:]
     at = left.index(shared.split()[0])
     assert got[1].kept_sha256 == hashlib.sha256(" ".join(left[:at] + left[at + 50 :]).encode()).hexdigest()
+
+
+def test_url_rules_are_the_contracts(spark):
+    """Each rule's word, on its own host and path, on a subdomain, and where a longer rule reaches into a shorter one."""
+    urls = {"http://a.com/en/1": ("com/en/", "block"), "http://x.example.com/en/71": ("example.com/en/7", "allow"), "http://b.net/de/": ("net/de/", "allow"), "http://example.net/de/7": ("net/de/", "allow"), "http://x.example.net/de/81": ("example.net/de/8", "block"), "http://c.org/es/q": ("org/es/", "block"), "http://c.org/en/q": (None, "allow")}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(pages, url_filter.rules_table(spark, queries.URL_RULES)).collect()}
+    assert got == dict(enumerate(urls.values()))
