@@ -209,12 +209,18 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_box: tuple[str, ...]
 
 
 def link_display(links: DataFrame, chars: DataFrame) -> DataFrame:
-    """``links`` with ``display_text``: the characters that a link's box overlaps on its page, from left to right."""
-    keyed = links.withColumn("_n", F.monotonically_increasing_id())
+    """``links`` with ``display_text``: the characters that a link's box overlaps on its page, from left to right.
+
+    Boxes that are equal show the same text, and equal characters stand beside each other in it. So both are made one, with
+    their number, before they meet, and pairs grow with the different boxes; texts go back to the links by their box."""
+    box = ["doc_id", "page", "x0", "x1", "y0", "y1"]
+    boxes = links.select(*box).where(" and ".join(f"{c} is not null" for c in box)).distinct()
     c = chars.select("doc_id", "page", F.col("text").alias("_c"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("top").alias("_t"), F.col("bottom").alias("_b"))
-    met = overlaps(keyed, c, ["doc_id", "page"], ("x0", "x1", "y0", "y1"), ("_x0", "_x1", "_t", "_b"))
-    shown = met.groupBy("doc_id", "page", "_n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_x0", "_c"))), lambda x: x["_c"]), "").alias("display_text"))
-    return keyed.join(shown, ["doc_id", "page", "_n"], "left").withColumn("display_text", F.coalesce("display_text", F.lit(""))).drop("_n")
+    c = c.groupBy(*c.columns).agg(F.count(F.lit(1)).alias("_times"))
+    met = overlaps(boxes, c, ["doc_id", "page"], ("x0", "x1", "y0", "y1"), ("_x0", "_x1", "_t", "_b"))
+    said = F.array_sort(F.collect_list(F.struct("_x0", "_c", "_times")))
+    shown = met.groupBy(*box).agg(F.array_join(F.transform(said, lambda x: F.repeat(x["_c"], x["_times"].cast("int"))), "").alias("display_text"))
+    return links.join(shown, box, "left").withColumn("display_text", F.coalesce("display_text", F.lit("")))
 
 
 def has_spaced_letters(text: Column) -> Column:

@@ -84,6 +84,17 @@ def test_two_column_text_links_and_crops(spark):
     assert layout.crop(w, F.lit(0), F.lit(0), F.lit(300), F.lit(15)).count() == 1
 
 
+def test_equal_links_and_characters_meet_once(spark, monkeypatch):
+    """Copies of boxes and characters show as often as they are there, but one of each is compared."""
+    met, real = [], layout.overlaps
+    monkeypatch.setattr(layout, "overlaps", lambda a, b, *more: met.append((a.count(), b.count())) or real(a, b, *more))
+    links = [(1, 1, f"u{i}", 0.0, 0.0, 30.0, 9.0) for i in range(50)] + [(1, 1, "none", None, 0.0, 30.0, 9.0), (1, 2, "far", 0.0, 0.0, 30.0, 9.0)]
+    chars = [(1, 1, "b", 9.0, 12.0, 1.0, 5.0)] * 3 + [(1, 1, "a", 9.0, 12.0, 2.0, 5.0), (1, 1, "a", 9.0, 12.0, 1.0, 5.0), (1, 1, "z", 2.0, 5.0, 1.0, 5.0), (1, 1, None, 2.0, 5.0, 1.0, 5.0), (1, 1, "y", 40.0, 44.0, 1.0, 5.0)]
+    got = layout.link_display(spark.createDataFrame(links, "doc_id long, page int, uri string, x0 double, y0 double, x1 double, y1 double"), spark.createDataFrame(chars, "doc_id long, page int, text string, x0 double, x1 double, top double, bottom double"))
+    assert {r.uri: r.display_text for r in got.collect()} == {f"u{i}": "zaabbb" for i in range(50)} | {"none": "", "far": ""}
+    assert met == [(2, 6)]
+
+
 def test_tolerance_sidebars_and_images(spark):
     rng, x, rows = random.Random(1), 0.0, []
     for i in range(400):
