@@ -36,6 +36,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct("*"))))
 
 
+def spread(df: DataFrame, *by) -> DataFrame:
+    """The rows dealt by hash over four tasks a core, or as many as shuffles have: costly work on rows of few bytes would
+    else be done by the one or two tasks that read them. Later windows and groups by these keys take no shuffle of their own."""
+    spark = df.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *by)
+
+
 def sub(x: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(x, pattern, to)
 
