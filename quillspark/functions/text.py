@@ -85,8 +85,7 @@ def is_upper(x: Column) -> Column:
 
 
 def is_section_header(x: Column) -> Column:
-    s = strip(x)
-    return (s != "") & (F.length(s) <= 65) & ~s.rlike(P.HEADER_NOT) & (s.rlike(P.HEADER) | s.rlike(P.HEADER_SPACED))
+    return let(strip(x), lambda s: (s != "") & (F.length(s) <= 65) & ~s.rlike(P.HEADER_NOT) & (s.rlike(P.HEADER) | s.rlike(P.HEADER_SPACED)))
 
 
 def is_strong_heading(line: Column, font_size: Column | None = None, is_bold: Column | None = None, x_pos: Column | None = None, page_width: Column | None = None) -> Column:
@@ -165,7 +164,7 @@ def repair_compact_text(text) -> Column:
 
     def split(line: Column) -> Column:
         s = strip(line)
-        packed = (F.length(s) > 40) & ~s.contains(" ") & s.rlike(r"\p{Ll}") & s.rlike(r"\p{Lu}")
+        packed = (F.length(line) > 40) & (F.length(s) > 40) & ~s.contains(" ") & s.rlike(r"\p{Ll}") & s.rlike(r"\p{Lu}")
         return F.when(packed, F.concat(F.substring(line, F.lit(1), F.length(line) - F.length(s)), sub(s, P.COMPACT_SPLIT, " "))).otherwise(line)
 
     return each_line(_col(text), split)
@@ -242,7 +241,7 @@ def fix_ocr_spacing(text) -> Column:
 
     def joined(part: Column) -> Column:
         between, found = F.split(part, runs, -1), F.regexp_extract_all(part, F.lit(runs), F.lit(0))
-        return F.when(F.size(found) > 0, F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(F.replace(b, F.lit(" "), F.lit("")), F.lit("")))), "")).otherwise(part)
+        return F.when(part.rlike(runs), F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(F.replace(b, F.lit(" "), F.lit("")), F.lit("")))), "")).otherwise(part)
 
     return F.array_join(F.transform(F.split(_col(text), "  +", -1), joined), " ")
 
@@ -252,10 +251,14 @@ def rewrite(x: Column, pattern: str, table: dict[str, str]) -> Column:
 
     The text is cut once, by one alternation, however long the table is; what is written isn't looked at again."""
     known = F.create_map(*[F.lit(y) for pair in table.items() for y in pair])
-    between, found = F.split(x, pattern, -1), F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
-    new = F.transform(found, lambda w: F.coalesce(F.try_element_at(known, w), F.try_element_at(known, F.lower(w)), w))
-    joined = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.when(x.rlike(pattern), joined).otherwise(x)
+
+    def rewritten(x: Column) -> Column:
+        between, found = F.split(x, pattern, -1), F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+        new = F.transform(found, lambda w: F.coalesce(F.try_element_at(known, w), F.try_element_at(known, F.lower(w)), w))
+        joined = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+        return F.when(x.rlike(pattern), joined).otherwise(x)
+
+    return let(x, rewritten)
 
 
 def fix_merged_headers(text) -> Column:

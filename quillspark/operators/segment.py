@@ -76,8 +76,9 @@ def formatted_lines(text: Column, marker: str = "%%H%%") -> Column:
 
     kept = F.filter(F.transform(T.raw_lines(whole), read), lambda r: ~r["gone"])
     placed = F.transform(kept, lambda r, i: F.struct(r["kind"].alias("kind"), r["line"].alias("line"), i.alias("i")))
-    parts = F.struct(F.filter(placed, lambda r: r["kind"] != "blank").alias("full"), F.size(placed).alias("n"), F.array_min(F.transform(F.filter(placed, lambda r: r["kind"] == "header"), lambda r: r["i"])).alias("first"))
-    return T.let(parts, lambda s: _spaced(s["full"], s["n"], s["first"]))
+    parts = lambda p: F.struct(F.filter(p, lambda r: r["kind"] != "blank").alias("full"), F.size(p).alias("n"), F.array_min(F.transform(F.filter(p, lambda r: r["kind"] == "header"), lambda r: r["i"])).alias("first"))
+    # Lambdas share no subexpressions: the whole formatting would be done for each of the three.
+    return T.let(T.let(placed, parts), lambda s: _spaced(s["full"], s["n"], s["first"]))
 
 
 def _spaced(full: Column, n: Column, first: Column) -> Column:
@@ -211,7 +212,7 @@ FOOTER = "=" * 70
 def format_documents(docs: DataFrame, links_col: str | None = None, light: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text``: cleaned, formatted, re-ordered, with the block of links and the footer. ``light`` only cleans."""
     links = F.col(links_col) if links_col else None
-    cleaned = docs.select(F.col(id_col).alias("doc_id"), T.clean(text_col, links).alias("text"), (links if links is not None else F.lit(None)).alias("links"))
+    cleaned = T.settled(docs.select(F.col(id_col).alias("doc_id"), T.clean(text_col, links).alias("text"), (links if links is not None else F.lit(None).cast("string")).alias("links")))
     if light:
         body = T.normalize(T.fix_merged_headers(T.fix_ocr_spacing("text")))
     else:

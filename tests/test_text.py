@@ -74,3 +74,12 @@ def test_lines_are_python_lines(spark, texts):
 
 def test_nfc(spark):
     assert one(spark, T.nfc(F.lit("é"))) == unicodedata.normalize("NFC", "é")
+
+
+def test_formatting_is_worked_out_once(spark):
+    """The lines of a text are read once, not for each use that is made of them."""
+    from quillspark.operators import segment
+
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string").select(segment.formatted_lines(F.col("text"), marker="%%once%%").alias("x"))
+    plan = docs._jdf.queryExecution().analyzed().toString()
+    assert 1 <= plan.count("%%once%%") <= 2
