@@ -249,14 +249,17 @@ def fix_ocr_spacing(text) -> Column:
 def rewrite(x: Column, pattern: str, table: dict[str, str]) -> Column:
     """What ``pattern`` finds becomes what ``table`` has for it, as it is or else in lower case; the rest stays.
 
-    The text is cut once, by one alternation, however long the table is; what is written isn't looked at again."""
+    One alternation looks a text over once, however long the table is, and only where something changes it is cut by it;
+    what is written isn't looked at again."""
     known = F.create_map(*[F.lit(y) for pair in table.items() for y in pair])
 
     def rewritten(x: Column) -> Column:
-        between, found = F.split(x, pattern, -1), F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
-        new = F.transform(found, lambda w: F.coalesce(F.try_element_at(known, w), F.try_element_at(known, F.lower(w)), w))
-        joined = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-        return F.when(x.rlike(pattern), joined).otherwise(x)
+        found = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+        pairs = F.transform(found, lambda w: F.struct(w.alias("old"), F.coalesce(F.try_element_at(known, w), F.try_element_at(known, F.lower(w)), w).alias("new")))
+        return let(pairs, lambda pairs: F.when(F.exists(pairs, lambda w: w["old"] != w["new"]), put(x, pairs)).otherwise(x))
+
+    def put(x: Column, pairs: Column) -> Column:
+        return F.array_join(F.zip_with(F.split(x, pattern, -1), pairs, lambda a, b: F.concat(a, F.coalesce(b["new"], F.lit("")))), "")
 
     return let(x, rewritten)
 
@@ -303,8 +306,22 @@ def part_connectives(x: Column) -> Column:
     return sub(x, rf"(?<![a-z]){ends}(?!(?:{'|'.join(P.NOT_GLUED)})(?![a-z]))([a-z]{{4,}})({P.CONNECTIVES})(?![a-z])", "$1 $2")
 
 
-#: Names like Node.js and abbreviations, in order; one ends in a full stop only where that begins no other.
-_SPELT = "|".join((r"\b" if w.endswith(".") else "") + re.escape(w) + ("(?!NET)" if w.endswith(".") else "") for w in P.PROTECTED)
+def _by_first_letter(words: tuple[str, ...]) -> str:
+    """An alternation of ``words``, in order where two begin alike. Most places of a text begin none, so the first letter is
+    asked for before anything else, by fours; a word that ends in a full stop begins a word, and its stop begins no other."""
+
+    def spelt(w: str) -> str:
+        rest = re.escape(w[1:])
+        return rest + rf"(?<=\b{re.escape(w)})(?!NET)" if w.endswith(".") else rest
+
+    first = list(dict.fromkeys(w[0].lower() for w in words))
+    branch = {a: re.escape(a) + "(?:" + "|".join(spelt(w) for w in words if w[0].lower() == a) + ")" for a in first}
+    fours = [first[i : i + 4] for i in range(0, len(first), 4)]
+    return f"(?=[{''.join(first)}])(?:" + "|".join(f"(?=[{''.join(some)}])(?:{'|'.join(branch[a] for a in some)})" for some in fours) + ")"
+
+
+#: Names like Node.js and abbreviations.
+_SPELT = _by_first_letter(P.PROTECTED)
 #: White space behind a sentence's end, which no abbreviation is.
 _SENTENCE_END = r"(?<=[.!?])(?<!\b(?i:" + "|".join(re.escape(w) for w in P.PROTECTED if w.endswith(".")) + r"))\s+"
 
@@ -318,8 +335,9 @@ def sentences(text, least: int = 15) -> Column:
     table = {w.lower(): w for w in reversed(P.PROTECTED)}
 
     def cut(x: Column) -> Column:
-        parts = F.transform(F.split(rewrite(x, f"(?i){_SPELT}", table), _SENTENCE_END), strip)
-        return F.filter(parts, lambda s: F.length(s) >= least)
+        # Spelling changes neither a sentence's length nor where it ends, so only those that stay are looked over.
+        kept = F.filter(F.transform(F.split(x, _SENTENCE_END), strip), lambda s: F.length(s) >= least)
+        return F.transform(kept, lambda s: rewrite(s, f"(?i){_SPELT}", table))
 
     return let(let(strip(sub(part_connectives(joined), " {2,}", " ")), cut), lambda kept: F.when(F.size(kept) > 0, kept))
 
