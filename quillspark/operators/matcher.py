@@ -92,8 +92,9 @@ def schedule(spans: DataFrame) -> DataFrame:
     A group of overlapping spans ends where none goes on; groups are short, however long a document is, and each is
     settled by itself. A span that touches no other is taken as it is. Repeated spans count once.
     """
-    spans = spans.dropDuplicates(["doc_id", "start", "end"])
     by_start = Window.partitionBy("doc_id").orderBy("start", "end")
+    # Repeated spans stand side by side in the order that the window below needs anyway: no table of all of them is held.
+    spans = spans.withColumn("_before", F.lag(F.struct("start", "end")).over(by_start)).where(~F.col("_before").eqNullSafe(F.struct("start", "end"))).drop("_before")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("_new", F.when(F.col("start") < reach, 0).otherwise(1))
     grouped = marked.withColumn("_group", F.sum("_new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
@@ -106,9 +107,11 @@ def match_terms(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     """``doc_id, start, end, term``: the terms that each text has, none overlapping another, by number of word.
 
     Null and empty texts have none; rows of one id are taken for one document, so ids should be unique; null ids are one
-    document too. No terms, no rows. Case doesn't count, nor what stands between words.
+    document too. No terms, no rows. Case doesn't count, nor what stands between words. Texts are dealt to all tasks first:
+    stretches are many times the text, and what a task holds shall not hang on how few files the texts are read from.
     """
-    return schedule(occurrences(docs, terms, id_col, text_col, term_col))
+    docs = T.spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
+    return schedule(occurrences(docs, terms, term_col=term_col))
 
 
 def parse_skills(docs: DataFrame, terms: DataFrame | None = None, matcher: Callable[[DataFrame], DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

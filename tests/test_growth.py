@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from quillspark.functions import patterns as P
 from quillspark.functions import text as T
+from quillspark.operators import matcher
 
 
 def test_sentences_are_cut_by_all_tasks(spark, tiny):
@@ -19,3 +20,14 @@ def test_words_spelt_by_their_first_letter(spark):
     assert rows.where(found(plain) != found(T._SPELT)).count() == 0
     got = spark.range(1).select(T.sentences(F.lit("He wrote NODE.JS etc. and sKlearn here. For DR. Roy, ASP.NET CORE and asp.net.")).alias("s")).first().s
     assert got == ["He wrote Node.js etc. and sklearn here.", "For Dr. Roy, ASP.NET Core and ASP.NET."]
+
+
+def test_terms_of_few_files_are_matched_by_all_tasks(spark, tiny):
+    plan = __spark_entry__.queries()["terms_matched"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "end#" not in "".join(x for x in plan.split("\n") if "HashAggregate(keys=[doc_id" in x and "start" in x.split("functions")[0])
+
+
+def test_repeated_spans_count_once(spark):
+    spans = [(1, 0, 2, "a b"), (1, 0, 2, "a b"), (1, 1, 3, "b c"), (1, 1, 3, "b c"), (1, 5, 6, "f"), (None, 0, 1, "a"), (None, 0, 1, "a")]
+    got = matcher.schedule(spark.createDataFrame(spans, "doc_id long, start int, end int, term string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 0, 2, "a b"), (1, 5, 6, "f"), (None, 0, 1, "a")], key=str)
