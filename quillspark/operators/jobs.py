@@ -106,7 +106,8 @@ def summary_position(text) -> Column:
         each = F.transform(F.filter(lines, lambda x: dated(x) & ~x.rlike(P.POSITION_SECTION)), lambda x: F.coalesce(whole(x), piped(x)))
         return F.coalesce(F.get(F.filter(each, lambda r: r.isNotNull()), F.lit(0)), T.let(F.array_join(lines, " "), lambda block: F.when(dated(block), loose(block))))
 
-    return T.let(rows, found)
+    # Nor are lines made of a text without a number before a "y", whatever signs (emoji, line breaks) stand between.
+    return F.when(T._col(text).rlike(r"\d[^a-zA-Z0-9]*+[yY]"), T.let(rows, found))
 
 
 def is_current(job: Column) -> Column:

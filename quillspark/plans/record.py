@@ -18,7 +18,8 @@ def candidate_records(docs: DataFrame, lookups: Lookups = DEFAULT, as_of: Column
     Sections are found once, by a window over each document's lines, and pivoted into a map; most parsers are then
     expressions over that row. Jobs and projects group lines by document; all joins are on doc_id.
     """
-    docs = docs.select("doc_id", "text")
+    # Texts are dealt by another key than doc_id: the shuffle of lines by doc_id stays, and all parsers reuse it.
+    docs = T.spread(docs.select("doc_id", "text"), F.xxhash64("doc_id"))
     sections = segment.section_map(segment.segment(docs, lookups))
     base = docs.join(sections, "doc_id", "left")
     part = lambda name: F.coalesce(F.get(F.map_values(F.map_filter("sections", lambda k, v: k == name)), F.lit(0)), F.lit(""))

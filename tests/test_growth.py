@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from quillspark.functions import contact as C
 from quillspark.functions import patterns as P
 from quillspark.functions import text as T
-from quillspark.operators import matcher
+from quillspark.operators import jobs, matcher
+from quillspark.plans import record
 
 
 def test_sentences_are_cut_by_all_tasks(spark, tiny):
@@ -31,3 +33,19 @@ def test_repeated_spans_count_once(spark):
     spans = [(1, 0, 2, "a b"), (1, 0, 2, "a b"), (1, 1, 3, "b c"), (1, 1, 3, "b c"), (1, 5, 6, "f"), (None, 0, 1, "a"), (None, 0, 1, "a")]
     got = matcher.schedule(spark.createDataFrame(spans, "doc_id long, start int, end int, term string")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, 0, 2, "a b"), (1, 5, 6, "f"), (None, 0, 1, "a")], key=str)
+
+
+def test_documents_are_dealt_to_all_tasks(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
+    assert "RepartitionByExpression [xxhash64(doc_id" in record.candidate_records(docs)._jdf.queryExecution().analyzed().toString()
+
+
+def test_what_skips_a_pattern_skips_no_find(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    null = F.lit(None).cast("string")
+    assert one(C.phones(F.lit("call 98-7 6-5 4-3 2-1 0 now"))) == ["+919876543210"] and one(C.phones(F.lit("12 34 56"))) == [] and one(C.phones(null)) is None
+    assert one(C.websites(F.lit("no address"))) == [] and one(C.websites(null)) is None
+    assert one(C.websites(F.lit("GitHub.com/x"))) == [("https://github.com/x", "github.com")]
+    assert one(C.candidate_name(F.lit("a b c d e f\nAnna B Cole D Eve"))).full_name == "Anna B Cole D Eve"
+    assert one(jobs.summary_position(F.lit("Senior Software Engineer with 8 ☀ years"))).current_position == "Senior Software Engineer"
+    assert one(jobs.summary_position(F.lit("no number"))) is None and one(jobs.summary_position(null)) is None
