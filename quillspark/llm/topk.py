@@ -16,6 +16,8 @@ from .runtime import shuffle_parts, written
 SHARD, QUERY_BYTES = 4096, 16_000_000
 #: A query's scoring stops when it is proved that at most this many vectors of the shard can be among its best.
 FEW = 64
+#: Queries times vectors of a shard that are scored at once, so a task's memory doesn't hang on how many queries a block has.
+CELLS = 1 << 18
 #: Components of this size and more are not cut into segments: their vectors have shards of their own, scored exactly.
 LARGE = float(1 << 40)
 LONG = np.iinfo(np.int64)
@@ -77,10 +79,12 @@ class Best:
         self.id = np.full((len(self.own), self.k), -1)
         self.n = np.zeros(len(self.own), np.int64)
         self.length = np.sqrt(np.square(self.queries).sum(axis=1)) * (1 + 1e-9)
+        #: Single precision adds up components and their negatives exactly while the sums stay below 2 ** 24.
+        self.factors = self.queries.astype(np.float32 if np.abs(self.queries).sum(axis=1).max(initial=0) < 2.0**24 else np.float64)
 
-    def floor(self) -> np.ndarray:
+    def floor(self, i: np.ndarray) -> np.ndarray:
         """What a vector must reach: the k-th best score, if there are k."""
-        return np.where(self.n >= self.k, self.score[:, -1].astype(np.float64), -np.inf)
+        return np.where(self.n[i] >= self.k, self.score[i, -1].astype(np.float64), -np.inf)
 
     def add(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
         n = self.n[i]
@@ -90,38 +94,77 @@ class Best:
         self.id[i, : len(order)], self.score[i, : len(order)] = ids[order], scores[order]
 
 
+def plane(segment, dim: int, n: int) -> np.ndarray:
+    """The lists of all dimensions of a segment, spread out so that queries add them up at once."""
+    starts, postings = np.frombuffer(segment["starts"], "<i4"), np.frombuffer(segment["postings"], "<i4")
+    out = np.zeros((dim, n), np.int8)
+    out[np.repeat(np.arange(dim), np.diff(starts)), postings >> 1] = 1 - 2 * (postings & 1)
+    return out
+
+
 def search_shard(row, best: Best) -> None:
-    """Scores a shard for all queries, a segment at a time, until bounds prove that few vectors can still be among a query's
-    best; those are scored exactly. A shard that can't reach a query's k-th best score is passed over at once."""
+    """Scores a shard for all queries, ``CELLS`` scores at a time. A shard that can't reach a query's k-th best score is passed
+    over at once."""
     ids = np.frombuffer(row.ids, "<i8")
     vectors = np.frombuffer(row.vectors, row.kind).reshape(len(ids), row.dim)
-    live = np.arange(len(best.own))
+    live, norms, planes = np.arange(len(best.own)), None, []
     if len(row.segments) and len(ids) > FEW:
         norms = np.sqrt(np.square(vectors.astype(np.float64)).sum(axis=1))
-        live = live[best.length * norms.max() >= best.floor()]
+        live = live[best.length * norms.max() >= best.floor(live)]
+    # So few that the vectors which are left for all of them, FEW each, are no more than 16 * CELLS components either.
+    step = max(CELLS // max(len(ids), FEW * row.dim // 16), 1)
+    for at in range(0, len(live), step):
+        search_some(row, ids, vectors, norms, planes, live[at : at + step], best)
+
+
+def add_few(ids: np.ndarray, vectors: np.ndarray, live: np.ndarray, may: np.ndarray, ended: np.ndarray, largest: float, best: Best) -> None:
+    """Scores what ``may`` be among the best of the queries ``live[ended]`` exactly: all at once, if no sum of products is
+    beyond what doubles hold (``largest`` bounds them)."""
+    if largest >= 2.0**52:
+        for i in ended:
+            at = np.flatnonzero(may[i])
+            best.add(live[i], ids[at], exact(vectors[at], best.queries[live[i]]))
+        return
+    i, at = np.divmod(np.flatnonzero(may[ended]), len(ids))
+    own = live[ended]
+    reached = np.einsum("nd,nd->n", vectors[at].astype(np.float64), best.queries[own[i]])
+    good = reached >= best.floor(own)[i]
+    i, at, reached = i[good], at[good], reached[good].astype(np.int64)
+    ends = np.searchsorted(i, np.arange(len(own) + 1))
+    for q in np.flatnonzero(np.diff(ends)):
+        part = slice(ends[q], ends[q + 1])
+        best.add(own[q], ids[at[part]], reached[part])
+
+
+def search_some(row, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray | None, planes: list, live: np.ndarray, best: Best) -> None:
+    """Scores a shard for the queries ``live``, a segment at a time, until bounds prove that few vectors can still be among a
+    query's best; those are scored exactly. ``planes`` keeps the segments that were spread out for the queries before."""
     other = ids[None, :] != best.own[live][:, None]
-    scores, rest = np.zeros((len(live), len(ids))), None
-    for segment in row.segments if len(ids) > FEW else ():
+    scores = np.zeros(other.shape)
+    largest = 0.0 if norms is None else best.length[live].max() * norms.max()
+    for n, segment in enumerate(row.segments if norms is not None else ()):
         if not len(live):
             break
-        starts, postings = np.frombuffer(segment["starts"], "<i4"), np.frombuffer(segment["postings"], "<i4")
-        # The lists of all dimensions, spread out so that the block's queries add them up at once.
-        plane = np.zeros((row.dim, len(ids)))
-        plane[np.repeat(np.arange(row.dim), np.diff(starts)), postings >> 1] = 1 - 2 * (postings & 1)
-        scores += float(1 << segment["p"]) * (best.queries[live] @ plane)
+        if n == len(planes):
+            planes.append(plane(segment, row.dim, len(ids)))
+        scores += float(1 << segment["p"]) * (best.factors[live] @ planes[n].astype(best.factors.dtype))
         rest = np.frombuffer(segment["rest"], "<f8")
         # Besides what is to come, what rounding may have cost.
         slack = best.length[live, None] * (rest + 1e-9 * norms)[None, :]
-        floor, k = best.floor()[live], min(best.k, len(ids) - 1)
-        least, most = np.clip(scores - slack, LONG.min, LONG.max), np.clip(scores + slack, LONG.min, LONG.max)
-        sure = np.where(other, least, -np.inf)
-        # k vectors surely reach this; who can't, isn't among the best. Equal scores stay, for ties.
-        floor = np.maximum(floor, np.partition(sure, -k, axis=1)[:, -k] if k == best.k else -np.inf)
-        may = other & (most >= floor[:, None])
-        ended = may.sum(axis=1) <= FEW
+        floor, k = best.floor(live), min(best.k, len(ids) - 1)
+        most = scores + slack
+        if k == best.k and (floor == -np.inf).any():
+            # k vectors surely reach this; who can't, isn't among the best. Equal scores stay, for ties.
+            sure = np.where(other, np.clip(scores - slack, LONG.min, LONG.max), -np.inf)
+            floor = np.maximum(floor, np.partition(sure, -k, axis=1)[:, -k])
+        may = other & ((most if largest < 2.0**62 else np.clip(most, LONG.min, LONG.max)) >= floor[:, None])
+        left = np.count_nonzero(may, axis=1)
+        ended = left <= FEW
+        alone = np.zeros(0, np.int64)
         if segment["p"] == 0:
-            ended[:] = True
-        for i in np.flatnonzero(ended):
+            alone, ended = np.flatnonzero(~ended), np.ones(len(live), bool)
+        add_few(ids, vectors, live, may, np.flatnonzero(left <= FEW), largest, best)
+        for i in alone:
             at = np.flatnonzero(may[i])
             best.add(live[i], ids[at], exact(vectors[at], best.queries[live[i]]))
         live, scores, other = live[~ended], scores[~ended], other[~ended]
@@ -140,8 +183,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
 
     The index is written once, as shards of ``SHARD`` vectors made where an even deal of the rows puts them, so repeated
     ids make no shard larger. Queries come in blocks of ``QUERY_BYTES``, each of which travels to the shards in one pass over
-    the index: no vector is copied or shuffled for a block. A task keeps its k best of each query from shard to shard, so
-    later shards stop earlier. As every query meets every shard, work grows with queries times vectors.
+    the index: no vector is copied or shuffled for a block. A task scores a shard for some of the block's queries at a time, so
+    its memory is that of a few shards and of a block, however many queries there are, and keeps its k best of each query from
+    shard to shard, so later shards stop earlier. As every query meets every shard, work grows with queries times vectors.
     """
     spark = vectors.sparkSession
 

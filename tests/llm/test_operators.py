@@ -8,6 +8,7 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -346,6 +347,26 @@ def test_topk_of_large_components(spark, monkeypatch):
     assert set(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0")).collect())) == brute_top(vectors)
 
 
+def test_topk_memory_does_not_hang_on_the_number_of_queries():
+    """Queries that are vectors of the shard, others, and 30 equal vectors for ties."""
+    rng, peaks = np.random.default_rng(11), []
+    vectors = np.floor(rng.normal(0, 32, (1200, 24)))
+    vectors[700:730] = vectors[3]
+    row = SimpleNamespace(**topk.shard_row(24, np.arange(1200), vectors))
+    for n in (1000, 6000):
+        queries = np.concatenate((vectors, np.floor(rng.normal(0, 32, (6000, 24)))))[:n]
+        best = topk.Best(np.arange(n), queries, 5)
+        tracemalloc.start()
+        topk.search_shard(row, best)
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+        scores = (queries @ vectors.T).astype(np.int64)
+        for i in range(0, n, 7):
+            want = sorted((-s, v) for v, s in enumerate(scores[i].tolist()) if v != i)[:5]
+            assert list(zip((-best.score[i]).tolist(), best.id[i].tolist(), strict=True)) == want
+    assert peaks[1] < 1.5 * peaks[0] and peaks[1] < 60
+
+
 @pytest.mark.parametrize("name, most", [("BROADCAST_RULES", 100_000), ("BROADCAST_RULES", 1), ("BROADCAST_BYTES", 20)])
 def test_url_filter_is_brute_force(spark, name, most, monkeypatch):
     monkeypatch.setattr(url_filter, name, most)
